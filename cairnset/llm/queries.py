@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnset.llm import quantiles as Q
+from cairnset.llm import splitting as S
 from cairnset.session import cut, table
 
 QUERIES: dict = {}
@@ -74,3 +75,50 @@ v AS (SELECT condition, model, 'wall_seconds' AS measure, wall_seconds AS value
 SELECT condition, model, measure, CAST(p AS INTEGER) AS percentile, count(*) AS n, true AS within
 FROM v, (SELECT unnest([5, 25, 50, 75, 90, 95, 99]) AS p)
 WHERE value >= 0 AND NOT isnan(value) GROUP BY condition, model, measure, p"""
+
+
+# --- p2: oversized items ---------------------------------------------------------------------------------------------
+
+
+def _limits(spark: SparkSession, sf_dir: str, prefix: str) -> list:
+    """size_limits has four rows by definition."""
+    return table(spark, sf_dir, "size_limits").where(F.col("limit_name").startswith(prefix)).orderBy("limit_name").collect()
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limit = _limits(spark, sf_dir, "embed_chunk")[0]
+    chunks = table(spark, sf_dir, "embed_chunks").select("chunk_id", "file_id", "seq", "content")
+    return S.split_oversized(chunks, limit.max_size, limit.overlap_size)
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir).where("piece_no = 1 and chunk_id is not null").select("chunk_id")
+
+
+@query
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of oversized chunks with the path and the new chunk count of their file."""
+    pieces = cut(_pieces(spark, sf_dir))
+    chunks = table(spark, sf_dir, "embed_chunks").select("chunk_id", "file_id").where("file_id is not null").distinct()
+    per_file = chunks.groupBy("file_id").agg(F.count(F.lit(1)).alias("chunks"))
+    more = pieces.groupBy("file_id").agg(F.count(F.when(F.col("piece_no") > 0, 1)).alias("added"))
+    counts = per_file.join(more, "file_id").select("file_id", (F.col("chunks") + F.col("added")).alias("file_chunk_count"))
+    files = S.current_files(table(spark, sf_dir, "files")).select("file_id", "path")
+    return pieces.join(counts, "file_id", "left").join(files, "file_id", "left").select(
+        "chunk_id", "file_id", "path", "piece_no", "n_pieces", "start", "size", "piece", "file_chunk_count")
+
+
+@query
+def p2_file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that gain chunks: number of oversized chunks and characters, each chunk once."""
+    pieces = _pieces(spark, sf_dir)
+    gained = pieces.withColumn("end", F.col("start") + F.col("size")).groupBy("chunk_id", "file_id").agg(F.max("end").alias("n_chars"), F.max("size").alias("longest"))
+    return gained.groupBy("file_id").agg(
+        F.count(F.lit(1)).alias("n_oversized"), F.sum("n_chars").cast("long").alias("n_chars"), (F.max("longest") <= 2048).alias("within"))
+
+
+ORACLE["p2_found"] = """SELECT DISTINCT chunk_id FROM embed_chunks
+WHERE chunk_id IS NOT NULL AND length(content) > (SELECT max_size FROM size_limits WHERE limit_name = 'embed_chunk')"""
+ORACLE["p2_file_counts"] = """SELECT file_id, count(*) AS n_oversized, CAST(sum(n) AS BIGINT) AS n_chars, true AS within FROM (
+  SELECT DISTINCT chunk_id, file_id, length(content) AS n FROM embed_chunks WHERE length(content) > 2048) GROUP BY file_id"""
