@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnset.llm import lookalikes as L
+from cairnset.llm import mixing as M
+from cairnset.llm import packing as P
 from cairnset.llm import quantiles as Q
 from cairnset.llm import splitting as S
+from cairnset.llm import survivors as V
+from cairnset.llm import tokens as K
 from cairnset.session import cut, table
 
 QUERIES: dict = {}
@@ -26,15 +31,7 @@ P1_AT = [0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 
 @query
 def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles by condition and model over all days, from one digest per task."""
-    runs = Q.once_per_run(table(spark, sf_dir, "harness_runs"))
-    merged = Q.merge_digests(Q.digest_groups(runs, P1_BY, P1_MEASURES, P1_EPS), P1_BY, P1_EPS)
-    return Q.read_quantiles(merged, P1_BY, P1_AT)
-
-
-@query
-def p1_from_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same percentiles from digests kept by received_on day and merged afterwards."""
+    """Percentiles by condition and model from digests kept by received_on day and merged afterwards."""
     runs = Q.once_per_run(table(spark, sf_dir, "harness_runs"))
     day = [*P1_BY, "received_on"]
     dealt = runs.repartition("received_on", F.pmod(F.xxhash64("wall_seconds", "input_tokens"), F.lit(4)))
@@ -42,11 +39,19 @@ def p1_from_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.read_quantiles(Q.merge_digests(kept, P1_BY, P1_EPS), P1_BY, P1_AT)
 
 
+@query
+def p1_in_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same percentiles over all days at once, from one digest per task."""
+    runs = Q.once_per_run(table(spark, sf_dir, "harness_runs"))
+    merged = Q.merge_digests(Q.digest_groups(runs, P1_BY, P1_MEASURES, P1_EPS), P1_BY, P1_EPS)
+    return Q.read_quantiles(merged, P1_BY, P1_AT)
+
+
 @query
 def p1_rank_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the rank of each merged daily percentile is within the promised error, counted exactly."""
     runs = Q.once_per_run(table(spark, sf_dir, "harness_runs"))
-    found = p1_from_days(spark, sf_dir)
+    found = p1_percentiles(spark, sf_dir)
     long = runs.select(*P1_BY, F.explode(F.map_from_arrays(
         F.array(*[F.lit(m) for m in P1_MEASURES]),
         F.array(*[F.col(m).cast("double") for m in P1_MEASURES]))).alias("measure", "value"))
@@ -122,3 +127,104 @@ ORACLE["p2_found"] = """SELECT DISTINCT chunk_id FROM embed_chunks
 WHERE chunk_id IS NOT NULL AND length(content) > (SELECT max_size FROM size_limits WHERE limit_name = 'embed_chunk')"""
 ORACLE["p2_file_counts"] = """SELECT file_id, count(*) AS n_oversized, CAST(sum(n) AS BIGINT) AS n_chars, true AS within FROM (
   SELECT DISTINCT chunk_id, file_id, length(content) AS n FROM embed_chunks WHERE length(content) > 2048) GROUP BY file_id"""
+
+
+# --- p7: survivors ---------------------------------------------------------------------------------------------------
+
+
+@query
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.survivors(table(spark, sf_dir, "notes")).where("first_id <> last_id").select("first_id", "survivor_id")
+
+
+@query
+def p7_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per note text, copies or not, with its fields filled from all copies."""
+    flat = lambda c: F.array_join(c, "|").alias(c)
+    return V.survivors(table(spark, sf_dir, "notes")).select(
+        "first_id", "survivor_id", "kind", "title", "status", "created_at", flat("tags"), flat("linked_files"), "source_ref",
+        "valid_at", "remote_id", "layers", "candidates")
+
+
+_COPY_SQL = r"""trim(regexp_replace(lower(coalesce({0}, '')), '\s+', ' ', 'g'))"""
+ORACLE["p7_found"] = f"""
+WITH n AS (SELECT DISTINCT id, {_COPY_SQL.format('kind')} AS k, {_COPY_SQL.format('title')} AS t, {_COPY_SQL.format('body')} AS b,
+    CASE WHEN lower(trim(status)) = 'active' THEN 1 ELSE 0 END AS trust,
+    CASE WHEN created_at >= 100000000000 THEN created_at // 1000 ELSE created_at END AS recency,
+    CAST(len(list_filter(coalesce(tags, []), lambda x: trim(coalesce(x, '')) <> '')) > 0 AS INT)
+      + CAST(len(list_filter(coalesce(linked_files, []), lambda x: trim(coalesce(x, '')) <> '')) > 0 AS INT)
+      + CAST(source_ref IS NOT NULL AS INT) + CAST(valid_at IS NOT NULL AS INT) + CAST(remote_id IS NOT NULL AS INT) AS filled FROM notes),
+r AS (SELECT *, row_number() OVER (PARTITION BY k, t, b ORDER BY trust DESC, filled DESC, recency DESC, id) AS rn,
+    min(id) OVER (PARTITION BY k, t, b) AS first_id, max(id) OVER (PARTITION BY k, t, b) AS last_id FROM n)
+SELECT first_id, id AS survivor_id FROM r WHERE rn = 1 AND first_id <> last_id"""
+
+
+# --- p8 and p9: packing and mixing -----------------------------------------------------------------------------------
+
+
+def _windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list]:
+    docs = table(spark, sf_dir, "documents")
+    limits = [(r.limit_name, r.max_size) for r in _limits(spark, sf_dir, "pack_") if r.unit == "tokens"]
+    items = docs.select(F.col("doc_id").alias("item_id"), K.n_tokens(F.col("text")).alias("size"))
+    return P.pack(items, limits, docs.count()), limits
+
+
+@query
+def p8_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in windows of each pack_* limit; pieces only where a document exceeds the window."""
+    windows, _ = _windows(spark, sf_dir)
+    return windows.withColumnsRenamed({"item_id": "doc_id", "start": "token_start", "size": "n_tokens"})
+
+
+@query
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the windows of each limit are, and that none is overfull."""
+    windows, limits = _windows(spark, sf_dir)
+    per_window = windows.groupBy("limit_name", "window_id").agg(F.sum("size").alias("used"), F.count(F.lit(1)).alias("items"))
+    caps = F.create_map(*[F.lit(x) for pair in limits for x in pair])
+    return per_window.groupBy("limit_name").agg(
+        F.count(F.lit(1)).alias("windows"), F.sum("items").alias("items"), F.sum("used").alias("tokens"), F.max("used").alias("fullest")).withColumn(
+        "fill", F.round(F.col("tokens") / (F.col("windows") * caps[F.col("limit_name")]), 6))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict]:
+    targets = {r.source: (r.target_share, r.max_repeats) for r in
+               table(spark, sf_dir, "mix_targets").select(M.source_name(F.col("source")).alias("source"), "target_share", "max_repeats").collect()}  # eight rows by definition
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", M.source_name(F.col("source")).alias("source"), K.n_tokens(F.col("text")).alias("n_tokens"))
+    return M.mixture(cut(docs), targets), targets
+
+
+@query
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[0]
+
+
+@query
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each listed source, and how often its documents are used."""
+    mixed, targets = _mixed(spark, sf_dir)
+    want = spark.createDataFrame([(s, w, r) for s, (w, r) in targets.items()], "source string, target_share double, max_repeats int")
+    got = mixed.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("uses"), F.max("use_no").alias("most_uses"))
+    full = want.join(got, "source", "left").na.fill(0, ["tokens", "uses", "most_uses"])
+    total = full.agg(F.sum("tokens").alias("all_tokens"))
+    return full.crossJoin(F.broadcast(total)).withColumn("reached_share", F.round(F.col("tokens") / F.col("all_tokens"), 6)).drop("all_tokens")  # one row beside eight
+
+
+# --- p10: look-alikes ------------------------------------------------------------------------------------------------
+
+
+@query
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5("text").alias("raw"), "text")
+    members = L.fold_texts(docs, "text", ["doc_id", "raw"]).select(F.col("doc_id").alias("id"), F.md5("canonical").alias("class"), "raw")
+    return L.same_looking_pairs(cut(members)).select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
+
+
+@query
+def p10_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in its one form."""
+    return L.fold_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", ["doc_id"])
+
+
+ORACLE["p10_texts"] = f"SELECT doc_id, {L.folding_sql('text')} AS canonical FROM documents"
