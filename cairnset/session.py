@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,3 +43,20 @@ def salted_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner",
 def squeeze(c: Column) -> Column:
     """Lower case, outer white space removed, inner runs as one blank."""
     return F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, whatever their working directory: once per Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_cairnset_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="cairnset-code-"), "cairnset.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("cairnset", os.path.relpath(path, root)))
+    sc.addPyFile(archive)
+    sc._cairnset_shipped = True
