@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cairnset.llm import lookalikes as L
 from cairnset.llm import mixing as M
 from cairnset.llm import packing as P
+from cairnset.llm import provenance as R
 from cairnset.llm import quantiles as Q
 from cairnset.llm import splitting as S
 from cairnset.llm import survivors as V
@@ -29,14 +30,24 @@ P1_BY, P1_MEASURES, P1_EPS = ["condition", "model"], ["wall_seconds", "input_tok
 P1_AT = [0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 
 
-@query
-def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles by condition and model from digests kept by received_on day and merged afterwards."""
+def _p1_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests kept of each received_on day."""
     runs = Q.once_per_run(table(spark, sf_dir, "harness_runs"))
-    day = [*P1_BY, "received_on"]
     dealt = runs.repartition("received_on", F.pmod(F.xxhash64("wall_seconds", "input_tokens"), F.lit(4)))
-    kept = cut(Q.digest_groups(dealt, day, P1_MEASURES, P1_EPS))
-    return Q.read_quantiles(Q.merge_digests(kept, P1_BY, P1_EPS), P1_BY, P1_AT)
+    day = [*P1_BY, "received_on"]
+    return cut(Q.merge_digests(Q.digest_groups(dealt, day, P1_MEASURES, P1_EPS), day, P1_EPS, salts=1))
+
+
+def _p1_merged(days: DataFrame) -> DataFrame:
+    return Q.read_quantiles(Q.merge_digests(days, P1_BY, P1_EPS), P1_BY, P1_AT)
+
+
+@query
+def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles by condition and model: of each received_on day from its kept digests, and (day null) of all days merged."""
+    days = _p1_days(spark, sf_dir)
+    each = Q.read_quantiles(days, [*P1_BY, "received_on"], P1_AT)
+    return _p1_merged(days).withColumn("received_on", F.lit(None).cast("date")).unionByName(each)
 
 
 @query
@@ -51,7 +62,7 @@ def p1_in_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_rank_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the rank of each merged daily percentile is within the promised error, counted exactly."""
     runs = Q.once_per_run(table(spark, sf_dir, "harness_runs"))
-    found = p1_percentiles(spark, sf_dir)
+    found = _p1_merged(_p1_days(spark, sf_dir))
     long = runs.select(*P1_BY, F.explode(F.map_from_arrays(
         F.array(*[F.lit(m) for m in P1_MEASURES]),
         F.array(*[F.col(m).cast("double") for m in P1_MEASURES]))).alias("measure", "value"))
@@ -228,3 +239,22 @@ def p10_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["p10_texts"] = f"SELECT doc_id, {L.folding_sql('text')} AS canonical FROM documents"
+
+
+# --- p5: files not written by hand -----------------------------------------------------------------------------------
+
+
+def _provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "embed_chunks").select("file_id", "chunk_id", "seq", "content")
+    return R.not_by_hand(table(spark, sf_dir, "files"), chunks)
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _provenance(spark, sf_dir).where("generated or minified or vendored or data").select("file_id")
+
+
+@query
+def p5_handwritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left to index: hand-written files with their project, path and language."""
+    return _provenance(spark, sf_dir).where("not (generated or minified or vendored or data)").select("file_id", "project", "path", "language")
