@@ -101,90 +101,105 @@ def _k(eps: float) -> int:
     return int(np.ceil(LEVELS / eps))
 
 
-def digest_groups(df: DataFrame, by: list[str], measures: list[str], eps: float) -> DataFrame:
-    """One digest row per task, group and measure: by..., measure, n, nodes, counts (packed little-endian arrays)."""
-    k = _k(eps)
-    schema = T.StructType([df.schema[c] for c in by] + _PACKED)
-    target = pa.schema([*_arrow_fields(df, by), ("measure", pa.string()), ("n", pa.int64()), ("nodes", pa.binary()), ("counts", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: dict[tuple, int] = {}
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        fresh: list[np.ndarray] = []
-        held = 0
-
-        def fold() -> tuple[np.ndarray, np.ndarray]:
-            new = np.concatenate(fresh) if fresh else np.zeros(0, np.uint64)
-            all_k, all_c = _add(np.r_[keys, new], np.r_[counts, np.ones(len(new), np.int64)])
-            sizes = np.bincount((all_k >> _SHIFT).astype(np.int64), weights=all_c, minlength=len(ids) * len(measures))
-            return compress(all_k, all_c, (sizes / k).astype(np.int64))
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            code = np.zeros(batch.num_rows, np.int64)
-            values = []
-            for c in by:
-                d = batch.column(batch.schema.get_field_index(c)).dictionary_encode()
-                values.append([*d.dictionary.to_pylist(), None])
-                idx = d.indices.fill_null(len(values[-1]) - 1).to_numpy(zero_copy_only=False).astype(np.int64)
-                code = code * len(values[-1]) + idx
-            seen, inverse = np.unique(code, return_inverse=True)
-            gids = np.empty(len(seen), np.int64)
-            for j, s in enumerate(seen.tolist()):
-                key = []
-                for v in reversed(values):
-                    s, r = divmod(s, len(v))
-                    key.append(v[r])
-                gids[j] = ids.setdefault(tuple(reversed(key)), len(ids))
-            gid = gids[inverse]
-            for m, c in enumerate(measures):
-                v = batch.column(batch.schema.get_field_index(c)).cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
-                ok = v >= 0
-                fresh.append(((gid[ok] * len(measures) + m).astype(np.uint64) << _SHIFT) | encode(v[ok]))
-            held += batch.num_rows
-            if held > 500_000:
-                keys, counts = fold()
-                fresh, held = [], 0
-        keys, counts = fold()
-        owner = (keys >> _SHIFT).astype(np.int64)
-        names = list(ids)
+class _Digests:
+    """Digests of many groups in one task: values and nodes are added, everything is compressed together."""
+
+    def __init__(self, by: list[str], k: int, hold: int = 2_000_000):
+        self.by, self.k, self.hold = by, k, hold
+        self.ids: dict[tuple, int] = {}
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.fresh: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def groups(self, batch: pa.RecordBatch, measure: str | None = None) -> np.ndarray:
+        """Number of the group of each row; a given measure is the last part of the key."""
+        code, values = np.zeros(batch.num_rows, np.int64), []
+        for c in self.by if measure else [*self.by, "measure"]:
+            d = batch.column(batch.schema.get_field_index(c)).dictionary_encode()
+            values.append([*d.dictionary.to_pylist(), None])
+            code = code * len(values[-1]) + d.indices.fill_null(len(values[-1]) - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+        seen, inverse = np.unique(code, return_inverse=True)
+        numbers = np.empty(len(seen), np.int64)
+        for j, s in enumerate(seen.tolist()):
+            key = [measure] if measure else []
+            for v in reversed(values):
+                s, r = divmod(s, len(v))
+                key.append(v[r])
+            numbers[j] = self.ids.setdefault(tuple(reversed(key)), len(self.ids))
+        return numbers[inverse]
+
+    def add(self, group: np.ndarray, nodes: np.ndarray, counts: np.ndarray) -> None:
+        self.fresh.append(((group.astype(np.uint64) << _SHIFT) | nodes, counts))
+        self.held += len(nodes)
+        if self.held > self.hold:
+            self.fold()
+
+    def fold(self) -> None:
+        keys, counts = _add(np.concatenate([self.keys, *[f[0] for f in self.fresh]]), np.concatenate([self.counts, *[f[1] for f in self.fresh]]))
+        sizes = np.bincount((keys >> _SHIFT).astype(np.int64), weights=counts, minlength=len(self.ids))
+        self.keys, self.counts = compress(keys, counts, (sizes / self.k).astype(np.int64))
+        self.fresh, self.held = [], 0
+
+    def rows(self, target: pa.Schema) -> Iterator[pa.RecordBatch]:
+        self.fold()
+        owner, names = (self.keys >> _SHIFT).astype(np.int64), list(self.ids)
         starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
-        rows = []
+        nodes, counts, rows = (self.keys & _LOW).astype("<u4"), self.counts.astype("<i8"), []
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(owner)]):
-            g, m = divmod(int(owner[a]), len(measures))
-            rows.append((*names[g], measures[m], int(counts[a:b].sum()),
-                         (keys[a:b] & _LOW).astype("<u4").tobytes(), counts[a:b].astype("<i8").tobytes()))
+            rows.append((*names[owner[a]], int(counts[a:b].sum()), nodes[a:b].tobytes(), counts[a:b].tobytes()))
         for a in range(0, len(rows), 5000):
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[a:a + 5000]), target)], schema=target)
 
-    return df.select(*by, *measures).mapInArrow(run, schema)
-
 
-def _arrow_fields(df: DataFrame, by: list[str]) -> list:
+def _schemas(df: DataFrame, by: list[str]) -> tuple[T.StructType, pa.Schema]:
     from pyspark.sql.pandas.types import to_arrow_type
 
-    return [(c, to_arrow_type(df.schema[c].dataType)) for c in by]
+    fields = [(c, to_arrow_type(df.schema[c].dataType)) for c in by]
+    return (T.StructType([df.schema[c] for c in by] + _PACKED),
+            pa.schema([*fields, ("measure", pa.string()), ("n", pa.int64()), ("nodes", pa.binary()), ("counts", pa.binary())]))
+
+
+def digest_groups(df: DataFrame, by: list[str], measures: list[str], eps: float) -> DataFrame:
+    """One digest row per task, group and measure: by..., measure, n, nodes, counts (packed little-endian arrays)."""
+    k = _k(eps)
+    schema, target = _schemas(df, by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Digests(by, k)
+        for b in batches:
+            for m in measures if b.num_rows else ():
+                v = b.column(b.schema.get_field_index(m)).cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+                ok = np.flatnonzero(v >= 0)
+                held.add(held.groups(b, m)[ok], encode(v[ok]), np.ones(len(ok), np.int64))
+        yield from held.rows(target)
+
+    return df.select(*by, *measures).mapInArrow(run, schema)
 
 
 def merge_digests(digests: DataFrame, by: list[str], eps: float, salts: int | None = None) -> DataFrame:
-    """Add up all digests of a group (by node), from whatever tasks, partitions or days they come."""
+    """Add up all digests of a group (by node), from whatever tasks, partitions or days they come.
+
+    In two steps, unless salts is 1: the digests of a group are first dealt over `salts` tasks.
+    """
     k = _k(eps)
-    schema = T.StructType([digests.schema[c] for c in by] + _PACKED)
+    schema, target = _schemas(digests, by)
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["nodes"]]).astype(np.uint64)
-        counts = np.concatenate([np.frombuffer(x, "<i8") for x in pdf["counts"]])
-        n = int(counts.sum())
-        nodes, counts = compress(nodes, counts, np.array([n // k]))
-        row = {c: pdf[c].iloc[0] for c in [*by, "measure"]}
-        return pd.DataFrame([row | {"n": n, "nodes": nodes.astype("<u4").tobytes(), "counts": counts.astype("<i8").tobytes()}])[schema.names]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Digests(by, k)
+        for b in batches:
+            if b.num_rows:
+                group = held.groups(b)
+                nodes = [np.frombuffer(x, "<u4") for x in b.column(b.schema.get_field_index("nodes")).to_pylist()]
+                counts = [np.frombuffer(x, "<i8") for x in b.column(b.schema.get_field_index("counts")).to_pylist()]
+                held.add(np.repeat(group, [len(x) for x in nodes]), np.concatenate(nodes).astype(np.uint64), np.concatenate(counts))
+        yield from held.rows(target)
 
     salts = salts or max(1, int(np.sqrt(int(digests.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     slim = digests.select(*by, "measure", "n", "nodes", "counts")
-    part = slim.withColumn("salt", F.pmod(F.xxhash64("nodes"), F.lit(salts)))
-    some = part.groupBy(*by, "measure", "salt").applyInPandas(merge, schema)
-    return some.groupBy(*by, "measure").applyInPandas(merge, schema)
+    if salts > 1:
+        salt = F.pmod(F.xxhash64("nodes"), F.lit(salts))
+        slim = slim.withColumn("salt", salt).repartition(*by, "measure", "salt").mapInArrow(run, schema)
+    return slim.repartition(*by, "measure").mapInArrow(run, schema)
 
 
 def read_quantiles(digests: DataFrame, by: list[str], at: list[float]) -> DataFrame:
