@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairnset.llm import lookalikes as L
 from cairnset.llm import mixing as M
+from cairnset.llm import neighbours as N
 from cairnset.llm import packing as P
 from cairnset.llm import provenance as R
 from cairnset.llm import quantiles as Q
@@ -258,3 +259,21 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_handwritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left to index: hand-written files with their project, path and language."""
     return _provenance(spark, sf_dir).where("not (generated or minified or vendored or data)").select("file_id", "project", "path", "language")
+
+
+# --- p4: nearest vectors ---------------------------------------------------------------------------------------------
+
+
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.nearest(table(spark, sf_dir, "embed_vectors").select(F.col("chunk_id").alias("id"), "vector"), dim=64, k=5)
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.similar_pairs(_neighbours(spark, sf_dir), 0.90).select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
+
+
+@query
+def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest chunks of every usable chunk."""
+    return _neighbours(spark, sf_dir).select(F.col("id").alias("chunk_id"), F.col("other").alias("near_chunk_id"), "place", F.round("cosine", 5).alias("cosine"))
