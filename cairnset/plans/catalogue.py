@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cairnset.plans import dealt
+from cairnset.plans import dealt, ranked
 
-MODULES = [dealt]
+MODULES = [dealt, ranked]
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 for _m in MODULES:
