@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cairnset.plans import dealt, ranked
+from cairnset.plans import dealt, merging, ranked, reads
 
-MODULES = [dealt, ranked]
+MODULES = [dealt, ranked, reads, merging]
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 for _m in MODULES:
