@@ -52,7 +52,7 @@ def lang_detect(path: Column) -> Column:
 
 def atx_heading(line: Column) -> Column:
     """Title of a heading of 1 to 6 marks at the line's start, blank or line end after them; null otherwise."""
-    return F.when(line.rlike(r"^#{1,6}( |\t|$)"), F.trim(F.regexp_replace(line, r"^#{1,6}", "")))
+    return F.when(line.rlike(r"^#{1,6}( |$)"), F.trim(F.regexp_replace(line, r"^#{1,6}", "")))
 
 
 def strip_ansi(c: Column) -> Column:
@@ -75,12 +75,12 @@ def html_unescape(c: Column) -> Column:
 def format_age(seconds: Column) -> Column:
     s = F.greatest(F.lit(0), seconds)
     unit = lambda n, name: F.concat(F.floor(s / n).cast("string"), F.lit(name))
-    return F.when(s < 90, unit(1, " sec")).when(s < 3600, unit(60, " min")).when(s < 86400, unit(3600, " hr")).otherwise(unit(86400, " days"))
+    return F.when(s < 90, unit(1, " sec ago")).when(s < 3600, unit(60, " min ago")).when(s < 86400, unit(3600, " hr ago")).otherwise(unit(86400, " days ago"))
 
 
 def parse_as_of(c: Column) -> Column:
     """Epoch seconds (UTC) of a date, a minute or a second, blank or T between, an optional Z; null otherwise."""
-    t = F.regexp_replace(F.regexp_replace(F.trim(c), "Z$", ""), "T", " ")
+    t = F.regexp_replace(F.regexp_replace(c, "Z+$", ""), "T", " ")
     ok = t.rlike(r"^\d{4}-\d{2}-\d{2}( \d{2}:\d{2}(:\d{2})?)?$")
     return F.when(ok, F.try_to_timestamp(t).cast("long"))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cairnset.plans import dealt, merging, ranked, reads
+from cairnset.plans import dealt, merging, mining, ranked, reads
 
-MODULES = [dealt, ranked, reads, merging]
+MODULES = [dealt, ranked, reads, merging, mining]
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 for _m in MODULES:
