@@ -50,8 +50,8 @@ def phrase_count(words: Column, phrase: list[str]) -> Column:
     return F.size(F.filter(at, lambda i: F.slice(words, i, n) == F.array(*[F.lit(p) for p in phrase])))
 
 
-def fts_memory(notes: DataFrame, query: str, key: str = "id", limit: int = 1000) -> DataFrame:
-    """The whole query as one phrase over title, body and tags. `notes` carries title, body, tags."""
+def fts_memory(notes: DataFrame, query: str, key: str = "id", limit: int | None = 1000) -> DataFrame:
+    """The whole query as one phrase over title, body and tags; limit None: every hit, in no order. `notes` carries title, body, tags."""
     import re
 
     phrase = [w for w in re.split(r"[\W_]+", query.replace("\0", "").lower()) if w]
@@ -59,7 +59,8 @@ def fts_memory(notes: DataFrame, query: str, key: str = "id", limit: int = 1000)
         return notes.withColumn("score", F.lit(0.0)).limit(0)
     text = F.concat_ws(" \n ", "title", "body", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " "))
     ranked = _bm25(notes.withColumn("__w", T.words(text)), {"phrase": phrase_count(F.col("__w"), phrase)}, F.size("__w"))
-    return ranked.drop("__w").orderBy(F.desc(F.round("score", 9)), key).limit(limit)
+    hits = ranked.drop("__w")
+    return hits if limit is None else hits.orderBy(F.desc(F.round("score", 9)), key).limit(limit)
 
 
 def as_of(notes: DataFrame, at: int | None, archived: bool = False) -> DataFrame:
@@ -173,7 +174,8 @@ def conflicts(vectors: DataFrame, at_least: float = 0.92, limit: int = 5, key: s
     """For each vector the nearest others with 1 - L2 at or over the bound, at most `limit` each.
 
     Within the bound every coordinate differs by at most the radius, so vectors meet only in equal or neighbouring cells of
-    a grid over two coordinates: an equi-join on the cell instead of a join of all with all.
+    a grid over two coordinates: an equi-join on the cell instead of a join of all with all. Of identical vectors only the
+    first `limit` + 1 by key are looked up, as no more can be among the nearest of anything.
     """
     radius = 1 - at_least
     cell = cell or radius
@@ -182,7 +184,21 @@ def conflicts(vectors: DataFrame, at_least: float = 0.92, limit: int = 5, key: s
     step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     asks = base.select(F.col("k").alias("a"), F.col("embedding").alias("ea"), F.explode(F.transform(step, lambda s: F.col("x") + s)).alias("x"), "y").select(
         "a", "ea", "x", F.explode(F.transform(step, lambda s: F.col("y") + s)).alias("y"))
-    near = asks.join(base, ["x", "y"]).where("a <> k").withColumn("distance", l2(F.col("ea"), F.col("embedding"))).where(F.col("distance") <= radius + 1e-9)
+    copy = F.row_number().over(W.partitionBy("embedding").orderBy("k"))
+    targets = base.withColumn("copy", copy).where(F.col("copy") <= limit + 1).drop("copy")
+    near = asks.join(targets, ["x", "y"]).where("a <> k").withColumn("distance", l2(F.col("ea"), F.col("embedding"))).where(F.col("distance") <= radius + 1e-9)
     best = W.partitionBy("a").orderBy(F.round("distance", 9), "k")
     return near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit).select(
         F.col("a").alias("id_a"), F.col("k").alias("id_b"), (1 - F.col("distance")).alias("similarity"), "place")
+
+
+def nearest_earlier(vectors: DataFrame, within: float, key: str = "vec_id") -> DataFrame:
+    """id, nearest: the distance to the nearest vector of a smaller key, where it is under the bound.
+
+    Identical vectors are one: a further copy is at distance 0, and only the first copies are compared, by grid cells.
+    """
+    firsts = vectors.groupBy("embedding").agg(F.min(key).alias(key))
+    copies = vectors.join(firsts.select(key), key, "left_anti").select(F.col(key).alias("id"), F.lit(0.0).alias("nearest"))
+    near = conflicts(firsts, at_least=1 - within, limit=1_000_000, key=key).where("id_b < id_a")
+    apart = near.groupBy(F.col("id_a").alias("id")).agg((1 - F.max("similarity")).alias("nearest"))
+    return copies.unionByName(apart).where(F.col("nearest") < within)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cairnset.plans import dealt, merging, mining, ranked, reads
+from cairnset.plans import dealt, merging, mining, ranked, reads, streams
 
-MODULES = [dealt, ranked, reads, merging, mining]
+MODULES = [dealt, ranked, reads, merging, mining, streams]
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 for _m in MODULES:

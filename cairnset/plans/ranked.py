@@ -61,7 +61,7 @@ def fts_code(spark, d):
 @query(f"WITH {_NOTE_BM} SELECT id, round(score, 6) AS score FROM bm WHERE status = 'active' ORDER BY round(score, 9) DESC, id LIMIT 30")
 def fts_memory(spark, d):
     """Phrase hits scored over all notes, then the active ones."""
-    return R.fts_memory(V.notes(spark, d), NOTE_QUERY, limit=1_000_000).where("status = 'active'").orderBy(F.desc(F.round("score", 9)), "id").limit(30).select(
+    return R.fts_memory(V.notes(spark, d), NOTE_QUERY, limit=None).where("status = 'active'").orderBy(F.desc(F.round("score", 9)), "id").limit(30).select(
         "id", F.round("score", 6).alias("score"))
 
 
@@ -157,7 +157,7 @@ def rrf_hybrid_memory(spark, d):
     """Phrase and vector hits of notes valid at an instant; the vectors' k is taken before the filter."""
     at, n = 1_760_000_000, 45
     valid = cut(R.as_of(V.notes(spark, d), at))
-    text = R.as_of(R.fts_memory(V.notes(spark, d), NOTE_QUERY, limit=1_000_000), at).orderBy(F.desc(F.round("score", 9)), "id").limit(n)
+    text = R.as_of(R.fts_memory(V.notes(spark, d), NOTE_QUERY, limit=None), at).orderBy(F.desc(F.round("score", 9)), "id").limit(n)
     near = R.knn_float(table(spark, d, "embeddings"), _vector(spark, d), n).select(F.col("vec_id").alias("id"), "distance").join(valid.select("id"), "id", "left_semi")
     lists = [R.ranked(text, [F.desc(F.round("score", 9)), F.col("id")]), R.ranked(near, [F.round("distance", 9), F.col("id")])]
     return R.rrf(lists, "id", 15).withColumn("score", F.round("score", 6))
@@ -226,8 +226,7 @@ def coverage_disposition(spark, d):
 SELECT id, round(nearest, 6) AS nearest FROM n WHERE nearest < 0.25""")
 def harvest_semantic_dedup(spark, d):
     """Candidates within a distance of an earlier one: the one-shot form, by grid cells instead of all pairs."""
-    near = R.conflicts(_chunk_vectors(spark, d), at_least=0.75, limit=1_000_000, key="chunk_id")
-    return near.where("id_b < id_a").groupBy(F.col("id_a").alias("id")).agg(F.round(1 - F.max("similarity"), 6).alias("nearest")).where("nearest < 0.25")
+    return R.nearest_earlier(_chunk_vectors(spark, d), 0.25, key="chunk_id").withColumn("nearest", F.round("nearest", 6))
 
 
 # --- symbol graph ----------------------------------------------------------------------------------------------------
