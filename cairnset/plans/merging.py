@@ -23,18 +23,18 @@ def set_union_distinct(spark, d):
     return e.select(F.col("from_id").alias("id")).union(e.select("to_id")).distinct()
 
 
-@query(w(V.FILES, then="SELECT path FROM files_v EXCEPT SELECT path FROM files_v WHERE file_id % 3 <> 0"))
+@query(w(V.FILES, then="SELECT path FROM files_v EXCEPT SELECT path FROM files_v WHERE mtime > 0"))
 def set_difference(spark, d):
     """Indexed paths that were not visited any more."""
     f = V.files(spark, d)
-    return f.select("path").distinct().join(f.where("file_id % 3 <> 0").select("path"), "path", "left_anti")
+    return f.select("path").distinct().join(f.where("mtime > 0").select("path"), "path", "left_anti")
 
 
-@query("""WITH c AS (SELECT DISTINCT source_commit AS sha FROM relay_pushes WHERE source_commit IS NOT NULL), h AS (SELECT DISTINCT source_ref AS sha FROM notes WHERE source_ref IS NOT NULL)
+@query("""WITH c AS (SELECT DISTINCT source_commit AS sha FROM relay_pushes WHERE source_commit IS NOT NULL), h AS (SELECT DISTINCT source_ref AS sha FROM notes WHERE source_ref IS NOT NULL AND kind = 'decision')
 SELECT sha FROM c WHERE sha NOT IN (SELECT sha FROM h)""")
 def set_new_items(spark, d):
     c = table(spark, d, "relay_pushes").where("source_commit is not null").select(F.col("source_commit").alias("sha")).distinct()
-    return c.join(table(spark, d, "notes").select(F.col("source_ref").alias("sha")), "sha", "left_anti")
+    return c.join(table(spark, d, "notes").where("kind = 'decision'").select(F.col("source_ref").alias("sha")), "sha", "left_anti")
 
 
 _UNITED = "list_filter(list_transform(list_concat(coalesce({0}, []), coalesce({1}, [])), lambda x: trim(x)), lambda x: x IS NOT NULL AND x <> '')"
@@ -63,13 +63,13 @@ def entity_id(spark, d):
     return table(spark, d, "notes").distinct().select("id", T.entity_id(F.col("kind"), F.col("title"), F.col("body")).alias("entity"))
 
 
-_OLD = "old AS (SELECT id, title, tags, coalesce(entity_id, 'e' || id) AS entity FROM notes_v WHERE id % 2 = 0)"
-_NEW = "new AS (SELECT id, title, tags, coalesce(entity_id, 'e' || id) AS entity FROM notes_v WHERE id % 3 = 0)"
+_OLD = "old AS (SELECT id, title, tags, coalesce(entity_id, 'e' || id) AS entity FROM notes_v WHERE status = 'archived')"
+_NEW = "new AS (SELECT id, title, tags, coalesce(entity_id, 'e' || id) AS entity FROM notes_v WHERE status = 'active')"
 
 
 def _old_new(spark, d):
-    n = V.notes(spark, d).select("id", "title", "tags", F.coalesce("entity_id", F.concat(F.lit("e"), F.col("id").cast("string"))).alias("entity"))
-    return n.where("id % 2 = 0"), n.where("id % 3 = 0")
+    n = V.notes(spark, d).select("id", "title", "tags", "status", F.coalesce("entity_id", F.concat(F.lit("e"), F.col("id").cast("string"))).alias("entity"))
+    return n.where("status = 'archived'"), n.where("status = 'active'")
 
 
 @query(w(V.NOTES, _OLD, _NEW, then="""SELECT entity, bool_or(src = 1) AS existed, count(*) AS copies, min(id) AS id FROM (SELECT *, 1 AS src FROM old UNION ALL SELECT *, 0 FROM new) GROUP BY entity"""))
@@ -80,26 +80,26 @@ def insert_idempotent(spark, d):
     return both.groupBy("entity").agg((F.max("src") == 1).alias("existed"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("id"))
 
 
-@query(w(V.FILES, then="""SELECT coalesce(n.file_id, o.file_id) AS file_id, coalesce(n.hash, o.hash) AS hash, coalesce(n.mtime, o.mtime) AS mtime FROM (SELECT * FROM files_v WHERE file_id % 2 = 0) o
-FULL JOIN (SELECT file_id, CASE WHEN file_id % 9 = 0 THEN NULL ELSE 'h' || file_id END AS hash, mtime + 5 AS mtime FROM files_v WHERE file_id % 3 = 0) n ON n.file_id = o.file_id"""))
+@query(w(V.FILES, then="""SELECT coalesce(n.file_id, o.file_id) AS file_id, coalesce(n.hash, o.hash) AS hash, coalesce(n.mtime, o.mtime) AS mtime FROM (SELECT * FROM files_v WHERE indexed_at < 1775000000) o
+FULL JOIN (SELECT file_id, CASE WHEN language IS NULL THEN NULL ELSE 'h' || file_id END AS hash, mtime + 5 AS mtime FROM files_v WHERE indexed_at > 1745000000) n ON n.file_id = o.file_id"""))
 def upsert_file(spark, d):
-    f = V.files(spark, d).select("file_id", "hash", "mtime")
-    new = f.where("file_id % 3 = 0").select("file_id", F.when(F.col("file_id") % 9 != 0, F.concat(F.lit("h"), F.col("file_id").cast("string"))).alias("hash"), (F.col("mtime") + 5).alias("mtime"))
-    return N.upsert(f.where("file_id % 2 = 0"), new, ["file_id"])
+    f = V.files(spark, d)
+    new = f.where("indexed_at > 1745000000").select("file_id", F.when(F.col("language").isNotNull(), F.concat(F.lit("h"), F.col("file_id").cast("string"))).alias("hash"), (F.col("mtime") + 5).alias("mtime"))
+    return N.upsert(f.where("indexed_at < 1775000000").select("file_id", "hash", "mtime"), new, ["file_id"])
 
 
-@query(w(V.EDGES, then="""SELECT from_id, to_id, kind, created_at FROM edges_v WHERE from_id % 2 = 0 UNION ALL SELECT from_id, to_id, kind, min(c) FROM (
-  SELECT from_id, to_id, kind, created_at + 1 AS c FROM edges_v UNION ALL SELECT from_id, to_id, kind, created_at + 2 FROM edges_v) WHERE from_id % 2 <> 0 GROUP BY from_id, to_id, kind"""))
+@query(w(V.EDGES, then="""SELECT from_id, to_id, kind, created_at FROM edges_v WHERE kind = 'relates_to' UNION ALL SELECT from_id, to_id, kind, min(c) FROM (
+  SELECT from_id, to_id, kind, created_at + 1 AS c FROM edges_v UNION ALL SELECT from_id, to_id, kind, created_at + 2 FROM edges_v) WHERE kind <> 'relates_to' GROUP BY from_id, to_id, kind"""))
 def insert_or_ignore(spark, d):
     e = V.edges(spark, d)
     add = lambda k: e.withColumn("created_at", F.col("created_at") + k)
-    return N.insert_or_ignore(e.where("from_id % 2 = 0"), add(1).union(add(2)), ["from_id", "to_id", "kind"])
+    return N.insert_or_ignore(e.where("kind = 'relates_to'"), add(1).union(add(2)), ["from_id", "to_id", "kind"])
 
 
-@query(w(V.EDGES, then="SELECT from_id, to_id, kind FROM edges_v WHERE from_id NOT IN (SELECT from_id FROM edges_v WHERE from_id % 4 = 0) UNION ALL SELECT from_id, -to_id, kind FROM edges_v WHERE from_id % 4 = 0"))
+@query(w(V.EDGES, then="SELECT from_id, to_id, kind FROM edges_v WHERE from_id NOT IN (SELECT from_id FROM edges_v WHERE kind = 'contradicts') UNION ALL SELECT from_id, -to_id, kind FROM edges_v WHERE kind = 'contradicts'"))
 def replace_edges(spark, d):
     e = V.edges(spark, d).select("from_id", "to_id", "kind")
-    return N.replace_where(e, e.where("from_id % 4 = 0").withColumn("to_id", -F.col("to_id")), ["from_id"])
+    return N.replace_where(e, e.where("kind = 'contradicts'").withColumn("to_id", -F.col("to_id")), ["from_id"])
 
 
 @query(w(V.FILES, V.CHUNKS, then="""SELECT c.chunk_id, c.file_id, v.chunk_id IS NOT NULL AS has_vector FROM chunks_v c LEFT JOIN (SELECT DISTINCT chunk_id FROM embed_vectors) v USING (chunk_id)
@@ -111,18 +111,18 @@ def delete_file(spark, d):
     return V.chunks(spark, d).join(gone, "file_id", "left_anti").join(v, "chunk_id", "left").select("chunk_id", "file_id", F.coalesce("has_vector", F.lit(False)).alias("has_vector"))
 
 
-@query(w(V.NOTES, then="SELECT id, CASE WHEN status = 'active' AND id % 5 = 0 THEN 'archived' ELSE status END AS status, invalid_at FROM notes_v"))
+@query(w(V.NOTES, then="SELECT id, CASE WHEN status = 'active' AND kind = 'handoff' THEN 'archived' ELSE status END AS status, invalid_at FROM notes_v"))
 def archive(spark, d):
     """Archiving leaves invalid_at alone, so an archived note stays visible as of an instant."""
-    s = F.when((F.col("status") == "active") & (F.col("id") % 5 == 0), "archived").otherwise(F.col("status"))
+    s = F.when((F.col("status") == "active") & (F.col("kind") == "handoff"), "archived").otherwise(F.col("status"))
     return V.notes(spark, d).select("id", s.alias("status"), "invalid_at")
 
 
 def _mapping(spark, d):
-    return V.notes(spark, d).where("id % 6 = 0").select("id", (F.col("id") + 1).alias("new_id"))
+    return V.notes(spark, d).where("kind = 'question'").select("id", (F.col("id") + 1).alias("new_id"))
 
 
-_SUP = f"""s AS (SELECT n.*, m.new_id, m.new_id IS NOT NULL AND n.status = 'active' AS hit FROM notes_v n LEFT JOIN (SELECT id, id + 1 AS new_id FROM notes_v WHERE id % 6 = 0) m USING (id))"""
+_SUP = f"""s AS (SELECT n.*, m.new_id, m.new_id IS NOT NULL AND n.status = 'active' AS hit FROM notes_v n LEFT JOIN (SELECT id, id + 1 AS new_id FROM notes_v WHERE kind = 'question') m USING (id))"""
 
 
 @query(w(V.NOTES, _SUP, then=f"SELECT id, CASE WHEN hit THEN 'archived' ELSE status END AS status, CASE WHEN hit THEN new_id ELSE superseded_by END AS superseded_by, CASE WHEN hit THEN coalesce(invalid_at, {NOW}) ELSE invalid_at END AS invalid_at FROM s"))
@@ -166,17 +166,17 @@ def dedupe_dry_run(spark, d):
     return a.crossJoin(b)  # single rows
 
 
-_LOG = """lg AS (SELECT sha256(lower(kind || '|' || title)) AS entity_id, 1 + id % 2 AS schema_version, kind, status, created_at, id, source_ref, remote_id, superseded_by, valid_at, invalid_at,
+_LOG = """lg AS (SELECT sha256(lower(kind || '|' || title)) AS entity_id, CASE WHEN kind = 'note' THEN 0 ELSE 1 END AS schema_version, kind, status, created_at, id, source_ref, remote_id, superseded_by, valid_at, invalid_at,
   list_filter(coalesce(tags, []), lambda x: x IS NOT NULL) AS tags, list_filter(coalesce(linked_files, []), lambda x: x IS NOT NULL) AS linked_files,
-  CASE WHEN id % 4 = 0 THEN 'n' || id END AS sup, 'c' || id % 17 AS "commit" FROM notes_v)"""
+  'n' || superseded_by AS sup, coalesce(source_ref, 'none') AS "commit" FROM notes_v)"""
 
 
 def _log(spark, d):
     clean = lambda c: F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: x.isNotNull())
     return V.notes(spark, d).select(
-        F.sha2(F.lower(F.concat_ws("|", "kind", "title")), 256).alias("entity_id"), (1 + F.col("id") % 2).alias("schema_version"), "kind", "status", "created_at", "id", "source_ref", "remote_id",
+        F.sha2(F.lower(F.concat_ws("|", "kind", "title")), 256).alias("entity_id"), F.when(F.col("kind") == "note", 0).otherwise(1).alias("schema_version"), "kind", "status", "created_at", "id", "source_ref", "remote_id",
         "superseded_by", "valid_at", "invalid_at", clean("tags").alias("tags"), clean("linked_files").alias("linked_files"),
-        F.when(F.col("id") % 4 == 0, F.concat(F.lit("n"), F.col("id").cast("string"))).alias("superseded_by_entity_id"), F.concat(F.lit("c"), (F.col("id") % 17).cast("string")).alias("commit"))
+        F.concat(F.lit("n"), F.col("superseded_by").cast("string")).alias("superseded_by_entity_id"), F.coalesce("source_ref", F.lit("none")).alias("commit"))
 
 
 @query(w(V.NOTES, _LOG, then="""SELECT entity_id, first(id ORDER BY created_at, id) AS id, min(created_at) AS created_at, CASE WHEN bool_or(status = 'archived') THEN 'archived' ELSE first(status ORDER BY created_at, id) END AS status,
@@ -281,11 +281,11 @@ def uuid_backfill(spark, d):
     return V.notes(spark, d).select("id", F.coalesce("uuid", F.concat(F.lit("00000000-0000-7000-8000-"), F.lpad(F.col("id").cast("string"), 12, "0"))).alias("uuid"))
 
 
-@query(w(V.NOTES, then="SELECT id, coalesce(remote_id, 'r' || id) AS remote_id, CASE WHEN id % 8 = 0 THEN NULL ELSE superseded_by END AS superseded_by FROM notes_v WHERE id % 10 <> 0"))
+@query(w(V.NOTES, then="SELECT id, coalesce(remote_id, 'r' || id) AS remote_id, CASE WHEN status = 'active' THEN NULL ELSE superseded_by END AS superseded_by FROM notes_v WHERE kind <> 'handoff'"))
 def dml_rows(spark, d):
     """Single-row writes as projections: a remote id only where none is set, a pointer cleared, a note deleted."""
-    n = V.notes(spark, d).where("id % 10 <> 0")
-    return n.select("id", F.coalesce("remote_id", F.concat(F.lit("r"), F.col("id").cast("string"))).alias("remote_id"), F.when(F.col("id") % 8 != 0, F.col("superseded_by")).alias("superseded_by"))
+    n = V.notes(spark, d).where("kind <> 'handoff'")
+    return n.select("id", F.coalesce("remote_id", F.concat(F.lit("r"), F.col("id").cast("string"))).alias("remote_id"), F.when(F.col("status") != "active", F.col("superseded_by")).alias("superseded_by"))
 
 
 @query("SELECT len(vector) AS dim, count(*) AS n, len(vector) = 64 AS fits FROM embed_vectors WHERE vector IS NOT NULL GROUP BY len(vector)")
@@ -315,16 +315,17 @@ def import_state(spark, d):
     return N.upsert(old, spark.createDataFrame([(1, None, "y")], old.schema), ["k"]).select("notes_oid", "index_oid")
 
 
-@query("""SELECT DISTINCT from_id, to_id, lower(trim(kind)) AS kind FROM memory_edges WHERE from_id IS NOT NULL AND to_id IS NOT NULL AND lower(trim(kind)) IN ('supersedes', 'relates_to', 'contradicts') AND from_id % 9 <> 0 AND to_id % 9 <> 0""")
+@query("""SELECT DISTINCT from_id, to_id, lower(trim(kind)) AS kind FROM memory_edges WHERE from_id IS NOT NULL AND to_id IS NOT NULL AND lower(trim(kind)) IN ('supersedes', 'relates_to', 'contradicts') AND from_id NOT IN (SELECT id FROM notes WHERE kind = 'handoff') AND to_id NOT IN (SELECT id FROM notes WHERE kind = 'handoff')""")
 def edge_add_checked(spark, d):
     """Edges of known kinds, each triple once, those of deleted ends gone."""
     e = V.edges(spark, d).where(F.col("kind").isin("supersedes", "relates_to", "contradicts"))
-    return e.where("from_id % 9 <> 0 and to_id % 9 <> 0").select("from_id", "to_id", "kind")
+    gone = table(spark, d, "notes").where("kind = 'handoff'").select("id")
+    return e.join(gone.toDF("from_id"), "from_id", "left_anti").join(gone.toDF("to_id"), "to_id", "left_anti").select("from_id", "to_id", "kind")
 
 
-@query(w(V.FILES, then="SELECT DISTINCT project FROM files_v WHERE project NOT IN (SELECT project FROM documents WHERE project IS NOT NULL AND doc_id % 3 = 0)"))
+@query(w(V.FILES, then="SELECT DISTINCT project FROM files_v WHERE project NOT IN (SELECT project FROM documents WHERE project IS NOT NULL AND lang = 'el')"))
 def registry_autoclean(spark, d):
-    seen = table(spark, d, "documents").where("doc_id % 3 = 0").select("project")
+    seen = table(spark, d, "documents").where("lang = 'el'").select("project")
     return V.files(spark, d).select("project").distinct().join(seen, "project", "left_anti")
 
 
@@ -367,13 +368,13 @@ def stm_sync_round(spark, d):
 
 
 @query(w(V.FILES, then="""SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'removed' WHEN o.hash IS NOT DISTINCT FROM n.hash THEN 'unchanged' ELSE 'changed' END AS change
-FROM (SELECT project || '/' || path AS path, min(hash) AS hash FROM files_v WHERE file_id % 5 <> 0 GROUP BY 1) o
-FULL JOIN (SELECT project || '/' || path AS path, min(CASE WHEN file_id % 4 = 0 THEN 'x' || hash ELSE hash END) AS hash FROM files_v WHERE file_id % 6 <> 0 GROUP BY 1) n ON n.path = o.path"""))
+FROM (SELECT project || '/' || path AS path, min(hash) AS hash FROM files_v WHERE indexed_at < 1775000000 GROUP BY 1) o
+FULL JOIN (SELECT project || '/' || path AS path, min(CASE WHEN language IS NULL THEN 'x' || hash ELSE hash END) AS hash FROM files_v WHERE indexed_at > 1745000000 GROUP BY 1) n ON n.path = o.path"""))
 def stm_incremental_index(spark, d):
-    f = V.files(spark, d).where("path is not null").select("file_id", F.concat_ws("/", "project", "path").alias("path"), "hash")
+    f = V.files(spark, d).where("path is not null").select("language", "indexed_at", F.concat_ws("/", "project", "path").alias("path"), "hash")
     one = lambda x, h: x.groupBy("path").agg(F.min(h).alias("hash"))
-    new_hash = F.when(F.col("file_id") % 4 == 0, F.concat(F.lit("x"), F.col("hash"))).otherwise(F.col("hash"))
-    return N.incremental_diff(one(f.where("file_id % 5 <> 0"), F.col("hash")), one(f.where("file_id % 6 <> 0"), new_hash), ["path"])
+    new_hash = F.when(F.col("language").isNull(), F.concat(F.lit("x"), F.col("hash"))).otherwise(F.col("hash"))
+    return N.incremental_diff(one(f.where("indexed_at < 1775000000"), F.col("hash")), one(f.where("indexed_at > 1745000000"), new_hash), ["path"])
 
 
 _LIMIT = """e AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS sec, row_number() OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT), event_id) AS rn FROM events),

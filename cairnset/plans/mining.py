@@ -458,11 +458,11 @@ def met_mrr(spark, d):
     return _rank_metrics(spark, d).agg(F.round(F.avg("reciprocal_rank"), 6).alias("mrr"))
 
 
-@query("""WITH f AS (SELECT DISTINCT project AS grp, doc_id FROM documents WHERE doc_id % 2 = 0), t AS (SELECT DISTINCT project AS grp, doc_id FROM documents WHERE doc_id % 3 = 0),
+@query("""WITH f AS (SELECT DISTINCT project AS grp, doc_id FROM documents WHERE lang = 'en'), t AS (SELECT DISTINCT project AS grp, doc_id FROM documents WHERE n_chars > 800),
 j AS (SELECT coalesce(f.grp, t.grp) AS grp, count(f.doc_id) AS nf, count(t.doc_id) AS nt, count(CASE WHEN f.doc_id IS NOT NULL AND t.doc_id IS NOT NULL THEN 1 END) AS b FROM f FULL JOIN t ON f.grp = t.grp AND f.doc_id = t.doc_id GROUP BY 1),
 k AS (SELECT grp, CASE WHEN nf = 0 THEN 0.0 ELSE b / nf END AS p, CASE WHEN nt = 0 THEN 1.0 ELSE b / nt END AS r FROM j)
 SELECT grp, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM k""")
 def met_set_prf(spark, d):
-    x = table(spark, d, "documents").select(F.col("project").alias("grp"), "doc_id")
-    m = M.set_prf(x.where("doc_id % 2 = 0"), x.where("doc_id % 3 = 0"), "grp", "doc_id")
+    x = table(spark, d, "documents").select(F.col("project").alias("grp"), "doc_id", "lang", "n_chars")
+    m = M.set_prf(x.where("lang = 'en'"), x.where("n_chars > 800"), "grp", "doc_id")
     return m.select("grp", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])

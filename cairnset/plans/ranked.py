@@ -93,10 +93,10 @@ def knn_int8(spark, d):
     return R.knn_int8(table(spark, d, "embeddings"), _vector(spark, d), 20).select("vec_id", F.round("raw", 6).alias("raw"), F.round("distance", 6).alias("distance"))
 
 
-@query(f"WITH {_KNNF}, t AS (SELECT * FROM kf ORDER BY round(distance, 9), vec_id LIMIT 40) SELECT vec_id, round(distance, 6) AS distance FROM t WHERE label % 2 = 0")
+@query(f"WITH {_KNNF}, t AS (SELECT * FROM kf ORDER BY round(distance, 9), vec_id LIMIT 40) SELECT vec_id, round(distance, 6) AS distance FROM t WHERE label <> 1")
 def knn_float(spark, d):
     """k is taken before the filter, so fewer may come back."""
-    return R.knn_float(table(spark, d, "embeddings"), _vector(spark, d), 40).where("label % 2 = 0").select("vec_id", F.round("distance", 6).alias("distance"))
+    return R.knn_float(table(spark, d, "embeddings"), _vector(spark, d), 40).where("label <> 1").select("vec_id", F.round("distance", 6).alias("distance"))
 
 
 @query(f"WITH {_KNNF}, t AS (SELECT * FROM kf ORDER BY round(distance, 9), vec_id LIMIT 30) SELECT vec_id, label, round(distance, 6) AS distance FROM t WHERE label = 1")
@@ -203,14 +203,14 @@ def section_cap(spark, d):
     return R.section_cap(R.as_of(V.notes(spark, d), None), {"handoff": 3, "question": 10, "decision": 10, "requirement": 10}, 20).select("id", "kind", "place")
 
 
-@query(f"""WITH {_KNNF}, p AS (SELECT vec_id % 100 AS slot, 'own' AS project, distance, vec_id FROM kf WHERE vec_id < 250
-  UNION ALL SELECT vec_id % 100, 'dep', distance, vec_id FROM kf WHERE vec_id >= 250)
+@query(f"""WITH {_KNNF}, p AS (SELECT label AS slot, 'own' AS project, distance, vec_id FROM kf WHERE label < 5
+  UNION ALL SELECT label - 5, 'dep', distance, vec_id FROM kf WHERE label >= 5)
 SELECT slot, project, vec_id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY round(distance, 9), vec_id) AS rn FROM p) WHERE rn = 1
 ORDER BY round(distance, 9), vec_id LIMIT 20""")
 def multi_db_merge(spark, d):
     q = R._literal(_vector(spark, d))
-    e = table(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 100).alias("slot"), R.l2(F.col("embedding"), q).alias("distance"))
-    parts = [e.where("vec_id < 250").withColumn("project", F.lit("own")), e.where("vec_id >= 250").withColumn("project", F.lit("dep"))]
+    e = table(spark, d, "embeddings").select("vec_id", "label", R.l2(F.col("embedding"), q).alias("distance"))
+    parts = [e.where("label < 5").withColumns({"project": F.lit("own"), "slot": F.col("label")}), e.where("label >= 5").withColumns({"project": F.lit("dep"), "slot": F.col("label") - 5})]
     return R.merge_sources(parts, ["slot"], "distance", 20, ["vec_id"]).select("slot", "project", "vec_id", F.round("distance", 6).alias("distance"))
 
 
@@ -301,11 +301,11 @@ def join_graph_neighbors(spark, d):
 
 @query(f"""WITH {_NAMED}, {_TOKENS}, {_CALLS}, e AS (SELECT source_file, source_name, target_name, 'calls' AS kind FROM calls
   UNION ALL SELECT path, name, t, 'mentions' FROM mt WHERE name IS NOT NULL)
-SELECT n.chunk_id, e.target_name, e.kind FROM named n JOIN e ON e.source_name = n.name AND e.source_file = n.path WHERE n.chunk_id LIKE 'a%'""")
+SELECT n.chunk_id, e.target_name, e.kind FROM named n JOIN e ON e.source_name = n.name AND e.source_file = n.path""")
 def join_chunk_mentions(spark, d):
     named = _named(spark, d)
     e = G.call_edges(named).select("source_file", "source_name", "target_name", "kind").unionAll(G.mention_edges(named).select("source_file", "source_name", "target_name", "kind"))
-    own = named.where("chunk_id like 'a%'").select("chunk_id", F.col("name").alias("source_name"), F.col("path").alias("source_file"))
+    own = named.select("chunk_id", F.col("name").alias("source_name"), F.col("path").alias("source_file"))
     return own.join(e, ["source_name", "source_file"]).select("chunk_id", "target_name", "kind")
 
 
@@ -337,13 +337,13 @@ def pagerank(spark, d):
     return G.pagerank(e).withColumn("rank", F.round("rank", 6))
 
 
-@query(f"""WITH {_GRAPH}, {_rank_sql(20, "j AS MATERIALIZED (SELECT node, CASE WHEN node % 10 = 0 THEN 1.0 ELSE 0.0 END / (SELECT count(*) FROM nodes WHERE node % 10 = 0) AS jump FROM nodes)")}
+@query(f"""WITH {_GRAPH}, {_rank_sql(20, "j AS MATERIALIZED (SELECT node, CASE WHEN node IN (SELECT id FROM notes WHERE kind = 'handoff') THEN 1.0 ELSE 0.0 END / (SELECT count(*) FROM nodes WHERE node IN (SELECT id FROM notes WHERE kind = 'handoff')) AS jump FROM nodes)")}
 SELECT node, round(rank, 6) AS rank FROM r20""")
 def ppr(spark, d):
-    """Jumps to every tenth note only."""
+    """Jumps to the handoff notes only."""
     e = V.edges(spark, d).select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    return G.pagerank(e, personal=nodes.where("node % 10 = 0").withColumn("weight", F.lit(1.0))).withColumn("rank", F.round("rank", 6))
+    return G.pagerank(e, personal=nodes.join(table(spark, d, "notes").where("kind = 'handoff'").select(F.col("id").alias("node")), "node", "left_semi").withColumn("weight", F.lit(1.0))).withColumn("rank", F.round("rank", 6))
 
 
 @query(f"""WITH {_GRAPH}, {_rank_sql(20, 'j AS MATERIALIZED (SELECT node, 1.0 / (SELECT count(*) FROM nodes) AS jump FROM nodes)')}, ids AS (SELECT DISTINCT id FROM notes)

@@ -21,17 +21,17 @@ NOW = 1_780_000_000
 # --- predicates and point reads --------------------------------------------------------------------------------------
 
 
-@query(w(V.CHUNKS, V.FILES, then="SELECT chunk_id, path, start_line FROM chunks_v JOIN files_v USING (file_id) WHERE chunk_id IN (SELECT chunk_id FROM chunks_v WHERE chunk_id < '2')"))
+@query(w(V.CHUNKS, V.FILES, then="SELECT chunk_id, path, start_line FROM chunks_v JOIN files_v USING (file_id) WHERE chunk_id IN (SELECT chunk_id FROM embed_vectors WHERE len(vector) = 64)"))
 def flt_chunks_by_ids(spark, d):
-    ids = V.chunks(spark, d).where("chunk_id < '2'").select("chunk_id")
+    ids = table(spark, d, "embed_vectors").where("size(vector) = 64").select("chunk_id")
     return V.chunks(spark, d).join(ids, "chunk_id", "left_semi").join(V.files(spark, d), "file_id").select("chunk_id", "path", "start_line")
 
 
-@query(w(V.CHUNKS, V.FILES, then="SELECT chunk_id, path, start_line FROM chunks_v JOIN files_v USING (file_id) WHERE ends_with(lower(path), '.py') ORDER BY path, start_line, chunk_id LIMIT 200"))
+@query(w(V.CHUNKS, V.FILES, then="SELECT chunk_id, path, start_line FROM chunks_v JOIN files_v USING (file_id) WHERE ends_with(lower(path), '.py')"))
 def flt_chunks_for_file(spark, d):
     """Path equal or ending alike, without regard to case."""
     p = V.files(spark, d).where(F.lower("path").endswith(".py"))
-    return V.chunks(spark, d).join(p, "file_id").select("chunk_id", "path", "start_line").orderBy("path", "start_line", "chunk_id").limit(200)
+    return V.chunks(spark, d).join(p, "file_id").select("chunk_id", "path", "start_line").orderBy("path", "start_line", "chunk_id")
 
 
 @query(w(V.FILES, then="SELECT file_id, path FROM files_v WHERE starts_with(lower(path), lower('SRC/'))"))
@@ -65,10 +65,10 @@ def flt_list_notes(spark, d):
     return R.as_of(V.notes(spark, d).where("kind = 'decision'"), NOW).select("id", "kind", "created_at").orderBy(F.desc("created_at"), "id").limit(500)
 
 
-@query(w(V.NOTES, then="SELECT id, entity_id, status FROM notes_v WHERE status = 'active' AND entity_id IN (SELECT entity_id FROM notes_v WHERE entity_id < '3')"))
+@query(w(V.NOTES, then="SELECT id, entity_id, status FROM notes_v WHERE status = 'active' AND entity_id IN (SELECT entity_id FROM notes_v WHERE kind = 'decision')"))
 def flt_list_by_entity(spark, d):
     n = V.notes(spark, d)
-    return R.as_of(n, None).join(n.where("entity_id < '3'").select("entity_id").distinct(), "entity_id", "left_semi").select("id", "entity_id", "status")
+    return R.as_of(n, None).join(n.where("kind = 'decision'").select("entity_id").distinct(), "entity_id", "left_semi").select("id", "entity_id", "status")
 
 
 @query(w(V.NOTES, then="SELECT count(*) AS active, count(*) FILTER (source_ref IS NOT NULL) AS with_ref, min(id) AS first_id FROM notes_v WHERE status = 'active'"))
@@ -79,24 +79,27 @@ def flt_get_count(spark, d):
 _SYM = r"""e AS (SELECT from_id AS source_name, to_id AS target_name, kind, created_at FROM edges_v)"""
 
 
-@query(w(V.EDGES, then="SELECT from_id, to_id, kind FROM edges_v WHERE from_id % 97 = 5 OR to_id % 97 = 5 ORDER BY kind, to_id, from_id"))
+@query(w(V.EDGES, then="SELECT from_id, to_id, kind FROM edges_v WHERE (SELECT min(to_id) FROM edges_v WHERE kind = 'contradicts') IN (from_id, to_id) ORDER BY kind, to_id, from_id"))
 def flt_edges_symbol(spark, d):
-    return V.edges(spark, d).where("from_id % 97 = 5 or to_id % 97 = 5").select("from_id", "to_id", "kind").orderBy("kind", "to_id", "from_id")
+    e = V.edges(spark, d)
+    one = F.broadcast(e.where("kind = 'contradicts'").agg(F.min("to_id").alias("s")))  # one row
+    return e.join(one, (F.col("from_id") == F.col("s")) | (F.col("to_id") == F.col("s"))).select("from_id", "to_id", "kind").orderBy("kind", "to_id", "from_id")
 
 
-@query(w(V.EDGES, then="SELECT from_id, to_id, kind, (SELECT count(*) > 0 FROM edges_v) AS any_edges FROM edges_v WHERE from_id % 89 = 3 ORDER BY kind, to_id"))
+@query(w(V.EDGES, then="SELECT from_id, to_id, kind, (SELECT count(*) > 0 FROM edges_v) AS any_edges FROM edges_v WHERE from_id IN (SELECT from_id FROM edges_v WHERE kind = 'contradicts') ORDER BY kind, to_id"))
 def flt_edges_file(spark, d):
     e = V.edges(spark, d)
     some = e.limit(1).agg((F.count(F.lit(1)) > 0).alias("any_edges"))
-    return e.where("from_id % 89 = 3").select("from_id", "to_id", "kind").crossJoin(F.broadcast(some))  # one row
+    own = e.join(e.where("kind = 'contradicts'").select("from_id").distinct(), "from_id", "left_semi")
+    return own.select("from_id", "to_id", "kind").crossJoin(F.broadcast(some))  # one row
 
 
-@query(w(V.EDGES, then="""SELECT * FROM (SELECT CAST(from_id AS VARCHAR) AS source_file, CAST(to_id AS VARCHAR) AS target_name, kind, 0 AS line, 'f' AS source_name FROM edges_v WHERE from_id % 7 = 0
-UNION ALL SELECT CAST(from_id AS VARCHAR), CAST(to_id AS VARCHAR), kind, 0, 's' FROM edges_v WHERE to_id % 5 = 0 AND from_id % 7 <> 0)"""))
+@query(w(V.EDGES, then="""SELECT * FROM (SELECT CAST(from_id AS VARCHAR) AS source_file, CAST(to_id AS VARCHAR) AS target_name, kind, 0 AS line, 'f' AS source_name FROM edges_v WHERE created_at < 1760000000
+UNION ALL SELECT CAST(from_id AS VARCHAR), CAST(to_id AS VARCHAR), kind, 0, 's' FROM edges_v WHERE kind = 'relates_to' AND (created_at >= 1760000000 OR created_at IS NULL))"""))
 def flt_edges_union(spark, d):
-    e = V.edges(spark, d).select(F.col("from_id").cast("string").alias("source_file"), F.col("to_id").cast("string").alias("target_name"), "kind", F.lit(0).alias("line"), "from_id", "to_id")
-    drop = lambda x, n: x.drop("from_id", "to_id").withColumn("source_name", F.lit(n))
-    return G.union_edges(drop(e.where("from_id % 7 = 0"), "f"), drop(e.where("to_id % 5 = 0"), "s"))
+    e = V.edges(spark, d).select(F.col("from_id").cast("string").alias("source_file"), F.col("to_id").cast("string").alias("target_name"), "kind", F.lit(0).alias("line"), "created_at")
+    drop = lambda x, n: x.drop("created_at").withColumn("source_name", F.lit(n))
+    return G.union_edges(drop(e.where("created_at < 1760000000"), "f"), drop(e.where("kind = 'relates_to'"), "s"))
 
 
 _NOTE_EDGE = "note AS (SELECT min(from_id) AS id FROM edges_v WHERE kind = 'relates_to')"
@@ -192,20 +195,20 @@ def flt_graph_live(spark, d):
 
 
 _REC = """rec AS (SELECT coalesce(entity_id, CAST(id AS VARCHAR)) AS entity, kind, title, status, created_at, id, source_ref, remote_id, superseded_by, valid_at, invalid_at, tags, linked_files,
-  'c' || (id % 13) AS commit FROM notes_v)"""
+  coalesce(source_ref, 'none') AS commit FROM notes_v)"""
 
 
 @query(w(V.NOTES, _REC, then="""SELECT entity, commit FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY created_at, id, source_ref NULLS FIRST, remote_id NULLS FIRST, superseded_by NULLS FIRST) AS rn FROM rec)
-WHERE rn = 1 AND starts_with(commit, 'c1')"""))
+WHERE rn = 1 AND starts_with(commit, '1')"""))
 def flt_anchored(spark, d):
     """Entities whose base copy sits on a commit with a prefix."""
-    return N.anchor_commits(_records(spark, d), "entity").where(F.col("commit").startswith("c1"))
+    return N.anchor_commits(_records(spark, d), "entity").where(F.col("commit").startswith("1"))
 
 
 def _records(spark, d):
     n = V.notes(spark, d)
     return n.select(F.coalesce("entity_id", F.col("id").cast("string")).alias("entity"), "kind", "title", "status", "created_at", "id", "source_ref", "remote_id", "superseded_by",
-                    "valid_at", "invalid_at", "tags", "linked_files", F.concat(F.lit("c"), (F.col("id") % 13).cast("string")).alias("commit"))
+                    "valid_at", "invalid_at", "tags", "linked_files", F.coalesce("source_ref", F.lit("none")).alias("commit"))
 
 
 # --- joins -----------------------------------------------------------------------------------------------------------
@@ -293,13 +296,13 @@ def join_edge_titles(spark, d):
     return N.link_by(n.where("superseded_by is not null").select("id", F.col("superseded_by").alias("other")), titles, "other", F.lit("(deleted)"), "title")
 
 
-@query(w(V.NOTES, V.EDGES, then="""WITH h AS (SELECT id FROM notes_v WHERE id % 50 = 0), x AS (
+@query(w(V.NOTES, V.EDGES, then="""WITH h AS (SELECT id FROM notes_v WHERE kind = 'handoff'), x AS (
   SELECT to_id AS id FROM edges_v WHERE kind = 'relates_to' AND from_id IN (SELECT id FROM h) UNION SELECT from_id FROM edges_v WHERE kind = 'relates_to' AND to_id IN (SELECT id FROM h))
 SELECT id, title FROM notes_v WHERE id IN (SELECT id FROM x) AND id NOT IN (SELECT id FROM h)""").replace("\nWITH h AS", ",\nh AS"))
 def join_expand_relates(spark, d):
     """Notes one relates_to link away from a result, either way, that are not in it."""
     n, e = V.notes(spark, d), V.edges(spark, d).where("kind = 'relates_to'")
-    hits = n.where("id % 50 = 0").select("id")
+    hits = n.where("kind = 'handoff'").select("id")
     near = e.join(hits.toDF("from_id"), "from_id", "left_semi").select(F.col("to_id").alias("id")).union(e.join(hits.toDF("to_id"), "to_id", "left_semi").select("from_id")).distinct()
     return n.join(near, "id", "left_semi").join(hits, "id", "left_anti").select("id", "title")
 
@@ -360,10 +363,10 @@ def agg_drift(spark, d):
 
 
 @query(w(V.FILES, then="""SELECT count(*) AS files, count(*) FILTER (now_hash IS NULL OR now_hash <> hash) AS stale, round(100.0 * count(*) FILTER (now_hash IS NULL OR now_hash <> hash) / count(*), 4) AS pct
-FROM (SELECT hash, CASE WHEN file_id % 11 = 0 THEN NULL WHEN file_id % 7 = 0 THEN 'x' ELSE hash END AS now_hash FROM files_v)"""))
+FROM (SELECT hash, CASE WHEN language IS NULL THEN NULL WHEN mtime = 0 THEN 'x' ELSE hash END AS now_hash FROM files_v)"""))
 def agg_staleness(spark, d):
     """Stored against current hashes: missing or different is stale."""
-    f = V.files(spark, d).withColumn("now_hash", F.when(F.col("file_id") % 11 == 0, None).when(F.col("file_id") % 7 == 0, "x").otherwise(F.col("hash")))
+    f = V.files(spark, d).withColumn("now_hash", F.when(F.col("language").isNull(), None).when(F.col("mtime") == 0, "x").otherwise(F.col("hash")))
     stale = F.count(F.when(F.col("now_hash").isNull() | (F.col("now_hash") != F.col("hash")), 1))
     return f.agg(F.count(F.lit(1)).alias("files"), stale.alias("stale"), F.round(100.0 * stale / F.count(F.lit(1)), 4).alias("pct"))
 

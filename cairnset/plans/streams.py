@@ -81,16 +81,16 @@ def fn_failure_subject(spark, d):
     return _subjects(spark, d).select("doc_id", H.failure_subject(F.col("subject")).alias("failure"))
 
 
-@query("SELECT o_orderkey, CAST(least(o_orderkey % 40, 25) AS INTEGER) AS n FROM orders")
+@query("SELECT o_orderkey, CAST(least(o_custkey, 250) AS INTEGER) AS n FROM orders")
 def fn_range_parse(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("HEAD~"), (F.col("o_orderkey") % 40).cast("string"), F.lit("..HEAD")).alias("r"))
-    return o.select("o_orderkey", H.range_count(F.col("r"), F.lit(25)).alias("n"))
+    o = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("HEAD~"), F.col("o_custkey").cast("string"), F.lit("..HEAD")).alias("r"))
+    return o.select("o_orderkey", H.range_count(F.col("r"), F.lit(250)).alias("n"))
 
 
-@query("""WITH e AS (SELECT user_id, greatest(1, event_id % 37) AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+@query("""WITH e AS (SELECT user_id, greatest(1, CAST(floor(abs(value)) AS BIGINT)) AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
 c AS (SELECT user_id, rn, sum(t) OVER (PARTITION BY user_id ORDER BY rn) AS s FROM e) SELECT user_id, CAST(greatest(1, count(*) FILTER (s <= 400 AND rn <= 32)) AS INTEGER) AS n FROM c GROUP BY user_id""")
 def fn_next_batch_len(spark, d):
-    t = table(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list("event_id")), lambda i: (i % 37).cast("int")).alias("t"))
+    t = table(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda s: F.floor(F.abs(s.value)).cast("int")).alias("t"))
     return t.select("user_id", H.next_batch_len(F.col("t"), 0.01, 4.0, 4).alias("n"))
 
 
@@ -106,10 +106,10 @@ def fn_extract_json_object(spark, d):
     return table(spark, d, "documents").where(F.col("text").contains("{")).select("doc_id", F.char_length(H.json_object(F.col("text"))).alias("n_chars"))
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'graph' END AS tool, CASE doc_id % 3 WHEN 0 THEN 'q' || doc_id WHEN 1 THEN 'q' || doc_id END AS argument FROM documents")
+@query("SELECT doc_id, CASE source WHEN 'source_code' THEN 'search' WHEN 'memory_notes' THEN 'graph' END AS tool, CASE WHEN source IN ('source_code', 'memory_notes') THEN 'q' || doc_id END AS argument FROM documents")
 def fn_parse_tool_call(spark, d):
     """Calls of known tools in prose; of an unknown tool nothing comes out."""
-    name = F.when(F.col("doc_id") % 3 == 0, "search").when(F.col("doc_id") % 3 == 1, "graph").otherwise("destroy")
+    name = F.when(F.col("source") == "source_code", "search").when(F.col("source") == "memory_notes", "graph").otherwise("destroy")
     prose = F.concat(F.lit("I will call: "), F.to_json(F.struct(name.alias("tool"), F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("query"))), F.lit(" then wait."))
     call = cut(table(spark, d, "documents").select("doc_id", H.tool_call(prose).alias("c")))
     return call.select("doc_id", "c.tool", "c.argument")
