@@ -37,7 +37,7 @@ def failure_subject(subject: Column) -> Column:
 def range_count(text: Column, commits: Column) -> Column:
     """N of HEAD~N..HEAD, at most the number of commits there are; null for any other range."""
     n = F.nullif(F.regexp_extract(text, r"^HEAD~(\d{1,9})\.\.HEAD$", 1), F.lit("")).cast("int")
-    return F.when(commits > 0, F.least(n, commits)).otherwise(n)
+    return F.when(n.isNotNull(), F.when(commits > 0, F.least(n, commits)).otherwise(n))
 
 
 def next_batch_len(tokens: Column, per_token: float, target_seconds: float, previous: int, ceiling: int = 256, growth: int = 8) -> Column:
