@@ -78,7 +78,7 @@ def test_harvest_functions(spark):
     assert tuple(one(H.tool_call(F.lit('ok {"tool": "graph", "symbol": "x"}')))) == ("graph", "x") and one(H.tool_call(F.lit("none"))) is None
     assert H.split_to_fit([10] * 8, 4000) == [8] and H.split_to_fit([3000] * 8, 4000) == [2, 2, 2, 2] and sum(H.split_to_fit([90_000, 5, 5, 5], 4000)) == 4
     assert [one(H.range_count(F.lit(t), F.lit(5))) for t in ("HEAD~9..HEAD", "HEAD~2..HEAD", "main..HEAD")] == [5, 2, None]
-    assert one(H.routine_subject(F.lit("Run Prettier"))) and one(H.failure_subject(F.lit("Revert \"x\""))) and not one(H.failure_subject(F.lit("docs: prefix(es)")))
+    assert one(H.routine_subject(F.lit("Run Prettier"))) and one(H.failure_subject(F.lit("Revert \"x\""))) and not one(H.failure_subject(F.lit("docs: tidy")))
 
 
 CONV = "language string, node_type string, name string, content string, path string"
