@@ -170,35 +170,65 @@ def merge_sources(parts: list[DataFrame], key: list[str], distance: str, limit:
     return all_parts.withColumn("__rn", F.row_number().over(best)).where("__rn = 1").drop("__rn").orderBy(F.round(distance, 9), *tie).limit(limit)
 
 
-def conflicts(vectors: DataFrame, at_least: float = 0.92, limit: int = 5, key: str = "vec_id", cell: float | None = None) -> DataFrame:
-    """For each vector the nearest others with 1 - L2 at or over the bound, at most `limit` each.
+Q_BLOCK, R_BLOCK = 2_048, 65_536
 
-    Within the bound every coordinate differs by at most the radius, so vectors meet only in equal or neighbouring cells of
-    a grid over two coordinates: an equi-join on the cell instead of a join of all with all. Of identical vectors only the
-    first `limit` + 1 by key are looked up, as no more can be among the nearest of anything.
-    """
-    radius = 1 - at_least
-    cell = cell or radius
-    grid = lambda i: F.floor(F.element_at("embedding", i) / cell)
-    base = vectors.select(F.col(key).alias("k"), "embedding", grid(1).alias("x"), grid(2).alias("y"))
-    step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    asks = base.select(F.col("k").alias("a"), F.col("embedding").alias("ea"), F.explode(F.transform(step, lambda s: F.col("x") + s)).alias("x"), "y").select(
-        "a", "ea", "x", F.explode(F.transform(step, lambda s: F.col("y") + s)).alias("y"))
-    copy = F.row_number().over(W.partitionBy("embedding").orderBy("k"))
-    targets = base.withColumn("copy", copy).where(F.col("copy") <= limit + 1).drop("copy")
-    near = asks.join(targets, ["x", "y"]).where("a <> k").withColumn("distance", l2(F.col("ea"), F.col("embedding"))).where(F.col("distance") <= radius + 1e-9)
-    best = W.partitionBy("a").orderBy(F.round("distance", 9), "k")
-    return near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit).select(
-        F.col("a").alias("id_a"), F.col("k").alias("id_b"), (1 - F.col("distance")).alias("similarity"), "place")
-
-
-def nearest_earlier(vectors: DataFrame, within: float, key: str = "vec_id") -> DataFrame:
-    """id, nearest: the distance to the nearest vector of a smaller key, where it is under the bound.
-
-    Identical vectors are one: a further copy is at distance 0, and only the first copies are compared, by grid cells.
+
+def near_in_blocks(queries: DataFrame, rows: DataFrame, radius: float, limit: int, key: str = "vec_id", earlier: bool = False) -> DataFrame:
+    """A stated query set against all rows: id_a, id_b, distance, place of the nearest rows within a radius, exactly.
+
+    Queries and rows are dealt into blocks of bounded size and every pair of blocks is one task: a matrix product finds what
+    may be within the radius, exact distances decide. The cost is queries times rows, never rows times rows; each pair of
+    blocks gives at most `limit` rows per query. `earlier`: only rows with a smaller key than the query's. A row is never its
+    own neighbour; null vectors and keys have none; all vectors must be of one length. Ties by key.
     """
-    firsts = vectors.groupBy("embedding").agg(F.min(key).alias(key))
-    copies = vectors.join(firsts.select(key), key, "left_anti").select(F.col(key).alias("id"), F.lit(0.0).alias("nearest"))
-    near = conflicts(firsts, at_least=1 - within, limit=1_000_000, key=key).where("id_b < id_a")
-    apart = near.groupBy(F.col("id_a").alias("id")).agg((1 - F.max("similarity")).alias("nearest"))
-    return copies.unionByName(apart).where(F.col("nearest") < within)
+    import numpy as np
+    import pyarrow as pa
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = rows.schema[key].dataType
+    type_a = to_arrow_type(kind)
+    parts_q, parts_r = max(1, -(-queries.count() // Q_BLOCK)), max(1, -(-rows.count() // R_BLOCK))
+    usable = lambda df: df.where(F.col("embedding").isNotNull() & F.col(key).isNotNull()).select(F.col(key), F.col("embedding").cast("array<double>").alias("embedding"))
+    share = lambda parts: F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = usable(queries).select(F.col(key).alias("id_a"), F.col("embedding").alias("ea"), share(parts_q).alias("qa"), every(parts_r).alias("ra"))
+    right = usable(rows).select(F.col(key).alias("id_b"), F.col("embedding").alias("eb"), share(parts_r).alias("rb"), every(parts_q).alias("qb"))
+    schema = f"id_a {kind.simpleString()}, id_b {kind.simpleString()}, distance double"
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+    def search(q: pa.Table, r: pa.Table) -> pa.Table:
+        out_a, out_b, out_d = [], [], []
+        if q.num_rows and r.num_rows:
+            r = r.sort_by("id_b")
+            a, b = matrix(q.column("ea")), matrix(r.column("eb"))
+            ids_a, ids_b = np.array(q.column("id_a").to_pylist(), object), np.array(r.column("id_b").to_pylist(), object)
+            norm_b = (b * b).sum(1)
+            for i in range(len(a)):
+                square = norm_b - 2 * (b @ a[i]) + a[i] @ a[i]
+                near = np.flatnonzero(square <= (radius + 1e-6) ** 2)
+                near = near[(ids_b[near] < ids_a[i]) if earlier else (ids_b[near] != ids_a[i])]
+                d = np.sqrt(((b[near] - a[i]) ** 2).sum(1))
+                best = [j for j in np.argsort(np.round(d, 9), kind="stable")[:limit] if d[j] <= radius + 1e-9]
+                out_a += [ids_a[i]] * len(best)
+                out_b += ids_b[near[best]].tolist() if best else []
+                out_d += d[best].tolist() if best else []
+        return pa.table({"id_a": pa.array(out_a, type_a), "id_b": pa.array(out_b, type_a), "distance": pa.array(out_d, pa.float64())})
+
+    found = left.groupBy("qa", "ra").cogroup(right.groupBy("qb", "rb")).applyInArrow(search, schema)
+    best = W.partitionBy("id_a").orderBy(F.round("distance", 9), "id_b")
+    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit)
+
+
+def conflicts(new: DataFrame, stored: DataFrame, at_least: float = 0.92, limit: int = 5, key: str = "vec_id") -> DataFrame:
+    """For each new vector the nearest stored others with 1 - L2 at or over the bound, at most `limit` each."""
+    near = near_in_blocks(new, stored, 1 - at_least, limit, key)
+    return near.select("id_a", "id_b", (1 - F.col("distance")).alias("similarity"), "place")
+
+
+def nearest_earlier(new: DataFrame, stored: DataFrame, within: float, key: str = "vec_id") -> DataFrame:
+    """id, nearest: the distance of a new vector to the nearest stored one of a smaller key, where it is under the bound."""
+    near = near_in_blocks(new, stored, within, 1, key, earlier=True)
+    return near.where(F.col("distance") < within).select(F.col("id_a").alias("id"), F.col("distance").alias("nearest"))

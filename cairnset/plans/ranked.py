@@ -124,17 +124,21 @@ _USABLE = """u AS (SELECT chunk_id, min(CAST(vector AS DOUBLE[])) AS emb FROM em
   WHERE len(vector) = 64 AND NOT list_bool_or(list_transform(vector, lambda x: x IS NULL OR isnan(x))) GROUP BY chunk_id)"""
 
 
+_FIFTIETH = "cast(conv(right(chunk_id, 8), 16, 10) as bigint) % 50 = 0"  # the stated query set
+
+
 def _chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embed_vectors").where(F.size("vector") == 64).where(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x)))
     return v.groupBy("chunk_id").agg(F.min("vector").alias("embedding"))
 
 
-@query(f"""WITH {_USABLE}, p AS (SELECT a.chunk_id AS id_a, b.chunk_id AS id_b, 1 - list_distance(a.emb, b.emb) AS s FROM u a JOIN u b ON a.chunk_id <> b.chunk_id),
+@query(f"""WITH {_USABLE}, p AS (SELECT a.chunk_id AS id_a, b.chunk_id AS id_b, 1 - list_distance(a.emb, b.emb) AS s FROM (SELECT * FROM u WHERE ('0x' || right(chunk_id, 8))::BIGINT % 50 = 0) a JOIN u b ON a.chunk_id <> b.chunk_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY round(1 - s, 9), id_b) AS place FROM p WHERE s >= 0.7)
 SELECT id_a, id_b, round(s, 6) AS similarity, place FROM r WHERE place <= 5""")
 def knn_conflicts(spark, d):
-    """Each chunk's nearest others within a bound."""
-    return R.conflicts(_chunk_vectors(spark, d), 0.7, key="chunk_id").withColumn("similarity", F.round("similarity", 6))
+    """The nearest others within a bound, of every chunk whose (hexadecimal) id is divisible by 50, among all chunks."""
+    v = cut(_chunk_vectors(spark, d))
+    return R.conflicts(v.where(_FIFTIETH), v, 0.7, key="chunk_id").withColumn("similarity", F.round("similarity", 6))
 
 
 _RRF_CODE = f"""{_DOC_BM}, {_KNN8},
@@ -222,11 +226,12 @@ def coverage_disposition(spark, d):
     return g.select("source", F.when((F.col("total") == 0) | (F.col("embedded") == 0), "none").when(F.col("embedded") == F.col("total"), "complete").otherwise("partial").alias("coverage"), "embedded", "total")
 
 
-@query(f"""WITH {_USABLE}, n AS (SELECT a.chunk_id AS id, min(list_distance(a.emb, b.emb)) AS nearest FROM u a JOIN u b ON b.chunk_id < a.chunk_id GROUP BY a.chunk_id)
+@query(f"""WITH {_USABLE}, n AS (SELECT a.chunk_id AS id, min(list_distance(a.emb, b.emb)) AS nearest FROM (SELECT * FROM u WHERE ('0x' || right(chunk_id, 8))::BIGINT % 50 = 0) a JOIN u b ON b.chunk_id < a.chunk_id GROUP BY a.chunk_id)
 SELECT id, round(nearest, 6) AS nearest FROM n WHERE nearest < 0.25""")
 def harvest_semantic_dedup(spark, d):
-    """Candidates within a distance of an earlier one: the one-shot form, by grid cells instead of all pairs."""
-    return R.nearest_earlier(_chunk_vectors(spark, d), 0.25, key="chunk_id").withColumn("nearest", F.round("nearest", 6))
+    """Candidates (every chunk whose id is divisible by 50) within a distance of an earlier chunk."""
+    v = cut(_chunk_vectors(spark, d))
+    return R.nearest_earlier(v.where(_FIFTIETH), v, 0.25, key="chunk_id").withColumn("nearest", F.round("nearest", 6))
 
 
 # --- symbol graph ----------------------------------------------------------------------------------------------------

@@ -128,11 +128,16 @@ def test_conflicts_match_brute_force(spark):
     x = np.concatenate([x, x[:20] + 0.01, np.repeat(x[:1], 9, axis=0)])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = {}
-    for r in R.conflicts(df, 0.9, limit=3).collect():
+    for r in R.conflicts(df, df, 0.9, limit=3).collect():
         got.setdefault(r.id_a, []).append((r.place, r.id_b))
     for i in range(len(x)):
         near = sorted((round(float(np.linalg.norm(x[i] - x[j])), 9), j) for j in range(len(x)) if j != i and np.linalg.norm(x[i] - x[j]) <= 0.1)[:3]
         assert [j for _, j in sorted(got.get(i, []))] == [j for _, j in near]
+    assert R.conflicts(df.limit(0), df).count() == 0 and R.conflicts(df, df.limit(0)).count() == 0
+    earlier = {r.id: r.nearest for r in R.nearest_earlier(df, df, 0.1).collect()}
+    for i in range(len(x)):
+        near = [float(np.linalg.norm(x[i] - x[j])) for j in range(i)]
+        assert (min(near, default=1) < 0.1) == (i in earlier)
 
 
 def test_metrics(spark):
