@@ -35,32 +35,36 @@ def dedupe_entities(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
     The survivor is the earliest copy; tags and files are united in the order of the copies, archived sticks, the pointer is
     the first of the group that does not come to point at the survivor itself; every other row's pointer is redirected.
     """
-    by_age = W.partitionBy("entity_id").orderBy("created_at", "id")
-    ranked = notes.where("entity_id is not null").withColumn("place", F.row_number().over(by_age))
-    heads = ranked.where("place = 1").select("entity_id", F.col("id").alias("survivor"))
-    size = ranked.groupBy("entity_id").agg(F.count(F.lit(1)).alias("copies"))
-    grouped = ranked.select("id", "entity_id").join(heads, "entity_id").join(size.where("copies > 1"), "entity_id")
-    redirect = grouped.where("id <> survivor").select("id", "survivor")
+    known = notes.where("entity_id is not null")
+    groups = known.groupBy("entity_id").agg(F.min(F.struct("created_at", "id")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    heads = groups.where("copies > 1").select("entity_id", F.col("first.id").alias("survivor"))
+    member = salted_join(known.select("id", "entity_id"), heads, "entity_id")
+    redirect = member.where("id <> survivor").select("id", "survivor")
     moved = redirect.select(F.col("id").alias("superseded_by"), F.col("survivor").alias("to"))
     pointed = salted_join(notes, moved, "superseded_by", "left").withColumn("pointer", F.coalesce("to", "superseded_by")).drop("to")
-    one = pointed.join(size, "entity_id", "left").fillna({"copies": 1})
-    alone = one.where("copies = 1").select(*[F.col("pointer").alias(c) if c == "superseded_by" else F.col(c) for c in notes.columns])
-    group = one.where("copies > 1").join(heads, "entity_id")
+    one = salted_join(pointed, heads, "entity_id", "left")
+    alone = one.where("survivor is null").select(*[F.col("pointer").alias(c) if c == "superseded_by" else F.col(c) for c in notes.columns])
+    group = one.where("survivor is not null")
+    aged = F.struct("created_at", "id")
+    # every aggregate combines before the shuffle: a group of any size arrives as a few values
+    plain = group.groupBy(F.col("survivor").alias("id")).agg(
+        F.max(F.col("status") == "archived").alias("m_archived"),
+        F.min_by("pointer", F.when(F.col("pointer").isNotNull() & (F.col("pointer") != F.col("survivor")), aged)).alias("m_pointer"))
+    base = notes.join(plain, "id").join(_united(group, "survivor", "tags", aged), "id", "left").join(_united(group, "survivor", "linked_files", aged), "id", "left")
     empty = F.array().cast("array<string>")
-    rows = F.array_sort(F.collect_list(F.struct("created_at", "id", F.coalesce("tags", empty).alias("tags"), F.coalesce("linked_files", empty).alias("linked_files"), "pointer", "status")))
-    merged = group.groupBy("entity_id", "survivor").agg(rows.alias("rows"))
-    union = lambda f: T.csv_union(F.flatten(F.transform("rows", lambda x: x[f])), empty)
-    pointer = F.try_element_at(F.filter(F.transform("rows", lambda x: x.pointer), lambda p: p.isNotNull() & (p != F.col("survivor"))), F.lit(1))
-    fields = merged.select(
-        F.col("survivor").alias("id"), union("tags").alias("m_tags"), union("linked_files").alias("m_files"), pointer.alias("m_pointer"),
-        F.exists("rows", lambda x: x.status == "archived").alias("m_archived"))
-    base = notes.join(fields, "id")
-    new = {"tags": F.col("m_tags"), "linked_files": F.col("m_files"), "superseded_by": F.col("m_pointer"),
+    new = {"tags": F.coalesce("m_tags", empty), "linked_files": F.coalesce("m_linked_files", empty), "superseded_by": F.col("m_pointer"),
            "status": F.when(F.col("m_archived"), "archived").otherwise(F.col("status"))}
     kept = base.select(*[new.get(c, F.col(c)).alias(c) for c in notes.columns])
     return alone.unionByName(kept), redirect
 
 
+def _united(rows: DataFrame, by: str, field: str, order: Column) -> DataFrame:
+    """id, m_<field>: the distinct trimmed values of a list over all rows of a group, in order of their first appearance."""
+    each = rows.select(F.col(by).alias("id"), order.alias("o"), F.posexplode(field).alias("pos", "value")).withColumn("value", F.trim("value")).where("value <> ''")
+    first = each.groupBy("id", "value").agg(F.min(F.struct("o", "pos")).alias("at"))
+    return first.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x.value).alias(f"m_{field}"))
+
+
 def fold_records(records: DataFrame, entity: str = "entity_id") -> DataFrame:
     """One record per entity of an append-only log of copies; the same for every order of the copies.
 
@@ -69,18 +73,18 @@ def fold_records(records: DataFrame, entity: str = "entity_id") -> DataFrame:
     superseded_by_entity_id is that of the latest copy that has one. Needs all copies at once: it does not fold in parts.
     """
     key = F.struct("created_at", "id", "source_ref", "remote_id", "superseded_by")
-    empty = F.array().cast("array<string>")
     pick = F.struct((-F.col("created_at")).alias("late"), key.alias("key"), F.col("superseded_by_entity_id").alias("value"))
-    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, empty)))))
     folded = records.groupBy(entity).agg(
         F.min_by(F.struct(*[c for c in records.columns if c != entity]), key).alias("base"), F.count(F.lit(1)).alias("copies"),
         F.max(F.col("status") == "archived").alias("any_archived"), F.max("schema_version").alias("max_version"), F.min("valid_at").alias("first_valid"),
-        F.min("invalid_at").alias("first_invalid"), union("tags").alias("all_tags"), union("linked_files").alias("all_files"),
-        F.min(F.when(F.col("superseded_by_entity_id").isNotNull(), pick)).alias("pick"))
-    several = F.col("copies") > 1
+        F.min("invalid_at").alias("first_invalid"), F.min(F.when(F.col("superseded_by_entity_id").isNotNull(), pick)).alias("pick"))
+    for c in ("tags", "linked_files"):  # distinct values are found before they are gathered
+        values = records.select(entity, F.explode(c).alias("v")).distinct().groupBy(entity).agg(F.array_sort(F.collect_list("v")).alias(f"all_{c}"))
+        folded = folded.join(values, entity, "left")
+    several, empty = F.col("copies") > 1, F.array().cast("array<string>")
+    union = lambda c: F.when(several, F.coalesce(f"all_{c}", empty)).otherwise(F.col(f"base.{c}"))
     new = {"status": F.when(F.col("any_archived"), "archived").otherwise(F.col("base.status")), "schema_version": F.col("max_version"), "valid_at": F.col("first_valid"),
-           "invalid_at": F.col("first_invalid"), "superseded_by_entity_id": F.col("pick.value"),
-           "tags": F.when(several, F.col("all_tags")).otherwise(F.col("base.tags")), "linked_files": F.when(several, F.col("all_files")).otherwise(F.col("base.linked_files"))}
+           "invalid_at": F.col("first_invalid"), "superseded_by_entity_id": F.col("pick.value"), "tags": union("tags"), "linked_files": union("linked_files")}
     return folded.select(entity, *[new.get(c, F.col(f"base.{c}")).alias(c) for c in records.columns if c != entity])
 
 
