@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Words in a commit subject that mark it as routine or as the sign of a failure.
@@ -52,6 +53,53 @@ def next_batch_len(tokens: Column, per_token: float, target_seconds: float, prev
     return F.greatest(F.lit(1), fold.n)
 
 
+def first_items(rows: DataFrame, by: str, order: str, item: Column, most: int, into: str) -> DataFrame:
+    """by, into: the first `most` items of each key in order, as an array. The limit is applied before the shuffle too."""
+    place = F.row_number().over(W.partitionBy(by).orderBy(order))
+    top = rows.select(by, F.col(order), item.alias("__i")).withColumn("__p", place).where(F.col("__p") <= most)
+    return top.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("__p", "__i"))), lambda x: x["__i"]).alias(into))
+
+
+def capped_sessions(turns: DataFrame, session: str, order: str, text: str, limit: int, mark: str) -> DataFrame:
+    """session, text: a session's turns in order, blank lines between; beyond `limit` bytes cut between characters and marked.
+
+    No more turns than can fill the limit are gathered; the full length is a plain sum.
+    """
+    from cairnset.functions.text import truncate_bytes
+
+    body = first_items(turns, session, order, F.coalesce(text, F.lit("")), limit // 2 + 2, "__t")
+    length = turns.groupBy(session).agg((F.sum(F.octet_length(F.coalesce(text, F.lit("")))) + 2 * (F.count(F.lit(1)) - 1)).alias("__n"))
+    joined = body.join(length, session).withColumn("__x", F.array_join("__t", "\n\n"))
+    return joined.select(session, F.when(F.col("__n") <= limit, F.col("__x")).otherwise(F.concat(truncate_bytes(F.col("__x"), limit), F.lit(mark))).alias("text"))
+
+
+def blend_rate(old: tuple[int, float], sample: float) -> tuple[int, float]:
+    """(samples seen, rate): the first seeds, the second takes nine tenths, later ones half."""
+    n, rate = old
+    return n + 1, sample if n == 0 else 0.1 * rate + 0.9 * sample if n == 1 else (rate + sample) / 2
+
+
+def moving_rate(samples: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    """by, rate after all samples of a key in order: rows are streamed sorted, so a key of any size needs one number."""
+    schema = f"{by} {samples.schema[by].dataType.simpleString()}, rate double"
+
+    def fold(frames):
+        who, state, any_yet = None, (0, 0.0), False
+        for pdf in frames:
+            out = []
+            for k, v in zip(pdf[by].tolist(), pdf[value].tolist()):
+                if any_yet and k != who:
+                    out.append((who, state[1]))
+                    state = (0, 0.0)
+                who, any_yet, state = k, True, blend_rate(state, v)
+            yield pd.DataFrame(out, columns=[by, "rate"])
+        if any_yet:
+            yield pd.DataFrame([(who, state[1])], columns=[by, "rate"])
+
+    known = samples.where(F.col(value).isNotNull() & F.col(by).isNotNull()).select(by, order, F.col(value).cast("double").alias(value))
+    return known.repartition(by).sortWithinPartitions(by, order).mapInPandas(fold, schema)
+
+
 def split_to_fit(sizes: list[int], context: int) -> list[int]:
     """Lengths of the batches a list of byte sizes is halved into until a third of its bytes and its reply fit the context."""
     n = len(sizes)

@@ -11,15 +11,16 @@ from cairnset.functions import text as T
 K1, B, RRF_K = 1.2, 0.75, 60
 
 
-def _bm25(docs: DataFrame, counts: dict[str, Column], length: Column) -> DataFrame:
+def _bm25(docs: DataFrame, counts: dict[str, Column], length: Column, may: str | None = None) -> DataFrame:
     """Scores of documents that hold at least one of the counted terms.
 
     One pass gathers the document frequencies, a second scores: neither shuffles more than one row of totals per task.
     """
-    counted = docs.withColumns({**{f"__tf{i}": c for i, c in enumerate(counts.values())}, "__dl": length})
+    test = (lambda c: c) if may is None else (lambda c: F.when(F.col(may), c).otherwise(0))
+    counted = docs.withColumns({**{f"__tf{i}": test(c) for i, c in enumerate(counts.values())}, "__dl": length})
     totals = counted.agg(
         F.count(F.lit(1)).alias("__n"), F.avg("__dl").alias("__avg"), *[F.count(F.when(F.col(f"__tf{i}") > 0, 1)).alias(f"__df{i}") for i in range(len(counts))])
-    scored = counted.where(" or ".join(f"__tf{i} > 0" for i in range(len(counts)))).crossJoin(F.broadcast(totals))  # one row of totals
+    scored = (counted if may is None else counted.where(may)).where(" or ".join(f"__tf{i} > 0" for i in range(len(counts)))).crossJoin(F.broadcast(totals))  # one row of totals
     score = F.lit(0.0)
     for i in range(len(counts)):
         df, tf = F.col(f"__df{i}"), F.col(f"__tf{i}").cast("double")
@@ -36,10 +37,14 @@ def fts_code(docs: DataFrame, query: str, text: str = "text", key: str = "doc_id
     terms = list(dict.fromkeys(w for w in re.split(r"[\W_]+", query.replace("\0", "").lower()) if w))
     if not terms:
         return docs.select(key).withColumn("score", F.lit(0.0)).limit(0)
+    # a document without any of the terms as a substring holds none of them as a word: its words are counted, not compared
+    some = F.lower(text).contains(terms[0])
+    for t in terms[1:]:
+        some = some | F.lower(text).contains(t)
     words = T.words(F.col(text))
     times = lambda t: F.size(F.filter("__w", lambda x: x == t))
     counts = {t: times(F.lit(t)) for t in terms}
-    ranked = _bm25(docs.select(key, words.alias("__w")), counts, F.size("__w"))
+    ranked = _bm25(docs.select(key, words.alias("__w"), F.coalesce(some, F.lit(False)).alias("__some")), counts, F.size("__w"), "__some")
     return ranked.select(key, "score").orderBy(F.desc(F.round("score", 9)), key).limit(limit)
 
 
@@ -58,8 +63,11 @@ def fts_memory(notes: DataFrame, query: str, key: str = "id", limit: int | None
     if not phrase:
         return notes.withColumn("score", F.lit(0.0)).limit(0)
     text = F.concat_ws(" \n ", "title", "body", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " "))
-    ranked = _bm25(notes.withColumn("__w", T.words(text)), {"phrase": phrase_count(F.col("__w"), phrase)}, F.size("__w"))
-    hits = ranked.drop("__w")
+    all_in = F.lit(True)
+    for p in phrase:
+        all_in = all_in & F.lower(text).contains(p)
+    ranked = _bm25(notes.withColumns({"__w": T.words(text), "__may": F.coalesce(all_in, F.lit(False))}), {"phrase": phrase_count(F.col("__w"), phrase)}, F.size("__w"), "__may")
+    hits = ranked.drop("__w", "__may")
     return hits if limit is None else hits.orderBy(F.desc(F.round("score", 9)), key).limit(limit)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cairnset.functions import harvest as H
 from cairnset.functions import metrics as M
 from cairnset.functions import text as T
 from cairnset.operators import chunking as C
@@ -296,20 +297,16 @@ def fn_injection_scan(spark, d):
 @query("""WITH t AS (SELECT user_id, string_agg(event_type, chr(10) || chr(10) ORDER BY event_id) AS x FROM events GROUP BY user_id) SELECT user_id, strlen(CASE WHEN strlen(x) <= 400 THEN x ELSE left(x, 400) || ' [cut]' END) AS bytes FROM t""")
 def fn_session_cap(spark, d):
     """A session's turns in order, capped by bytes between characters, with a mark where cut."""
-    t = table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda s: s.event_type), "\n\n").alias("x"))
-    cut = F.when(F.octet_length("x") <= 400, F.col("x")).otherwise(F.concat(T.truncate_bytes(F.col("x"), 400), F.lit(" [cut]")))
-    return t.select("user_id", F.octet_length(cut).cast("long").alias("bytes"))
+    capped = H.capped_sessions(table(spark, d, "events"), "user_id", "event_id", "event_type", 400, " [cut]")
+    return capped.select("user_id", F.octet_length("text").cast("long").alias("bytes"))
 
 
 @query("""WITH e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events), r(user_id, rn, rate) AS (
   SELECT user_id, rn, value FROM e WHERE rn = 1 UNION ALL SELECT e.user_id, e.rn, CASE WHEN e.rn = 2 THEN 0.1 * r.rate + 0.9 * e.value ELSE (r.rate + e.value) / 2 END FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)
 SELECT user_id, round(arg_max(rate, rn), 4) AS rate FROM r GROUP BY user_id""".replace("WITH e", "WITH RECURSIVE e"))
 def fn_rate_ewma(spark, d):
-    """First sample seeds, the second takes nine tenths, later ones half: a fold over the samples in order."""
-    rows = table(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda s: s.value).alias("v"))
-    fold = F.aggregate("v", F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("r")), lambda s, x: F.struct(
-        (s.n + 1).alias("n"), F.when(s.n == 0, x).when(s.n == 1, 0.1 * s.r + 0.9 * x).otherwise((s.r + x) / 2).alias("r")))
-    return rows.select("user_id", F.round(fold.r, 4).alias("rate"))
+    """First sample seeds, the second takes nine tenths, later ones half."""
+    return H.moving_rate(table(spark, d, "events"), "user_id", "event_id", "value").withColumn("rate", F.round("rate", 4))
 
 
 # --- conventions -----------------------------------------------------------------------------------------------------

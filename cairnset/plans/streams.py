@@ -90,7 +90,7 @@ def fn_range_parse(spark, d):
 @query("""WITH e AS (SELECT user_id, greatest(1, CAST(floor(abs(value)) AS BIGINT)) AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
 c AS (SELECT user_id, rn, sum(t) OVER (PARTITION BY user_id ORDER BY rn) AS s FROM e) SELECT user_id, CAST(greatest(1, count(*) FILTER (s <= 400 AND rn <= 32)) AS INTEGER) AS n FROM c GROUP BY user_id""")
 def fn_next_batch_len(spark, d):
-    t = table(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda s: F.floor(F.abs(s.value)).cast("int")).alias("t"))
+    t = H.first_items(table(spark, d, "events"), "user_id", "event_id", F.floor(F.abs("value")).cast("int"), 4 * 8, "t")
     return t.select("user_id", H.next_batch_len(F.col("t"), 0.01, 4.0, 4).alias("n"))
 
 

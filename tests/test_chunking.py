@@ -96,3 +96,14 @@ def test_conventions(spark):
     strong = V.merged(V.records(V.language_counts(spark.createDataFrame(rust + ts, CONV))))
     assert all(r.confidence >= 0.5 and r.evidence_count >= 5 for r in strong.collect())
     assert V.records(V.language_counts(spark.createDataFrame([], CONV))).count() == 0
+
+
+def test_sessions_and_rates(spark):
+    rows = [(1, i, "é" * 3, float(i)) for i in range(50)] + [(2, 1, "a", 4.0), (2, 2, None, None), (None, 3, "x", 1.0)]
+    df = spark.createDataFrame(rows, "s long, o int, t string, v double")
+    got = {r.s: r.text for r in H.capped_sessions(df, "s", "o", "t", 21, "…").collect()}
+    assert got[1] == "ééé\n\nééé\n\néé…" and got[2] == "a\n\n"
+    state = (0, 0.0)
+    for i in range(50):
+        state = H.blend_rate(state, float(i))
+    assert {r.s: r.rate for r in H.moving_rate(df, "s", "o", "v").collect()} == {1: state[1], 2: 4.0}
