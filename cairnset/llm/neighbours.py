@@ -152,8 +152,10 @@ def nearest(vectors: DataFrame, dim: int, k: int = 5, probes: int = PROBES, rera
     """vectors(id, vector) to id, other, cosine, place: the k most similar of each id, place 1 the most similar."""
     copies = W.partitionBy("vector").orderBy("id")
     rows = usable(vectors.select("id", "vector"), dim)
-    ranked = cut(rows.withColumn("copy", F.row_number().over(copies.rowsBetween(W.unboundedPreceding, 0))))
-    heads = ranked.where(F.col("copy") <= k + 1).select("id", "vector")
+    rows = cut(rows)
+    # a group limit: applied before the shuffle as well, so a vector with very many copies sends few rows to its task
+    ranked = cut(rows.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1))
+    heads = ranked.select("id", "vector")
     n = heads.count()
     share = min(1.0, FIT_ROWS / max(1, n))
     sample = heads.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("vector").limit(2 * FIT_ROWS).toArrow()
@@ -204,7 +206,7 @@ def nearest(vectors: DataFrame, dim: int, k: int = 5, probes: int = PROBES, rera
     best = W.partitionBy("id").orderBy(F.desc("cosine"), "other")
     top = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
     firsts = ranked.where(F.col("copy") <= k).groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("firsts"))
-    tails = salted_join(ranked.where(F.col("copy") > k + 1).select("id", "vector"), firsts, "vector")
+    tails = salted_join(rows.join(heads.select("id"), "id", "left_anti"), firsts, "vector")
     rest = tails.select("id", F.posexplode("firsts").alias("pos", "other")).select("id", "other", F.lit(1.0).cast("float").alias("cosine"), (F.col("pos") + 1).alias("place"))
     return top.unionByName(rest)
 

@@ -34,7 +34,8 @@ P1_AT = [0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 def _p1_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digests kept of each received_on day."""
     runs = Q.once_per_run(table(spark, sf_dir, "harness_runs"))
-    dealt = runs.repartition("received_on", F.pmod(F.xxhash64("wall_seconds", "input_tokens"), F.lit(4)))
+    salts = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)  # a day may hold a third of all rows
+    dealt = runs.repartition("received_on", F.pmod(F.xxhash64("wall_seconds", "input_tokens"), F.lit(salts)))
     day = [*P1_BY, "received_on"]
     return cut(Q.merge_digests(Q.digest_groups(dealt, day, P1_MEASURES, P1_EPS), day, P1_EPS, salts=1))
 
