@@ -139,10 +139,10 @@ def hybrid(docs: DataFrame, vectors: DataFrame, query: str, vector: list[float],
 
 
 def min_max_similarity(df: DataFrame, distance: str = "distance") -> DataFrame:
-    """1 - (d - min) / max(range, 1e-6) over the whole (limited) list."""
-    span = df.agg(F.min(distance).alias("__lo"), F.max(distance).alias("__hi"))
-    return df.crossJoin(F.broadcast(span)).withColumn(  # one row
-        "similarity", 1 - (F.col(distance) - F.col("__lo")) / F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-6))).drop("__lo", "__hi")
+    """1 - (d - min) / max(range, 1e-6) over a whole limited list (a few hundred rows: one window, one pass)."""
+    whole = W.partitionBy()
+    low, high = F.min(distance).over(whole), F.max(distance).over(whole)
+    return df.withColumn("similarity", 1 - (F.col(distance) - low) / F.greatest(high - low, F.lit(1e-6)))
 
 
 def budget_pack(hits: DataFrame, budget: int, order: list[str], stop_below: int = 10) -> DataFrame:

@@ -78,8 +78,8 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, personal
     """edges(src, dst) to (node, rank). Self loops are dropped, repeated edges count, what ends nowhere is spread evenly.
 
     With `personal(node, weight)` jumps and dangling mass go to it instead (weights over their sum; nodes outside get 0).
-    Every round is one join and one aggregate and is written to the shared folder, so the plan stays small and a lost executor
-    costs one round; only the dangling mass, one number, passes the driver.
+    A round is one join and one aggregate; every second one is written to the shared folder, so the plan stays small and a lost
+    executor costs two rounds at most.
     """
     real = edges.where("src <> dst")
     nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
@@ -98,14 +98,15 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, personal
         base = base.withColumn("jump", F.lit(1.0 / n))
     rest = base.select("node", "dangling", "jump", F.lit(0.0).alias("got"))
     state = base.withColumn("rank", F.lit(1.0 / n))
-    lost = base.where("dangling").count() / n
     for i in range(rounds):
+        lost = state.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"))
         inflow = links.join(state.select(F.col("node").alias("src"), "rank"), "src").select(
             F.col("dst").alias("node"), F.lit(None).cast("boolean").alias("dangling"), F.lit(None).cast("double").alias("jump"), (F.col("share") * F.col("rank")).alias("got"))
         mixed = inflow.unionByName(rest).groupBy("node").agg(F.max("dangling").alias("dangling"), F.max("jump").alias("jump"), F.sum("got").alias("got"))
-        state = cut(mixed.select("node", "dangling", "jump", (((1 - damping) + damping * lost) * F.col("jump") + damping * F.col("got")).alias("rank")))
-        if i + 1 < rounds:
-            lost = state.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))).first()[0]
+        state = mixed.crossJoin(F.broadcast(lost)).select(  # one row
+            "node", "dangling", "jump", (((1 - damping) + damping * F.col("lost")) * F.col("jump") + damping * F.col("got")).alias("rank"))
+        if i % 2 or i + 1 == rounds:  # a round reads the one before twice, so more than two would double the plan again
+            state = cut(state)
     return state.select("node", "rank")
 
 
