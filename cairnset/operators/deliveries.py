@@ -33,17 +33,19 @@ def instant_seconds(c: Column) -> Column:
     return F.coalesce(epoch, F.try_to_timestamp(text).cast("long"))
 
 
-def ranked_deliveries(df: DataFrame, key: list[str], arrival: str, ties: list[str], ranks: int = 1) -> DataFrame:
-    """The first `ranks` copies by key with `delivery_no`; rows with a null key column must be set apart before."""
+def ranked_deliveries(df: DataFrame, key: list[str], arrival: str, ties: list[str], ranks: int = 1, into: str = "delivery_no") -> DataFrame:
+    """The first `ranks` copies by key, numbered in column `into`; rows with a null key column must be set apart before."""
+    if into in df.columns:
+        raise ValueError(f"{into} is already a column")
     order = [F.col(arrival).asc_nulls_last(), *[F.col(t).asc_nulls_first() for t in ties]]
-    ranked = df.withColumn("delivery_no", F.row_number().over(W.partitionBy(*key).orderBy(*order)))
-    return ranked.where(F.col("delivery_no") <= ranks)
+    ranked = df.withColumn(into, F.row_number().over(W.partitionBy(*key).orderBy(*order)))
+    return ranked.where(F.col(into) <= ranks)
 
 
 def first_deliveries(df: DataFrame, id_col: str, arrival: str, ties: list[str], channel: list[str] | None = None) -> DataFrame:
     """One row per id (the first to arrive); rows without an id are left as they are."""
     key = [*(channel or []), id_col]
-    kept = ranked_deliveries(df.where(F.col(id_col).isNotNull()), key, arrival, ties, 1).drop("delivery_no")
+    kept = ranked_deliveries(df.where(F.col(id_col).isNotNull()), key, arrival, ties, 1, "__delivery_no").drop("__delivery_no")
     return kept.unionByName(df.where(F.col(id_col).isNull()))
 
 

@@ -379,3 +379,12 @@ def graph_expand(spark, d):
     result = named.where("name like 'fold_ledger%'")
     near = named.join(G.neighbours(G.call_edges(named), result.select("name").distinct()), "name", "left_semi").select("chunk_id").distinct()
     return near.join(result.select("chunk_id"), "chunk_id", "left_anti").orderBy("chunk_id").limit(15).withColumn("from_graph", F.lit(True))
+
+
+@query("SELECT vec_id, 4 * len(embedding) AS n_bytes, true AS same FROM embeddings")
+def blob_codec(spark, d):
+    """Vectors as little-endian 32-bit floats and back."""
+    from cairnset.functions.vector import decode_floats, encode_floats
+
+    e = cut(table(spark, d, "embeddings").select("vec_id", "embedding", encode_floats(F.col("embedding")).alias("b")))
+    return e.select("vec_id", F.octet_length("b").cast("long").alias("n_bytes"), (decode_floats(F.col("b")) == F.col("embedding")).alias("same"))

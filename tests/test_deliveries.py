@@ -1,3 +1,4 @@
+import pytest
 from cairnset.operators import deliveries as D
 from pyspark.sql import functions as F
 
@@ -16,6 +17,10 @@ def test_first_copy_ties_nulls_and_clashing_columns(spark):
     df = spark.createDataFrame(rows, "message_id string, at int, body string, rank int")
     kept = sorted((tuple(r) for r in D.first_deliveries(df, "message_id", "at", ["body"]).collect()), key=str)
     assert kept == sorted([("a", 1, "y", 3), ("b", None, None, 4), (None, 1, "n", 5), (None, 1, "n", 5)], key=str)
+    clash = df.withColumnRenamed("rank", "delivery_no")
+    assert D.first_deliveries(clash, "message_id", "at", ["body"]).columns == clash.columns
+    with pytest.raises(ValueError):
+        D.ranked_deliveries(clash, ["message_id"], "at", ["body"])
 
 
 def test_new_batch_against_stored(spark):
