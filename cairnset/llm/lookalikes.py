@@ -120,10 +120,12 @@ def same_looking_pairs(members: DataFrame, salts: int = 8) -> DataFrame:
     """members(id, class, raw) to pairs (id_a, id_b) of one class and different raw texts, smaller id first.
 
     Only classes with more than one raw text are expanded, raw text against raw text and not row against row, so exact
-    copies of one text are never compared with each other and every joined row is a row of the result.
+    copies of one text are never compared with each other and every joined row is a row of the result. Rows without an id, a
+    class or a raw text have no partner.
     """
     from cairnset.session import salted_join
 
+    members = members.where("id is not null and class is not null and raw is not null")
     mixed = members.groupBy("class").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("class")
     inside = members.join(mixed, "class", "left_semi")
     raws = inside.select("class", "raw").distinct()

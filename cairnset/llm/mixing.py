@@ -8,7 +8,8 @@ shards gets a multivariate-hypergeometric share of what the node holds, so the q
 are drawn without overlap and the documents of a shard are shuffled inside it.
 
 Sources without a target, or with share 0, are not used; a listed source without tokens cannot be met: the other shares
-are scaled to sum to 1 and the report shows what was reached. Null sources are not listed. Repeated calls agree (seed).
+are scaled to sum to 1 and the report shows what was reached. Null sources are not listed, rows without a doc_id cannot be
+drawn, null token counts count as 0. Repeated calls agree (seed).
 """
 
 from __future__ import annotations
@@ -81,7 +82,8 @@ def plan_draws(blocks: dict[str, np.ndarray], targets: dict[str, tuple[float, in
 def mixture(docs: DataFrame, targets: dict[str, tuple[float, int]], blocks: int = BLOCKS, shard_tokens: int = 2_000_000, seed: int = 7, total: float | None = None) -> DataFrame:
     """docs(doc_id, source, n_tokens) to shard, position, source, doc_id, use_no, n_tokens. `docs` is read twice."""
     spark = docs.sparkSession
-    listed = docs.where(F.col("source").isin(list(targets))).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(blocks)).cast("int"))
+    slim = docs.select("doc_id", "source", "n_tokens").where("doc_id is not null")
+    listed = slim.where(F.col("source").isin(list(targets))).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(blocks)).cast("int"))
     sizes: dict[str, np.ndarray] = {}
     for r in listed.groupBy("source", "block").agg(F.sum("n_tokens").alias("n")).collect():  # at most sources x blocks rows
         sizes.setdefault(r.source, np.zeros(blocks, np.int64))[r.block] = r.n or 0

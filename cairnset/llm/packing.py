@@ -5,7 +5,8 @@ one task's work); a task receives its shard sorted by falling size and places ea
 least room that still holds it, found in the tree in logarithmic time. Only an item larger than the window is split: into
 full windows, which need no search, and a remainder, which is packed like any other item.
 
-Null or empty texts have size 0 and are placed like any item. Ties in size go by id. Nothing is dropped or cut off.
+Null or empty texts have size 0 and are placed like any item. Ties in size go by id. Nothing is dropped or cut off, but a row
+without an id is no item.
 """
 
 from __future__ import annotations
@@ -91,7 +92,7 @@ def pack(items: DataFrame, limits: list[tuple[str, int]], n_items: int, shard_it
     if any(cap <= 0 for _, cap in limits):
         raise ValueError("capacities must be positive")
     table = F.array(*[F.struct(F.lit(n).alias("limit_name"), F.lit(int(c)).cast("long").alias("max_size")) for n, c in limits])
-    rows = items.select("item_id", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("total"), F.explode(table).alias("l")).select(
+    rows = items.where("item_id is not null").select("item_id", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("total"), F.explode(table).alias("l")).select(
         "item_id", "total", "l.limit_name", "l.max_size",
         F.when(F.col("total") > F.col("l.max_size"), F.floor(F.col("total") / F.col("l.max_size"))).otherwise(0).cast("int").alias("full"))
     whole = rows.where("full > 0").select(

@@ -220,9 +220,13 @@ def read_quantiles(digests: DataFrame, by: list[str], at: list[float]) -> DataFr
 
 
 def once_per_run(runs: DataFrame) -> DataFrame:
-    """Each run_id once (repeats are identical; of differing rows the smallest is taken), names cleaned."""
-    fields = ["received_on", "condition", "model", "wall_seconds", "input_tokens"]
-    one = runs.select("run_id", F.struct(*fields).alias("row")).groupBy("run_id").agg(F.min("row").alias("row"))
+    """Each run_id once (repeats are identical; of differing rows the smallest is taken), names cleaned.
+
+    Rows without a run_id cannot be recognised as repeats and are kept as they are.
+    """
+    row = F.struct("received_on", "condition", "model", "wall_seconds", "input_tokens").alias("row")
+    known = runs.where("run_id is not null").select("run_id", row).groupBy("run_id").agg(F.min("row").alias("row")).select("row")
+    one = known.union(runs.where("run_id is null").select(row))
     return one.select(
         F.col("row.received_on").alias("received_on"), squeeze(F.col("row.condition")).alias("condition"),
         squeeze(F.col("row.model")).alias("model"), F.col("row.wall_seconds").alias("wall_seconds"),

@@ -278,3 +278,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest chunks of every usable chunk."""
     return _neighbours(spark, sf_dir).select(F.col("id").alias("chunk_id"), F.col("other").alias("near_chunk_id"), "place", F.round("cosine", 5).alias("cosine"))
+
+
+# By brute force over all pairs, which SQL can afford on a small table only; the queries above never do that.
+ORACLE["p4_found"] = """
+WITH u AS (SELECT chunk_id, CAST(min(vector) AS DOUBLE[]) AS v FROM embed_vectors WHERE chunk_id IS NOT NULL AND len(vector) = 64
+    AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY chunk_id),
+c AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_cosine_similarity(a.v, b.v) AS s FROM u a JOIN u b ON a.chunk_id <> b.chunk_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rn FROM c)
+SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM r WHERE rn <= 5 AND s >= 0.9"""
+ORACLE["p10_found"] = f"""
+WITH f AS (SELECT doc_id, text, {L.folding_sql('text')} AS form FROM documents WHERE text IS NOT NULL)
+SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text"""

@@ -37,7 +37,8 @@ def test_fixed_point_null_and_long_text(spark):
 
 def test_pairs_match_brute_force(spark):
     rows = [(1, "k", "a"), (2, "k", "a"), (3, "k", "b"), (4, "k", "c"), (5, "m", "z"), (6, "m", "z"), (7, "n", "y")]
-    df = spark.createDataFrame(rows, "id long, class string, raw string")
+    lost = [(None, "k", "q"), (8, None, "q"), (9, "k", None)]
+    df = spark.createDataFrame(rows + lost, "id long, class string, raw string")
     got = sorted(map(tuple, L.same_looking_pairs(df).collect()))
     assert got == [(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if a[1] == b[1] and a[2] != b[2]]
     assert L.same_looking_pairs(df.limit(0)).count() == 0

@@ -25,11 +25,11 @@ def test_rank_error_after_many_merges(seed):
 
 def test_spark_groups_nulls_and_bad_values(spark):
     rows = [("r1", None, " A ", "m", 5.0, 10), ("r1", None, " A ", "m", 5.0, 10), ("r2", None, "a", "M", float("nan"), None),
-            ("r3", None, "a", "m", -1.0, 4), ("r4", None, None, "m", 2.0, 3), ("r5", None, "b", "m", None, -5)]
+            ("r3", None, "a", "m", -1.0, 4), ("r4", None, None, "m", 2.0, 3), ("r5", None, "b", "m", None, -5), (None, None, "c", "m", 1.0, None), (None, None, "c", "m", 1.0, None)]
     df = spark.createDataFrame(rows, "run_id string, received_on date, condition string, model string, wall_seconds double, input_tokens long")
     runs = Q.once_per_run(df.withColumn("n", Q.F.lit(1)).withColumn("measure", Q.F.lit("x")))
     out = Q.read_quantiles(Q.merge_digests(Q.digest_groups(runs, ["condition", "model"], ["wall_seconds", "input_tokens"], 0.01), ["condition", "model"], 0.01), ["condition", "model"], [0.5]).collect()
     got = {(r.condition, r.model, r.measure): (r.n, r.estimate) for r in out}
     assert got == {("a", "m", "wall_seconds"): (1, 5.0), ("a", "m", "input_tokens"): (2, 4.0),
-                   (None, "m", "wall_seconds"): (1, 2.0), (None, "m", "input_tokens"): (1, 3.0)}
+                   (None, "m", "wall_seconds"): (1, 2.0), (None, "m", "input_tokens"): (1, 3.0), ("c", "m", "wall_seconds"): (2, 1.0)}
     assert Q.digest_groups(runs.limit(0), ["condition"], ["wall_seconds"], 0.01).count() == 0
