@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cairnset.functions import text as T
 
 STYLES = ["snake_case", "camelCase", "PascalCase", "SCREAMING_SNAKE_CASE"]  # in order of preference on equal counts
+# Kinds of chunks, words looked for and what their records say.
 CALLABLE, TYPES = ["function", "method"], ["class", "struct", "enum", "trait", "interface", "type"]
 RUST_ERRORS = [("anyhow", "Error handling via anyhow::Result"), ("thiserror", "Error types defined with thiserror"), ("AppError", "Custom AppError type for error handling")]
 _TS_TEST = r"(\.(test|spec)\.tsx?$)|(__tests__/)"

@@ -282,7 +282,8 @@ def fn_blake3_stale(spark, d):
 def fn_source_commit(spark, d):
     n = V.notes(spark, d).where("tags is not null")
     tags = F.concat("tags", F.array(F.concat(F.lit("git:"), F.coalesce("source_ref", F.lit("none")))))
-    return n.select("id", F.expr("substr(x, 5)").alias("sha")) if "x" in n.columns else n.withColumn("x", F.try_element_at(F.filter(tags, lambda t: t.startswith("git:")), F.lit(1))).select("id", F.expr("substr(x, 5)").alias("sha"))
+    first = F.try_element_at(F.filter(tags, lambda t: t.startswith("git:")), F.lit(1))
+    return n.select("id", F.regexp_replace(first, "^git:", "").alias("sha"))
 
 
 _INJ = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches({c}, {q1(p)}) THEN '{f}:{cat}' END" for cat, p in T.INJECTION_PATTERNS for f, c in (("title", "path"), ("body", "text"))) + ")"

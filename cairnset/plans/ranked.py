@@ -388,3 +388,14 @@ def blob_codec(spark, d):
 
     e = cut(table(spark, d, "embeddings").select("vec_id", "embedding", encode_floats(F.col("embedding")).alias("b")))
     return e.select("vec_id", F.octet_length("b").cast("long").alias("n_bytes"), (decode_floats(F.col("b")) == F.col("embedding")).alias("same"))
+
+
+@query(f"WITH {_DOC_BM} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY round(score, 9) DESC, doc_id LIMIT 50")
+def fts_index(spark, d):
+    """The same search from a stored inverted index (built here first; a store keeps it)."""
+    from cairnset.operators.index import search_index, write_index
+    from cairnset.streaming.streams import shared_folder
+
+    folder = shared_folder(spark, "index")
+    write_index(table(spark, d, "documents"), folder)
+    return search_index(spark, folder, CODE_QUERY, limit=50).withColumn("score", F.round("score", 6))

@@ -156,3 +156,14 @@ def test_metrics(spark):
     assert tuple(spark.range(1).select(low, high).first()) == (0.0, 0.0)
     boot = M.bootstrap(spark.createDataFrame([(i, "g", float(i % 2)) for i in range(400)], "id long, g string, v double"), ["g"], "v", rounds=200).first()
     assert 0.42 < boot.low < 0.5 < boot.high < 0.58
+
+
+def test_stored_index_gives_the_same_scores(spark, tmp_path):
+    from cairnset.operators import index as I
+
+    df = spark.createDataFrame(DOCS + [(6, "beta Beta BETA, gamma"), (7, "漢字 beta_x")], "doc_id long, text string")
+    I.write_index(df, str(tmp_path / "i"), buckets=4)
+    for q in ("beta ALPHA", "gamma", "nothing", "", "漢字"):
+        want = {r.doc_id: round(r.score, 9) for r in R.fts_code(df, q).collect()}
+        got = {r.doc_id: round(r.score, 9) for r in I.search_index(spark, str(tmp_path / "i"), q).collect()}
+        assert got == want, q
