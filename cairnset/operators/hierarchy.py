@@ -151,6 +151,30 @@ def forest_paths(links: DataFrame, roots: DataFrame, max_task_rows: int = 200_00
     return walked.union(seg.select("node", F.concat(F.reverse("up_path"), F.array("node")).alias("path")))
 
 
+def cycle_paths(links: DataFrame, roots: DataFrame, max_task_rows: int = 200_000) -> DataFrame:
+    """(node, path) for nodes whose chain never ends: every other node above it once, up to the first repeated one, then the node.
+
+    Each cycle is opened above its smallest node, which makes a tree of all that runs into it; what of the cycle then lies
+    not on a node's path in that tree is put before it.
+    """
+    endless = roots.where("never_ends").select("node", F.col("root").alias("least"))
+    if endless.isEmpty():
+        return endless.select("node", F.array("node").alias("path"))
+    within = cut(links.join(endless, "node"))
+    opened = within.where("node <> least").select("node", "parent")
+    tops = within.where("node = least").select("least", F.col("parent").alias("last"))
+    walked = forest_paths(opened, cut(forest_roots(opened, max_task_rows)), max_task_rows)
+    paths = cut(walked.union(tops.select(F.col("least").alias("node"), F.array("least").alias("path"))).withColumn("least", F.col("path")[0]))
+    loops = tops.join(paths.select(F.col("node").alias("last"), F.col("path").alias("loop")), "last").select("least", "loop")
+    shared = F.size(F.array_intersect("path", "loop"))
+    return salted_join(paths, loops, "least").select("node", F.concat(F.slice("loop", shared + 1, F.size("loop")), "path").alias("path"))
+
+
+def all_paths(links: DataFrame, roots: DataFrame, max_task_rows: int = 200_000) -> DataFrame:
+    """(node, path) for every node with a parent, whether its chain ends or not."""
+    return forest_paths(links, roots, max_task_rows).union(cycle_paths(links, roots, max_task_rows))
+
+
 def descendants(paths: DataFrame) -> DataFrame:
     """(node, descendant, distance): one row per ancestor of each node, never gathered into one row per ancestor."""
     steps = paths.select(F.col("node").alias("descendant"), F.size("path").alias("n"), F.posexplode("path").alias("pos", "node"))

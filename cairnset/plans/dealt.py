@@ -23,7 +23,7 @@ def p3_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every note with a parent: parent, root, depth, path from the root, whether its chain never ends, descendants."""
     links = _links(spark, sf_dir)
     roots = cut(H.forest_roots(links))
-    paths = cut(H.forest_paths(links, roots))
+    paths = cut(H.all_paths(links, roots))
     below = H.descendants(paths).groupBy("node").agg(F.count(F.lit(1)).alias("n_descendants"))
     full = links.join(roots, "node").join(paths, "node", "left").join(below, "node", "left")
     return full.select(
@@ -32,8 +32,9 @@ def p3_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a note and another below it, also below and on cycles (the SQL leaves out chains that never end)."""
     links = _links(spark, sf_dir)
-    paths = H.forest_paths(links, cut(H.forest_roots(links)))
+    paths = H.all_paths(links, cut(H.forest_roots(links)))
     return H.descendants(paths).select(F.col("node").alias("note_id"), F.col("descendant").alias("descendant_id"), "distance")
 
 

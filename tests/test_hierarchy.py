@@ -65,3 +65,19 @@ def test_empty_forest(spark):
     links = spark.createDataFrame([], "node long, parent long")
     roots = H.forest_roots(links)
     assert roots.count() == 0 and H.forest_paths(links, roots).count() == 0
+
+
+@pytest.mark.parametrize("max_task_rows", [5, 1000])
+def test_paths_and_descendants_on_and_below_cycles(spark, max_task_rows):
+    parent = make(5, 120)
+    links = spark.createDataFrame(list(parent.items()), "node long, parent long")
+    want = {}
+    for n in parent:
+        path = [n]
+        while path[-1] in parent and parent[path[-1]] not in path:
+            path.append(parent[path[-1]])
+        want[n] = path[::-1]
+    paths = H.all_paths(links, H.forest_roots(links), max_task_rows)
+    assert {r.node: r.path for r in paths.collect()} == want
+    pairs = sorted((a, n, len(p) - 1 - i) for n, p in want.items() for i, a in enumerate(p[:-1]))
+    assert sorted(map(tuple, H.descendants(paths).collect())) == pairs
