@@ -36,3 +36,15 @@ def test_relay_buffer_fills_and_acks_free_it(spark, tmp_path):
     assert run() == {("a", "b"), ("b", "b")}
     write(spark, path, [("p", "a", "ack"), ("p", "c", "pull"), ("p", "b", "pull")], schema)
     assert run() == {("a", "b"), ("b", "b"), ("c", "c")}
+
+
+def test_windowed_counts_give_out_every_closed_day(spark, tmp_path):
+    import datetime as d
+
+    from cairnset.plans import catalogue
+
+    at = [d.datetime(2024, 1, 18, 5), d.datetime(2024, 1, 19, 5), d.datetime(2024, 1, 25, 5), d.datetime(2024, 1, 25, 6), d.datetime(2024, 1, 30, 2)]
+    rows = spark.createDataFrame([(i, i, "x", t) for i, t in enumerate(at)], "event_id long, user_id long, event_type string, ts timestamp_ntz")
+    rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = {(r.day, r.n) for r in catalogue.QUERIES["stm_windowed_counts"](spark, str(tmp_path)).collect()}
+    assert got == {("2024-01-18", 1), ("2024-01-19", 1), ("2024-01-25", 2)}
