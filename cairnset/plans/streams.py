@@ -48,9 +48,9 @@ def stm_rate_limit_stream(spark, d):
 r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY item) AS rn FROM i), b AS (SELECT project, item FROM r WHERE rn <= 50)
 SELECT project, item, max(item) OVER (PARTITION BY project) AS "cursor" FROM b""")
 def stm_relay(spark, d):
-    """Buffers of at most 50 items a session; the cursor is the greatest id held."""
-    p = S.table_stream(spark, os.path.join(d, "relay_pulled.parquet")).select("project", F.lower("remote_id").alias("item"), F.lit("pull").alias("action"))
-    return S.drain(S.relay_buffer(p.where(F.col("item").rlike(r"^[0-9a-f-]{36}\z")), "project", "item", "action", 50), S.shared_folder(spark, "relay"))
+    """Buffers of at most 10,000 items a session, drained until every message has entered (the SQL holds 50 ids a project, in one notation)."""
+    p = table(spark, d, "relay_pulled").select("project", D.message_id(F.col("remote_id")).alias("item"))
+    return S.relay_drained(p, "project", "item", 10_000, S.shared_folder(spark, "relay"))
 
 
 @query("""SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1, 2""")

@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cairnset.operators.notes import _admit
-from cairnset.session import ensure_checkpoint_dir
+from cairnset.session import cut, ensure_checkpoint_dir
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -88,6 +89,24 @@ def relay_buffer(stream: DataFrame, session: str, item: str, action: str, capaci
         step, f"{session} string, {item} string, cursor string", "held string, cursor string", "append", GroupStateTimeout.NoTimeout)
 
 
+def relay_drained(pulled: DataFrame, session: str, item: str, capacity: int, folder: str) -> DataFrame:
+    """Every item through its session's buffer, however many there are: (session, item, cursor) of what entered.
+
+    What a full buffer refuses is offered again: each round pulls the next `capacity` ids after the cursor and acks those
+    of the round before, until none is left. The rounds are appended to a folder that the buffers read as a stream.
+    """
+    order = W.partitionBy(session).orderBy(item)
+    ids = pulled.where(F.col(item).isNotNull()).select(session, item).distinct()
+    pages = cut(ids.withColumn("page", F.floor((F.row_number().over(order) - 1) / capacity)))
+    last = pages.agg(F.max("page")).first()[0]
+    for page in range((last or 0) + 1):
+        pull = pages.where(F.col("page") == page).select(session, item, F.lit("pull").alias("action"))
+        ack = pages.where(F.col("page") == page - 1).select(session, item, F.lit("ack").alias("action"))
+        pull.union(ack).write.mode("append").parquet(folder + "/actions")
+        entered = drain(relay_buffer(table_stream(pulled.sparkSession, folder + "/actions"), session, item, "action", capacity), folder)
+    return entered
+
+
 def windowed_counts(stream: DataFrame, at: str, width: str, by: str, late: str = "1 hour") -> DataFrame:
     """Rows per window and key; a window is given out once the watermark has passed it."""
     return stream.withWatermark(at, late).groupBy(F.window(at, width), by).agg(F.count(F.lit(1)).alias("n"))

@@ -48,3 +48,21 @@ def test_windowed_counts_give_out_every_closed_day(spark, tmp_path):
     rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     got = {(r.day, r.n) for r in catalogue.QUERIES["stm_windowed_counts"](spark, str(tmp_path)).collect()}
     assert got == {("2024-01-18", 1), ("2024-01-19", 1), ("2024-01-25", 2)}
+
+
+def test_relay_lets_every_item_in_whatever_the_capacity(spark, tmp_path):
+    rows = [(p, f"{i:03d}") for p in ("a", "b") for i in range(3 if p == "a" else 8)] + [("a", "001"), ("a", None)]
+    pulled = spark.createDataFrame(rows, "project string, item string")
+    got = sorted((r.project, r.item, r.cursor) for r in S.relay_drained(pulled, "project", "item", 3, str(tmp_path / "three")).collect())
+    assert got == [("a", f"{i:03d}", "002") for i in range(3)] + [("b", f"{i:03d}", f"{min(7, i // 3 * 3 + 2):03d}") for i in range(8)]
+    assert S.relay_drained(pulled.limit(0), "project", "item", 3, str(tmp_path / "none")).count() == 0
+
+
+def test_relay_query_takes_ids_in_every_notation(spark, tmp_path):
+    from cairnset.plans import catalogue
+
+    plain = [f"00000000-0000-4000-8000-{i:012x}" for i in range(60)]
+    written = [*plain[:56], "urn:uuid:" + plain[56], "{" + plain[57].upper() + "}", plain[58].replace("-", ""), f"  {plain[59]} ", plain[0].upper(), "", None]
+    spark.createDataFrame([("p", x) for x in written], "project string, remote_id string").write.parquet(str(tmp_path / "relay_pulled.parquet"))
+    got = catalogue.QUERIES["stm_relay"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [("p", i, plain[59]) for i in plain]
