@@ -113,7 +113,7 @@ def _records(spark, d):
 
 @query(w(V.EDGES, _DUMP, then="""SELECT 'note' AS kind, count(*) AS n, sha256(string_agg(digest, '' ORDER BY ref)) AS digest FROM rec UNION ALL SELECT 'relationship', count(*), sha256(string_agg(digest, '' ORDER BY ref)) FROM rel"""))
 def sink_export_dump(spark, d):
-    """Footer of a dump: count and digest of each kind (digests in blocks of the order, so no task joins them all)."""
+    """Footer of a dump: count and digest of each kind (each kind sorted and streamed through one hash)."""
     return X.footer(_records(spark, d))
 
 

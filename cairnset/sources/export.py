@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,24 +41,32 @@ def dangling(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return lost_from.select(*edges.columns).union(lost_to.select(*edges.columns))
 
 
-def footer(records: DataFrame, gather: int = 1_000_000) -> DataFrame:
-    """Count and digest of each kind: SHA-256 over the records' own digests in order of their reference.
-
-    The chained digest is sequential by its definition, so up to `gather` records of a kind it is computed in one go;
-    beyond that as a digest of the digests of blocks of that many, each in a task of its own.
+def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by kind: one running digest for each, handed out when the next kind begins."""
+    done, now, n, sha = [], None, 0, None
+    for b in batches:
+        for kind, digest in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if sha is None or kind != now:
+                if sha is not None:
+                    done.append((now, n, sha.hexdigest()))
+                now, n, sha = kind, 0, hashlib.sha256()
+            n += 1
+            sha.update((digest or "").encode())
+    if sha is not None:
+        done.append((now, n, sha.hexdigest()))
+    kinds, counts, digests = zip(*done) if done else ((), (), ())
+    yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(counts, pa.int64()), pa.array(digests, pa.string())], names=["kind", "n", "digest"])
+
+
+def footer(records: DataFrame) -> DataFrame:
+    """Count and digest of each kind: SHA-256 over the records' own digests in order of their reference, at every size.
+
+    That digest is sequential by its definition: the records of a kind are sorted on disk and pass through one task as a
+    stream, which holds nothing but the running hash.
     """
     digests = records.select("kind", "ref", F.sha2("payload", 256).alias("digest"))
-    from cairnset.operators.notes import batches
-
-    total = digests.count()
-    if total <= gather:
-        rows = F.transform(F.array_sort(F.collect_list(F.struct("ref", "digest"))), lambda x: x.digest)
-        return digests.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(rows, ""), 256).alias("digest"))
-    blocks = batches(digests, ["kind", "ref"], gather)
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("ref", "digest"))), lambda x: x.digest)
-    part = blocks.groupBy("kind", "batch").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(rows, ""), 256).alias("digest"))
-    order = F.transform(F.array_sort(F.collect_list(F.struct("batch", "digest"))), lambda x: x.digest)
-    return part.groupBy("kind").agg(F.sum("n").alias("n"), F.sha2(F.array_join(order, ""), 256).alias("digest"))
+    ordered = digests.repartition("kind").sortWithinPartitions("kind", "ref", "digest")
+    return ordered.select("kind", "digest").mapInArrow(_chain, "kind string, n long, digest string")
 
 
 def verify(records: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
