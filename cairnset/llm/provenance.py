@@ -3,7 +3,8 @@
 Vendored copies are found by winnowing: the token stream of a file (lower case, white space dropped) is hashed in k-grams,
 the least hash of every window of w k-grams is kept as a fingerprint, so two files that share k + w - 1 tokens in a row share a
 fingerprint wherever it lies. A fingerprint that occurs in at least `min_projects` projects recurs; a file is a copy if
-`min_share` of its fingerprints recur. Copies also show in their place (vendor directories, versioned file names) and in a
+`min_share` of its fingerprints recur. A file too short for two windows has one fingerprint of its whole token stream, so
+only whole copies of it are found. Copies also show in their place (vendor directories, versioned file names) and in a
 header naming the release they were taken from. Generated files show by a comment at their head or by the file name their
 tool gives them; minified files by their density (hardly any white space, lines far longer than anyone writes); data by
 literals making up nearly all of the text.
@@ -28,6 +29,8 @@ from cairnset.llm.splitting import current_files
 from cairnset.session import cut, salted_join
 
 SEGMENT, KGRAM, WINDOW, HEAD_LINES = 256, 100, 40, 20
+#: Files of fewer tokens have less than two windows; they are compared as a whole.
+SHORT = KGRAM + WINDOW
 
 # What tools write into files and names, and where copies are kept.
 _LEAD = r"^[\s/*#;<!\-%\"'(]*"
@@ -50,7 +53,7 @@ VENDORED_PATH = (
 _STRING = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'|`[^`]*`|0[xX][0-9a-fA-F]+")
 _IDENT = re.compile(r"[^\W\d]\w*")
 _FEATURES = ("file_id long, segment int, n long, spaces long, lines long, wide long, marks long, idents long, literal boolean, "
-             "generated boolean, copied boolean, prints array<long>")
+             "generated boolean, copied boolean, prints array<long>, tokens long, whole long")
 
 
 def fingerprints(hashes: np.ndarray, k: int = KGRAM, w: int = WINDOW) -> np.ndarray:
@@ -86,12 +89,13 @@ def features(text: str, first: bool) -> tuple:
     return (
         n, spaces, int(count[10]) + 1, n - len(ascii_), len(ascii_) - spaces - digits - letters, idents, bool(literal),
         any(GENERATED_LINE.match(x) and not TEMPLATE.search(x) for x in head), any(COPIED_LINE.match(x) for x in head),
-        fingerprints(h).view(np.int64).tolist())
+        fingerprints(h).view(np.int64).tolist(), len(h),
+        int(K.span_hashes(h, np.array([0]), np.array([len(h)])).view(np.int64)[0]) if 0 < len(h) < SHORT else None)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = [pa.int64()] * 6 + [pa.bool_()] * 3 + [pa.list_(pa.int64())]
-    names = ["n", "spaces", "lines", "wide", "marks", "idents", "literal", "generated", "copied", "prints"]
+    types = [pa.int64()] * 6 + [pa.bool_()] * 3 + [pa.list_(pa.int64())] + [pa.int64()] * 2
+    names = ["n", "spaces", "lines", "wide", "marks", "idents", "literal", "generated", "copied", "prints", "tokens", "whole"]
     for b in batches:
         col = lambda c: b.column(b.schema.get_field_index(c))
         rows = [features(t or "", s == 0) for t, s in zip(col("text").to_pylist(), col("segment").to_pylist())]
@@ -117,6 +121,13 @@ def recurring_share(prints: DataFrame, min_projects: int) -> DataFrame:
     return known.groupBy("file_id").agg(F.count(F.lit(1)).alias("prints"), F.count("recurs").alias("recurring"))
 
 
+def short_files(parts: DataFrame) -> DataFrame:
+    """file_id, fp: one fingerprint of the whole token stream of each file that has tokens, but too few for two windows."""
+    wholes = F.array_sort(F.collect_list(F.when(F.col("whole").isNotNull(), F.struct("segment", "whole"))))
+    files = parts.groupBy("file_id").agg(F.sum("tokens").alias("tokens"), wholes.alias("wholes"))
+    return files.where(F.col("tokens").between(1, SHORT - 1)).select("file_id", F.xxhash64(F.transform("wholes", lambda x: x.whole)).alias("fp"))
+
+
 def not_by_hand(files: DataFrame, chunks: DataFrame, min_projects: int = 3, min_share: float = 0.5) -> DataFrame:
     """file_id, project, path, language and why: one flag per reason, for every file."""
     parts = cut(segment_features(chunks))
@@ -126,13 +137,15 @@ def not_by_hand(files: DataFrame, chunks: DataFrame, min_projects: int = 3, min_
         *[F.max(c).alias(c) for c in ("literal", "generated", "copied")])
     prints = parts.select("file_id", F.explode("prints").alias("fp")).join(known.select("file_id", "project"), "file_id")
     shares = recurring_share(prints, min_projects)
+    short = recurring_share(short_files(parts).join(known.select("file_id", "project"), "file_id"), min_projects).select(
+        "file_id", (F.col("recurring") > 0).alias("repeated"))
     path, size = F.lower(F.coalesce("path", F.lit(""))), F.greatest("n", F.lit(1))
     prose = path.rlike(r"\.(md|markdown|rst|txt|adoc)$")
     dense = (F.col("spaces") < 0.06 * size) & (F.col("n") > 100 * F.col("lines")) & (F.col("wide") < 0.2 * size) & (F.col("marks") > 0.15 * size)
     off = lambda c: F.coalesce(c, F.lit(False))
-    return known.join(whole, "file_id", "left").join(shares, "file_id", "left").select(
+    return known.join(whole, "file_id", "left").join(shares, "file_id", "left").join(short, "file_id", "left").select(
         "file_id", "project", "path", "language",
         off(F.col("generated") | path.rlike(GENERATED_PATH)).alias("generated"),
         off(dense & (F.col("n") >= 200) & ~prose).alias("minified"),
-        off(F.col("copied") | path.rlike(VENDORED_PATH) | ((F.col("prints") >= 2) & (F.col("recurring") >= min_share * F.col("prints")))).alias("vendored"),
+        off(F.col("copied") | F.col("repeated") | path.rlike(VENDORED_PATH) | ((F.col("prints") >= 2) & (F.col("recurring") >= min_share * F.col("prints")))).alias("vendored"),
         off(F.col("literal") & (F.col("n") >= 200) & (F.col("idents") < 0.05 * size) & ~prose).alias("data"))

@@ -62,3 +62,23 @@ def test_kinds_and_traps(spark):
     assert len(out) == len(files) and got == want, ({out[i].path for i in want - got}, {out[i].path for i in got - want})
     assert not out[twice].vendored and out[99].path is None
     assert R.not_by_hand(df.limit(0), cf.limit(0)).count() == 0
+
+
+def test_short_copies_in_three_projects(spark):
+    files, chunks = [], []
+
+    def add(text, project):
+        i = len(files) + 1
+        files.append((i, project, f"src/s{i}.py", None, False, 5, 5))
+        chunks.extend((i, f"{i}-{s}", s, part) for s, part in enumerate(text if isinstance(text, list) else [text]))
+        return i
+
+    tiny, one_window = code(5, 60), code(10, 61)
+    assert [len(K.words(K.codepoints(t))[2]) < n for t, n in ((tiny, R.KGRAM), (one_window, R.SHORT))] == [True, True]
+    assert len(K.words(K.codepoints(one_window))[2]) >= R.KGRAM
+    want = {add(t, f"p{i}") for t in (tiny, one_window) for i in range(3)} | {add(tiny.upper().split("\n\n"), "p4")}
+    for i in range(3):
+        add(tiny + f"x = {i}", f"p{i}"), add(code(5, 62), "p1"), add("", f"p{i}"), add(code(6, 63), f"p{min(i, 1)}")
+    df = spark.createDataFrame(files, "file_id long, project string, path string, language string, stale boolean, mtime long, indexed_at long")
+    cf = spark.createDataFrame(chunks, "file_id long, chunk_id string, seq int, content string")
+    assert {r.file_id for r in R.not_by_hand(df, cf).collect() if r.vendored} == want
