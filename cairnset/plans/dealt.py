@@ -20,15 +20,19 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every note with a parent: parent, root, depth, path from the root, whether its chain never ends, descendants."""
+    """Every note: parent, root, depth, path from the root, whether its chain never ends, descendants (the SQL: those with a parent)."""
     links = _links(spark, sf_dir)
     roots = cut(H.forest_roots(links))
     paths = cut(H.all_paths(links, roots))
     below = H.descendants(paths).groupBy("node").agg(F.count(F.lit(1)).alias("n_descendants"))
-    full = links.join(roots, "node").join(paths, "node", "left").join(below, "node", "left")
+    ids = table(spark, sf_dir, "notes").select(F.col("id").cast("long").alias("node")).where("node is not null").distinct()
+    full = ids.join(links, "node", "left").join(roots, "node", "left").join(paths, "node", "left").join(below, "node", "left")
+    top = F.col("parent").isNull()
     return full.select(
-        F.col("node").alias("note_id"), F.col("parent").alias("parent_id"), F.col("root").alias("root_id"), "depth",
-        F.array_join("path", "/").alias("path"), "never_ends", F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"))
+        F.col("node").alias("note_id"), F.col("parent").alias("parent_id"), F.coalesce("root", "node").alias("root_id"),
+        F.when(top, F.lit(0)).otherwise(F.col("depth")).cast("long").alias("depth"),
+        F.array_join(F.coalesce("path", F.array("node")), "/").alias("path"), F.coalesce("never_ends", F.lit(False)).alias("never_ends"),
+        F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"))
 
 
 def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:

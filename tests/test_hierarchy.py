@@ -81,3 +81,15 @@ def test_paths_and_descendants_on_and_below_cycles(spark, max_task_rows):
     assert {r.node: r.path for r in paths.collect()} == want
     pairs = sorted((a, n, len(p) - 1 - i) for n, p in want.items() for i, a in enumerate(p[:-1]))
     assert sorted(map(tuple, H.descendants(paths).collect())) == pairs
+
+
+def test_hierarchy_has_a_row_for_every_note(spark, tmp_path):
+    from cairnset.plans import dealt
+
+    notes = [(1, None), (2, 1), (3, 2), (3, 2), (4, None), (5, 5), (6, 5), (None, None)]
+    spark.createDataFrame(notes, "id long, superseded_by long").write.parquet(str(tmp_path / "notes.parquet"))
+    spark.createDataFrame([], "from_id long, to_id long, kind string").write.parquet(str(tmp_path / "memory_edges.parquet"))
+    got = sorted(tuple(r) for r in dealt.p3_hierarchy(spark, str(tmp_path)).collect())
+    assert got == [
+        (1, None, 1, 0, "1", False, 2), (2, 1, 1, 1, "1/2", False, 1), (3, 2, 1, 2, "1/2/3", False, 0), (4, None, 4, 0, "4", False, 0),
+        (5, 5, 5, None, "5", True, 1), (6, 5, 5, None, "5/6", True, 0)]
