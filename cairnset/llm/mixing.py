@@ -21,12 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCKS = 512
-
+from cairnset.functions.text import source_name
 
-def source_name(c: Column) -> Column:
-    """Lower case, no outer blanks, inner blanks and hyphens as underscores."""
-    return F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)^\s+|\s+$", ""), r"(?U)[\s\-]+", "_")
+BLOCKS = 512
 
 
 def split_quotas(counts: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:

@@ -81,7 +81,7 @@ def src_jsonl_log(spark, d):
 
 @query(r"""SELECT doc_id, string_split(text, chr(10))[1] AS subject, length(regexp_replace(text, '^[^\n]*\n*', '')) AS body_chars FROM documents WHERE lower(trim(source)) = 'commit_messages'""")
 def src_git_log(spark, d):
-    m = table(spark, d, "documents").where(F.lower(F.trim("source")) == "commit_messages")
+    m = table(spark, d, "documents").where(T.source_name(F.col("source")) == "commit_messages")
     log = m.select("doc_id", F.concat_ws("\0", F.col("doc_id").cast("string"), F.substring_index("text", "\n", 1), F.regexp_replace("text", r"^[^\n]*\n*", ""), F.lit("---")).alias("value"))
     return X.parse_git_log(log).select(F.col("sha").cast("long").alias("doc_id"), "subject", F.char_length("body").alias("body_chars"))
 

@@ -7,6 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from cairnset.functions import harvest as H
+from cairnset.functions import text as T
 from cairnset.operators import deliveries as D
 from cairnset.plans.merging import _LIMIT
 from cairnset.plans.registry import registry
@@ -67,7 +68,7 @@ _has = lambda words: " OR ".join("contains(x, '" + w.replace("'", "''") + "')" f
 
 
 def _subjects(spark, d):
-    m = table(spark, d, "documents").where(F.lower(F.trim("source")) == "commit_messages")
+    m = table(spark, d, "documents").where(T.source_name(F.col("source")) == "commit_messages")
     return m.select("doc_id", F.substring_index("text", "\n", 1).alias("subject"))
 
 
@@ -97,7 +98,7 @@ def fn_next_batch_len(spark, d):
 @query()
 def fn_llm_batches(spark, d):
     """Commit messages in batches of eight, halved until they fit a context of 4,000."""
-    m = table(spark, d, "documents").where(F.lower(F.trim("source")) == "commit_messages")
+    m = table(spark, d, "documents").where(T.source_name(F.col("source")) == "commit_messages")
     return H.model_batches(m, "doc_id", "text", 8, 4_000)
 
 
