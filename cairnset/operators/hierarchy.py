@@ -1,10 +1,12 @@
 """Parent-child rows to full hierarchies: roots, depths, cycles, paths and descendants.
 
 Links are contracted by weighted disjoint-set forests: every task holds a bucket of links, jumps each node to the
-farthest ancestor known inside the bucket and adds up the offsets; buckets are merged four to one until a bucket
-holds at most `max_task_rows` links. Links that still cross buckets are finished by pointer doubling between tasks,
-so no task and no driver ever needs the whole forest. Paths are then materialised by indexed parent traversal,
-tree by tree; trees too large for one task are traversed by doubling joins.
+farthest ancestor known inside the bucket and adds up the offsets. Then buckets are merged four to one. Only nodes that
+some unfinished chain of another bucket runs into go up the tree of merges; all others wait with their offsets and are
+answered from them on the way back, so what is merged shrinks from level to level. Where a merged bucket would still hold
+more than `max_task_rows` links, the rest is finished by pointer doubling between tasks, with the same result: no task and
+no driver ever needs the whole forest. Paths are then materialised by indexed parent traversal, tree by tree; trees too
+large for one task are traversed by doubling joins.
 """
 
 from __future__ import annotations
@@ -17,48 +19,47 @@ from pyspark.sql import functions as F
 from cairnset.session import cut, salted_join
 
 OPEN, ROOTED, CYCLIC = 0, 1, 2
+#: Buckets that become one in a merge.
+FAN = 4
 _STATE = "node long, up long, off long, low long, status int"
 
 
 def parent_links(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, parent) over links whose two ends are in `nodes(id)`; one row per node.
 
-    Null ends and ends without a node are dropped, repeated links count once, and of several different parents
+    Null ends and ends without a node are dropped first, repeated links count once, and of several different parents
     (which the input should not have) the smallest is taken, so the result is always a functional graph.
     """
     ids = nodes.select(F.col("id").cast("long").alias("id")).where("id is not null").distinct()
-    one = links.where("node is not null and parent is not null").groupBy("node").agg(F.min("parent").alias("parent"))
-    known = one.join(ids.withColumnRenamed("id", "node"), "node", "left_semi")
-    return salted_join(known, ids.withColumnRenamed("id", "parent"), "parent").select("node", "parent")
+    once = links.where("node is not null and parent is not null").distinct()
+    known = once.join(ids.withColumnRenamed("id", "node"), "node", "left_semi")
+    both = salted_join(known, ids.withColumnRenamed("id", "parent"), "parent")
+    return both.groupBy("node").agg(F.min("parent").alias("parent"))
 
 
 def _contract(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Weighted union-find over one bucket: jump as far as the bucket's own links reach."""
-    done = pdf[pdf.status != OPEN]
-    pdf = pdf[pdf.status == OPEN].sort_values("node", kind="stable")
-    node, up, off, low = (pdf[c].to_numpy().copy() for c in ("node", "up", "off", "low"))
-    n = len(node)
-    if n:
-        at = np.minimum(np.searchsorted(node, up), n - 1)
-        first = np.where(node[at] == up, at, -1)
-        ptr = first.copy()
+    """Weighted union-find over one bucket: jump as far as the bucket's own rows reach; finished rows pass their state on."""
+    pdf = pdf.sort_values("node", kind="stable")
+    node, up, off, low, status = (pdf[c].to_numpy().copy() for c in ("node", "up", "off", "low", "status"))
+    n, rows = len(node), np.arange(len(node))
+    at = np.minimum(np.searchsorted(node, up), n - 1)
+    first = np.where((status == OPEN) & (node[at] == up), at, -1)
+    ptr = first.copy()
+    for _ in range(int(n).bit_length() + 1):
+        live = np.flatnonzero(ptr >= 0)
+        if not len(live):
+            break
+        nxt = ptr[live]
+        up[live], off[live], low[live], status[live] = up[nxt], off[live] + off[nxt], np.minimum(low[live], low[nxt]), status[nxt]
+        ptr[live] = ptr[nxt]
+    looped = np.flatnonzero(ptr >= 0)
+    if len(looped):  # after n steps the pointer of such a row stands on its cycle
+        least, jump = pdf["low"].to_numpy().copy(), np.where(first >= 0, first, rows)
         for _ in range(int(n).bit_length() + 1):
-            live = np.flatnonzero(ptr >= 0)
-            if not len(live):
-                break
-            nxt = ptr[live]
-            up[live], off[live], low[live] = up[nxt], off[live] + off[nxt], np.minimum(low[live], low[nxt])
-            ptr[live] = ptr[nxt]
-        status = np.full(n, OPEN, dtype=np.int32)
-        looped = np.flatnonzero(ptr >= 0)
-        if len(looped):  # after n steps the pointer of such a row stands on its cycle
-            least, jump = pdf["low"].to_numpy().copy(), np.where(first >= 0, first, np.arange(n))
-            for _ in range(int(n).bit_length() + 1):
-                least, jump = np.minimum(least, least[jump]), jump[jump]
-            up[looped] = least[ptr[looped]]
-            status[looped] = CYCLIC
-        pdf = pd.DataFrame({"node": node, "up": up, "off": off, "low": low, "status": status})
-    return pd.concat([pdf, done])[["node", "up", "off", "low", "status"]] if len(done) else pdf
+            least, jump = np.minimum(least, least[jump]), jump[jump]
+        up[looped] = least[ptr[looped]]
+        status[looped] = CYCLIC
+    return pd.DataFrame({"node": node, "up": up, "off": off, "low": low, "status": status})
 
 
 def forest_roots(links: DataFrame, max_task_rows: int = 1_000_000) -> DataFrame:
@@ -66,39 +67,51 @@ def forest_roots(links: DataFrame, max_task_rows: int = 1_000_000) -> DataFrame:
 
     If the chain runs into a cycle, root is the smallest node on it, depth is null and never_ends is true.
     """
-    state = links.select(
+    state = cut(links.select(
         "node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("off"), F.col("node").alias("low"),
-        F.lit(OPEN).alias("status"))
-    state = cut(state)
-    total = state.count()
-    final = max(1, -(-total // max_task_rows))
-    for buckets in (4 * final, final):
-        if total > 1000 or buckets == final:
-            key = F.pmod(F.xxhash64("node"), F.lit(buckets)).alias("bucket")
-            state = state.groupBy(key).applyInPandas(_contract, _STATE)
-    if final > 1:
-        state = _double(cut(state), max_task_rows)
+        F.lit(OPEN).alias("status")))
+    total, buckets, waiting = state.count(), FAN, []
+    while buckets * max_task_rows < FAN * total:
+        buckets *= FAN
+    while True:
+        key = F.pmod(F.xxhash64("node"), F.lit(buckets)).alias("bucket")
+        state = cut(state.groupBy(key).applyInPandas(_contract, _STATE))
+        if buckets == 1:
+            break
+        wanted = state.where(F.col("status") == OPEN).select(F.col("up").alias("node")).distinct().withColumn("wanted", F.lit(True))
+        marked = cut(state.join(wanted, "node", "left"))
+        waiting.append(marked.where("wanted is null").drop("wanted"))
+        state, buckets = marked.where("wanted").drop("wanted"), buckets // FAN
+        if buckets * max_task_rows < total and state.count() > buckets * max_task_rows:
+            state = _double(state)
+            break
+    for late in reversed(waiting):
+        state = _resume(late, state).union(state)
+        state = cut(state) if late is not waiting[0] else state
     return state.select(
         "node", F.col("up").alias("root"),
         F.when(F.col("status") != CYCLIC, F.col("off")).alias("depth"),
         (F.col("status") == CYCLIC).alias("never_ends"))
 
 
-def _double(state: DataFrame, max_task_rows: int) -> DataFrame:
+def _resume(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows that waited, carried on from the known state of their ancestor; an ancestor without a row is a root."""
+    table = known.select(F.col("node").alias("to"), F.col("up").alias("up2"), F.col("off").alias("off2"),
+                         F.col("low").alias("low2"), F.col("status").alias("status2"))
+    is_open = F.col("status") == OPEN
+    return salted_join(rows.withColumn("to", F.when(is_open, F.col("up"))), table, "to", "left").select(
+        "node",
+        F.coalesce("up2", "up").alias("up"),
+        (F.col("off") + F.coalesce("off2", F.lit(0))).alias("off"),
+        F.least("low", "low2").alias("low"),
+        F.when(is_open, F.coalesce("status2", F.lit(ROOTED))).otherwise(F.col("status")).alias("status"))
+
+
+def _double(state: DataFrame) -> DataFrame:
     """Finish links that cross buckets: each round joins every unfinished row to the row of its current ancestor."""
-    spark = state.sparkSession
     rounds, before = 0, None
     while True:
-        table = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("off").alias("off2"),
-                             F.col("low").alias("low2"), F.col("status").alias("status2"))
-        fresh = state.where(F.col("status") == OPEN)
-        joined = salted_join(fresh, table, "up", "left").select(
-            "node",
-            F.coalesce("up2", "up").alias("up"),
-            (F.col("off") + F.coalesce(F.col("off2"), F.lit(0))).alias("off"),
-            F.least("low", "low2").alias("low"),
-            F.coalesce("status2", F.lit(ROOTED)).alias("status"))
-        state = cut(joined.union(state.where(F.col("status") != OPEN)))
+        state = cut(_resume(state, state))
         rounds += 1
         left = state.where(F.col("status") == OPEN).count()
         if left == 0:

@@ -20,7 +20,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every note: parent, root, depth, path from the root, whether its chain never ends, descendants (the SQL: those with a parent)."""
+    """Every note: parent, root, depth, path from the root, whether its chain never ends, descendants."""
     links = _links(spark, sf_dir)
     roots = cut(H.forest_roots(links))
     paths = cut(H.all_paths(links, roots))
@@ -36,7 +36,7 @@ def p3_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every pair of a note and another below it, also below and on cycles (the SQL leaves out chains that never end)."""
+    """Every pair of a note and another below it, also below and on cycles."""
     links = _links(spark, sf_dir)
     paths = H.all_paths(links, cut(H.forest_roots(links)))
     return H.descendants(paths).select(F.col("node").alias("note_id"), F.col("descendant").alias("descendant_id"), "distance")
@@ -97,6 +97,13 @@ roots AS (SELECT note_id,
     coalesce(bool_or(anc IN (SELECT note_id FROM cyc)), false) AS never_ends
   FROM anc GROUP BY note_id)"""
 
+# Every note walked up until its chain ends or comes to a note it has met; the longest walk is its path.
+_WALKS_SQL = """
+w(note_id, top, path) AS (SELECT id, id, [id] FROM ids WHERE id IS NOT NULL
+  UNION ALL SELECT w.note_id, l.parent_id, list_prepend(l.parent_id, w.path) FROM w JOIN l ON l.note_id = w.top
+  WHERE NOT list_contains(w.path, l.parent_id)),
+p AS (SELECT note_id, arg_max(path, len(path)) AS path FROM w GROUP BY note_id)"""
+
 _UUID_SQL = r"""coalesce(
   CASE WHEN regexp_matches({bare}, '^[0-9a-f]{{32}}$') THEN
     regexp_replace({bare}, '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\1-\2-\3-\4-\5') END,
@@ -125,18 +132,15 @@ QUERIES = {
 
 ORACLE = {
     "p3_found": f"WITH RECURSIVE {_LINKS_SQL} SELECT note_id, root_id FROM roots",
-    "p3_descendants": f"""WITH RECURSIVE {_LINKS_SQL},
-down(note_id, descendant_id, distance) AS (
-  SELECT l.parent_id, l.note_id, CAST(1 AS BIGINT) FROM l JOIN roots r ON r.note_id = l.note_id AND NOT r.never_ends
-  UNION ALL SELECT l.parent_id, d.descendant_id, d.distance + 1 FROM down d JOIN l ON l.note_id = d.note_id)
-SELECT note_id, descendant_id, distance FROM down""",
-    "p3_hierarchy": f"""WITH RECURSIVE {_LINKS_SQL},
-t(note_id, depth, path) AS (
-  SELECT l.note_id, CAST(1 AS BIGINT), l.parent_id || '/' || l.note_id FROM l WHERE l.parent_id NOT IN (SELECT note_id FROM l)
-  UNION ALL SELECT l.note_id, t.depth + 1, t.path || '/' || l.note_id FROM t JOIN l ON l.parent_id = t.note_id),
-n AS (SELECT anc AS note_id, count(*) AS n FROM anc JOIN roots r ON r.note_id = anc.note_id AND NOT r.never_ends GROUP BY anc)
-SELECT l.note_id, l.parent_id, r.root_id, t.depth, t.path, r.never_ends, coalesce(n.n, 0) AS n_descendants
-FROM l JOIN roots r ON r.note_id = l.note_id LEFT JOIN t ON t.note_id = l.note_id LEFT JOIN n ON n.note_id = l.note_id""",
+    "p3_descendants": f"""WITH RECURSIVE {_LINKS_SQL}, {_WALKS_SQL}
+SELECT path[i] AS note_id, note_id AS descendant_id, CAST(len(path) - i AS BIGINT) AS distance
+FROM (SELECT note_id, path, unnest(range(1, len(path))) AS i FROM p)""",
+    "p3_hierarchy": f"""WITH RECURSIVE {_LINKS_SQL}, {_WALKS_SQL},
+n AS (SELECT path[i] AS note_id, count(*) AS n FROM (SELECT path, unnest(range(1, len(path))) AS i FROM p) GROUP BY 1)
+SELECT p.note_id, l.parent_id, coalesce(r.root_id, p.note_id) AS root_id,
+  CASE WHEN r.never_ends THEN NULL ELSE CAST(len(p.path) - 1 AS BIGINT) END AS depth, array_to_string(p.path, '/') AS path,
+  coalesce(r.never_ends, false) AS never_ends, coalesce(n.n, 0) AS n_descendants
+FROM p LEFT JOIN l ON l.note_id = p.note_id LEFT JOIN roots r ON r.note_id = p.note_id LEFT JOIN n ON n.note_id = p.note_id""",
     "p6_found": f"""WITH {_MESSAGES_SQL} SELECT channel, message_id FROM m
 WHERE message_id IS NOT NULL GROUP BY channel, message_id HAVING count(*) > 1""",
     "p6_messages": f"""WITH {_MESSAGES_SQL},

@@ -55,9 +55,19 @@ def test_paths_in_small_and_large_trees(spark, max_task_rows):
     assert got == want
 
 
+@pytest.mark.parametrize("max_task_rows", [40, 300, 1000000])
+def test_loops_whose_feeders_lie_elsewhere(spark, max_task_rows):
+    parent = {i: i // 3 for i in range(1, 1300)}
+    parent |= {5000: 5000} | {5001 + i: 5000 for i in range(34)} | {6000 + i: 6001 + i for i in range(40)} | {6040: 6020}
+    parent |= {7000 + i: 7000 + (i + 1) % 900 for i in range(900)} | {8000 + i: 7000 + 9 * i for i in range(100)}
+    links = spark.createDataFrame(list(parent.items()), "node long, parent long")
+    got = {r.node: (r.root, r.depth, r.never_ends) for r in H.forest_roots(links, max_task_rows).collect()}
+    assert got == brute(parent)
+
+
 def test_links_drop_nulls_unknown_ends_and_repeats(spark):
     nodes = spark.createDataFrame([(1,), (2,), (2,), (3,), (None,)], "id long")
-    links = spark.createDataFrame([(1, 2), (1, 2), (2, 9), (9, 1), (None, 1), (3, None), (3, 3)], "node long, parent long")
+    links = spark.createDataFrame([(1, -9), (1, 2), (1, 2), (2, 9), (9, 1), (None, 1), (3, None), (3, 3)], "node long, parent long")
     assert sorted(map(tuple, H.parent_links(nodes, links).collect())) == [(1, 2), (3, 3)]
 
 
