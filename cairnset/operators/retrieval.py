@@ -218,6 +218,8 @@ def near_in_blocks(queries: DataFrame, rows: DataFrame, radius: float, limit: in
                 square = norm_b - 2 * (b @ a[i]) + a[i] @ a[i]
                 near = np.flatnonzero(square <= (radius + 1e-6) ** 2)
                 near = near[(ids_b[near] < ids_a[i]) if earlier else (ids_b[near] != ids_a[i])]
+                if len(near) > 4 * limit:  # what is farther than the last of the limit cannot be among them
+                    near = near[square[near] <= np.partition(square[near], limit - 1)[limit - 1] + 1e-6]
                 d = np.sqrt(((b[near] - a[i]) ** 2).sum(1))
                 best = [j for j in np.argsort(np.round(d, 9), kind="stable")[:limit] if d[j] <= radius + 1e-9]
                 out_a += [ids_a[i]] * len(best)
