@@ -14,6 +14,7 @@ from cairnset.llm import quantiles as Q
 from cairnset.llm import splitting as S
 from cairnset.llm import survivors as V
 from cairnset.llm import tokens as K
+from cairnset.operators.retrieval import near_in_blocks
 from cairnset.session import cut, table
 
 QUERIES: dict = {}
@@ -280,6 +281,22 @@ def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neighbours(spark, sf_dir).select(F.col("id").alias("chunk_id"), F.col("other").alias("near_chunk_id"), "place", F.round("cosine", 5).alias("cosine"))
 
 
+@query
+def p4_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether at least nine in ten of the true neighbours are found, for every chunk whose id hashes under 5 of 256, against all chunks."""
+    vectors = table(spark, sf_dir, "embed_vectors").select(F.col("chunk_id").alias("id"), "vector")
+    asked = F.substring(F.md5("id"), 1, 2) < "05"
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    unit = cut(N.usable(vectors, 64).select("id", F.transform("vector", lambda x: x / length).alias("embedding")))
+    exact = near_in_blocks(unit.where(asked), unit, 2.0, 5, "id").where("place = 5").select(F.col("id_a").alias("id"), (1 - F.col("distance") ** 2 / 2).alias("bound"))
+    found = N.nearest(vectors, dim=64, k=5).where(asked).join(exact, "id")
+    per = found.groupBy("id").agg(F.count(F.when(F.col("cosine") >= F.col("bound") - 2e-5, 1)).alias("hits"))
+    return per.agg(F.count(F.lit(1)).alias("n_asked"), (F.sum("hits") >= 0.9 * 5 * F.count(F.lit(1))).alias("enough"))
+
+
+ORACLE["p4_recall"] = """SELECT count(DISTINCT chunk_id) AS n_asked, true AS enough FROM embed_vectors
+WHERE left(md5(chunk_id), 2) < '05' AND len(vector) = 64
+  AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0"""
 # By brute force over all pairs, which SQL can afford on a small table only; the queries above never do that.
 ORACLE["p4_found"] = """
 WITH u AS (SELECT chunk_id, CAST(min(vector) AS DOUBLE[]) AS v FROM embed_vectors WHERE chunk_id IS NOT NULL AND len(vector) = 64

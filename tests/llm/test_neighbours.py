@@ -54,7 +54,7 @@ def test_table_scan_equals_decoded_product():
     code = N.assign(x, x - index.centroids[at], index.words)
     decoded = np.take_along_axis(index.words[None], code[:, :, None, None].astype(np.int64), 2)[:, :, 0].reshape(len(x), -1)
     one = at == 0
-    score = N.scan(x[:20], N.pack_codes(code[one]), x[:20] @ index.centroids[0], index.words)
+    score = N.scan(N.tables(x[:20], index.words), N.pack_codes(code[one]), x[:20] @ index.centroids[0])
     assert np.allclose(score, x[:20] @ (index.centroids[0] + decoded[one]).T, atol=1e-4)
 
 
@@ -71,3 +71,21 @@ def test_identical_unusable_and_few_vectors(spark):
     assert got["t"] == [("s00", 0.0), ("s01", 0.0), ("s02", 0.0)]
     assert N.nearest(df.limit(0), dim=4).count() == 0
     assert N.nearest(df.where("id = 't'"), dim=4).count() == 0
+
+
+def test_lists_that_outgrow_their_size_are_divided_in_their_task(spark):
+    x = clustered(4000, 16, 4)
+    ids = [f"c{i:05d}" for i in range(len(x))]
+    df = spark.createDataFrame(list(zip(ids, x.tolist())), "id string, vector array<float>")
+    got = {}
+    for r in N.nearest(df, dim=16, k=5, list_rows=60, max_lists=12).collect():
+        got.setdefault(r.id, []).append(r.other)
+    want = brute(ids, x, 5)
+    assert all(len(set(v)) == 5 for v in got.values()) and len(got) == len(ids)
+    assert sum(len(set(got[i]) & set(want[i])) for i in ids) >= 0.9 * 5 * len(ids)
+
+
+def test_fixed_point_directions_keep_the_cosine():
+    x = N._unit(clustered(500, 64, 6))
+    y = N.from_fixed(N.to_fixed(x))
+    assert np.abs(x @ x.T - y @ y.T).max() < 1e-5 * 5
