@@ -173,6 +173,36 @@ r AS (SELECT *, row_number() OVER (PARTITION BY k, t, b ORDER BY trust DESC, fil
 SELECT first_id, id AS survivor_id FROM r WHERE rn = 1 AND first_id <> last_id"""
 
 
+# Every copy by its own layer: the longest chain of copies above it.
+ORACLE["p7_survivors"] = rf"""
+WITH RECURSIVE n AS (SELECT DISTINCT ON (id) id, kind, title, {_COPY_SQL.format('kind')} || chr(1) || {_COPY_SQL.format('title')} || chr(1) || {_COPY_SQL.format('body')} AS k,
+    trim(regexp_replace(lower(status), '\s+', ' ', 'g')) AS status,
+    CASE WHEN created_at >= 100000000000 THEN created_at // 1000 ELSE created_at END AS created_at,
+    list_filter(list_transform(tags, lambda x: trim(regexp_replace(lower(x), '\s+', ' ', 'g'))), lambda x: x <> '') AS tags,
+    list_filter(list_transform(linked_files, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS linked_files,
+    CASE WHEN trim(source_ref) <> '' THEN source_ref END AS source_ref, valid_at, CASE WHEN trim(remote_id) <> '' THEN remote_id END AS remote_id
+  FROM notes WHERE id IS NOT NULL),
+v AS (SELECT * REPLACE (CASE WHEN len(tags) > 0 THEN array_to_string(list_filter(tags, lambda x, i: list_position(tags, x) = i), '|') END AS tags,
+    CASE WHEN len(linked_files) > 0 THEN array_to_string(list_filter(linked_files, lambda x, i: list_position(linked_files, x) = i), '|') END AS linked_files),
+    CASE WHEN status = 'active' THEN 1 ELSE 0 END AS t, coalesce(created_at, -4611686018427387904) AS a FROM n),
+w AS (SELECT *, CAST(tags IS NOT NULL AS INT) + CAST(linked_files IS NOT NULL AS INT) + CAST(source_ref IS NOT NULL AS INT)
+    + CAST(valid_at IS NOT NULL AS INT) + CAST(remote_id IS NOT NULL AS INT) AS f,
+    CONCAT_WS(',', tags IS NULL, linked_files IS NULL, source_ref IS NULL, valid_at IS NULL, remote_id IS NULL) AS mask FROM v),
+p AS (SELECT DISTINCT k, t, f, a FROM w),
+up(k, t, f, a, layer) AS (SELECT k, t, f, a, 1 FROM p
+  UNION SELECT p.k, p.t, p.f, p.a, up.layer + 1 FROM up JOIN p ON p.k = up.k AND up.t >= p.t AND up.f >= p.f AND up.a >= p.a
+    AND (up.t > p.t OR up.f > p.f OR up.a > p.a)),
+l AS (SELECT k, t, f, a, max(layer) AS layer FROM up GROUP BY k, t, f, a),
+r AS (SELECT w.*, l.layer, row_number() OVER (PARTITION BY k ORDER BY l.layer, t DESC, f DESC, a DESC, id) AS pos,
+    row_number() OVER (PARTITION BY k ORDER BY t DESC, f DESC, a DESC, id) AS best FROM w JOIN l USING (k, t, f, a))
+SELECT min(id) AS first_id, arg_min(id, best) AS survivor_id, max(kind) FILTER (best = 1) AS kind, max(title) FILTER (best = 1) AS title,
+  max(status) FILTER (best = 1) AS status, max(created_at) FILTER (best = 1) AS created_at,
+  arg_min(tags, pos) FILTER (tags IS NOT NULL) AS tags, arg_min(linked_files, pos) FILTER (linked_files IS NOT NULL) AS linked_files,
+  arg_min(source_ref, pos) FILTER (source_ref IS NOT NULL) AS source_ref, arg_min(valid_at, pos) FILTER (valid_at IS NOT NULL) AS valid_at,
+  arg_min(remote_id, pos) FILTER (remote_id IS NOT NULL) AS remote_id, max(layer) AS layers, count(DISTINCT (t, mask, a)) AS candidates
+FROM r GROUP BY k"""
+
+
 # --- p8 and p9: packing and mixing -----------------------------------------------------------------------------------
 
 
