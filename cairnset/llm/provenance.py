@@ -2,12 +2,13 @@
 
 Vendored copies are found by winnowing: the token stream of a file (lower case, white space dropped) is hashed in k-grams,
 the least hash of every window of w k-grams is kept as a fingerprint, so two files that share k + w - 1 tokens in a row share a
-fingerprint wherever it lies. A fingerprint that occurs in at least `min_projects` projects recurs; a file is a copy if
-`min_share` of its fingerprints recur. A file too short for two windows has one fingerprint of its whole token stream, so
-only whole copies of it are found. Copies also show in their place (vendor directories, versioned file names) and in a
-header naming the release they were taken from. Generated files show by a comment at their head or by the file name their
-tool gives them; minified files by their density (hardly any white space, lines far longer than anyone writes); data by
-literals making up nearly all of the text.
+fingerprint wherever it lies. A fingerprint that occurs in at least `min_projects` projects recurs. Fingerprints weigh the
+logarithm of files over files that have them, so runs common to much code count little; a file is a copy if recurring ones make up
+`min_share` of its weight, which leaves room for local changes. A file with fewer than `MIN_PRINTS` fingerprints has too few
+for a share: it is compared by its whole token stream, so only whole copies of it are found. Copies also show in their place
+(vendor directories, versioned file names) and in a header naming the release they were taken from. Generated files show by a
+comment at their head or by the file name their tool gives them; minified files by their density (hardly any white space, lines
+far longer than anyone writes); data by literals making up nearly all of the text.
 
 A file is read in segments of `SEGMENT` chunks, so that a file of any length is spread over tasks; fingerprints do not
 span segments. Null content counts as empty, chunks sent again count once, files without chunks are judged by their path.
@@ -28,9 +29,7 @@ from cairnset.llm import tokens as K
 from cairnset.llm.splitting import current_files
 from cairnset.session import cut, salted_join
 
-SEGMENT, KGRAM, WINDOW, HEAD_LINES = 256, 100, 40, 20
-#: Files of fewer tokens have less than two windows; they are compared as a whole.
-SHORT = KGRAM + WINDOW
+SEGMENT, KGRAM, WINDOW, MIN_PRINTS, HEAD_LINES = 256, 70, 30, 6, 20
 
 # What tools write into files and names, and where copies are kept.
 _LEAD = r"^[\s/*#;<!\-%\"'(]*"
@@ -90,7 +89,7 @@ def features(text: str, first: bool) -> tuple:
         n, spaces, int(count[10]) + 1, n - len(ascii_), len(ascii_) - spaces - digits - letters, idents, bool(literal),
         any(GENERATED_LINE.match(x) and not TEMPLATE.search(x) for x in head), any(COPIED_LINE.match(x) for x in head),
         fingerprints(h).view(np.int64).tolist(), len(h),
-        int(K.span_hashes(h, np.array([0]), np.array([len(h)])).view(np.int64)[0]) if 0 < len(h) < SHORT else None)
+        int(K.span_hashes(h, np.array([0]), np.array([len(h)])).view(np.int64)[0]) if len(h) else None)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,19 +112,22 @@ def segment_features(chunks: DataFrame) -> DataFrame:
     return joined.mapInArrow(_read, _FEATURES)
 
 
-def recurring_share(prints: DataFrame, min_projects: int) -> DataFrame:
-    """prints(file_id, project, fp) to file_id, prints, recurring: counted over all files of all projects."""
+def recurring_share(prints: DataFrame, min_projects: int, n_files: int) -> DataFrame:
+    """prints(file_id, project, fp) to file_id, prints, share of their weight that recurs: counted over all files of all projects."""
     once = prints.distinct()
-    spread = once.select("fp", "project").distinct().groupBy("fp").agg(F.count("project").alias("projects"))
-    known = salted_join(once, spread.where(F.col("projects") >= min_projects).select("fp", F.lit(1).alias("recurs")), "fp", "left")
-    return known.groupBy("file_id").agg(F.count(F.lit(1)).alias("prints"), F.count("recurs").alias("recurring"))
+    spread = once.groupBy("fp", "project").agg(F.count(F.lit(1)).alias("files")).groupBy("fp").agg(F.count("project").alias("projects"), F.sum("files").alias("files"))
+    known = salted_join(once, spread.where("files > 1"), "fp", "left")
+    weight = F.log(F.lit(float(max(2, n_files))) / F.coalesce("files", F.lit(1)))
+    return known.groupBy("file_id").agg(
+        F.count(F.lit(1)).alias("prints"), F.count(F.when(F.col("projects") >= min_projects, 1)).alias("recurring"),
+        (F.sum(F.when(F.col("projects") >= min_projects, weight).otherwise(0.0)) / F.sum(weight)).alias("share"))
 
 
-def short_files(parts: DataFrame) -> DataFrame:
-    """file_id, fp: one fingerprint of the whole token stream of each file that has tokens, but too few for two windows."""
+def whole_files(parts: DataFrame) -> DataFrame:
+    """file_id, fp: one fingerprint of the whole token stream of each file that has tokens."""
     wholes = F.array_sort(F.collect_list(F.when(F.col("whole").isNotNull(), F.struct("segment", "whole"))))
     files = parts.groupBy("file_id").agg(F.sum("tokens").alias("tokens"), wholes.alias("wholes"))
-    return files.where(F.col("tokens").between(1, SHORT - 1)).select("file_id", F.xxhash64(F.transform("wholes", lambda x: x.whole)).alias("fp"))
+    return files.where("tokens > 0").select("file_id", F.xxhash64(F.transform("wholes", lambda x: x.whole)).alias("fp"))
 
 
 def not_by_hand(files: DataFrame, chunks: DataFrame, min_projects: int = 3, min_share: float = 0.5) -> DataFrame:
@@ -136,8 +138,9 @@ def not_by_hand(files: DataFrame, chunks: DataFrame, min_projects: int = 3, min_
         *[F.sum(c).alias(c) for c in ("n", "spaces", "lines", "wide", "marks", "idents")],
         *[F.max(c).alias(c) for c in ("literal", "generated", "copied")])
     prints = parts.select("file_id", F.explode("prints").alias("fp")).join(known.select("file_id", "project"), "file_id")
-    shares = recurring_share(prints, min_projects)
-    short = recurring_share(short_files(parts).join(known.select("file_id", "project"), "file_id"), min_projects).select(
+    n_files = known.count()
+    shares = recurring_share(prints, min_projects, n_files)
+    short = recurring_share(whole_files(parts).join(known.select("file_id", "project"), "file_id"), min_projects, n_files).select(
         "file_id", (F.col("recurring") > 0).alias("repeated"))
     path, size = F.lower(F.coalesce("path", F.lit(""))), F.greatest("n", F.lit(1))
     prose = path.rlike(r"\.(md|markdown|rst|txt|adoc)$")
@@ -147,5 +150,6 @@ def not_by_hand(files: DataFrame, chunks: DataFrame, min_projects: int = 3, min_
         "file_id", "project", "path", "language",
         off(F.col("generated") | path.rlike(GENERATED_PATH)).alias("generated"),
         off(dense & (F.col("n") >= 200) & ~prose).alias("minified"),
-        off(F.col("copied") | F.col("repeated") | path.rlike(VENDORED_PATH) | ((F.col("prints") >= 2) & (F.col("recurring") >= min_share * F.col("prints")))).alias("vendored"),
+        off(F.col("copied") | path.rlike(VENDORED_PATH)
+            | F.when(F.coalesce("prints", F.lit(0)) < MIN_PRINTS, F.col("repeated")).otherwise(F.col("share") >= min_share)).alias("vendored"),
         off(F.col("literal") & (F.col("n") >= 200) & (F.col("idents") < 0.05 * size) & ~prose).alias("data"))

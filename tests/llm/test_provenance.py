@@ -64,6 +64,33 @@ def test_kinds_and_traps(spark):
     assert R.not_by_hand(df.limit(0), cf.limit(0)).count() == 0
 
 
+def test_changed_copies_in_unrelated_projects(spark):
+    """Copies with every ninetieth line changed are found by fingerprints alone; files that only share a common head are not."""
+    files, chunks, want = [], [], set()
+    licence = code(24, 70)
+
+    def add(text, project):
+        i = len(files) + 1
+        files.append((i, project, f"src/v{i}.py", None, False, 5, 5))
+        chunks.append((i, f"{i}", 0, text))
+        return i
+
+    def changed(text, every, r):
+        lines = text.split("\n")
+        for j in range(r.randrange(every), len(lines), every):
+            lines[j] += f" + local_{r.randrange(10**6)}"
+        return "\n".join(lines)
+
+    for lib in range(6):
+        text = code(60, 80 + lib)
+        want |= {add(changed(text, 90, random.Random(10 * lib + p)), f"p{(lib + p) % 9}") for p in range(5)}
+    for i in range(40):
+        add(licence + code(40, 200 + i), f"p{i % 9}")
+    df = spark.createDataFrame(files, "file_id long, project string, path string, language string, stale boolean, mtime long, indexed_at long")
+    cf = spark.createDataFrame(chunks, "file_id long, chunk_id string, seq int, content string")
+    assert {r.file_id for r in R.not_by_hand(df, cf).collect() if r.vendored} == want
+
+
 def test_short_copies_in_three_projects(spark):
     files, chunks = [], []
 
@@ -73,12 +100,12 @@ def test_short_copies_in_three_projects(spark):
         chunks.extend((i, f"{i}-{s}", s, part) for s, part in enumerate(text if isinstance(text, list) else [text]))
         return i
 
-    tiny, one_window = code(5, 60), code(10, 61)
-    assert [len(K.words(K.codepoints(t))[2]) < n for t, n in ((tiny, R.KGRAM), (one_window, R.SHORT))] == [True, True]
-    assert len(K.words(K.codepoints(one_window))[2]) >= R.KGRAM
+    tiny, one_window = code(4, 60), code(8, 61)
+    sizes = [len(K.words(K.codepoints(t))[2]) for t in (tiny, one_window)]
+    assert sizes[0] < R.KGRAM <= sizes[1] < R.KGRAM + R.WINDOW
     want = {add(t, f"p{i}") for t in (tiny, one_window) for i in range(3)} | {add(tiny.upper().split("\n\n"), "p4")}
     for i in range(3):
-        add(tiny + f"x = {i}", f"p{i}"), add(code(5, 62), "p1"), add("", f"p{i}"), add(code(6, 63), f"p{min(i, 1)}")
+        add(tiny + f"x = {i}", f"p{i}"), add(code(4, 62), "p1"), add("", f"p{i}"), add(code(6, 63), f"p{min(i, 1)}")
     df = spark.createDataFrame(files, "file_id long, project string, path string, language string, stale boolean, mtime long, indexed_at long")
     cf = spark.createDataFrame(chunks, "file_id long, chunk_id string, seq int, content string")
     assert {r.file_id for r in R.not_by_hand(df, cf).collect() if r.vendored} == want
