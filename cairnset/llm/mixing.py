@@ -1,11 +1,11 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-Documents of a source are dealt into a fixed number of blocks by a hash; only the block sizes (sources x blocks, a bound
-set by parameters) reach the driver. The largest mixture is taken in which every source meets its share without using a
+Documents of a source are dealt by a hash into blocks of about `BLOCK_TOKENS` tokens (larger ones only beyond `MAX_BLOCKS` blocks
+in all, a millionth of the data each); only the block sizes reach the driver. The largest mixture is taken in which every source meets its share without using a
 document more than max_repeats times: whole passes over all blocks, then blocks in permuted order, then a part of one
 block, document by document. The draws are divided among the output shards by a tree: at each node the left half of the
 shards gets a multivariate-hypergeometric share of what the node holds, so the quotas of all shards add up exactly. Blocks
-are drawn without overlap and the documents of a shard are shuffled inside it.
+are drawn without overlap, first uses and repeats in mixed order, and the documents of a shard are shuffled inside it.
 
 Sources without a target, or with share 0, are not used; a listed source without tokens cannot be met: the other shares
 are scaled to sum to 1 and the report shows what was reached. Null sources are not listed, rows without a doc_id cannot be
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from cairnset.functions.text import source_name
 
-BLOCKS = 512
+BLOCK_TOKENS, MAX_BLOCKS = 1 << 18, 1 << 20
+#: Draws that may be broadcast; more are joined by a shuffle on source and block.
+BROADCAST_DRAWS = 100_000
 
 
 def split_quotas(counts: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
@@ -64,7 +66,7 @@ def plan_draws(blocks: dict[str, np.ndarray], targets: dict[str, tuple[float, in
                     break
                 own.append((b, passes + 1, None if blocks[s][b] <= left else int(left)))
                 left -= blocks[s][b]
-        draws[s] = own
+        draws[s] = [own[i] for i in rng.permutation(len(own)).tolist()]
     names = list(draws)
     counts = np.array([len(draws[s]) for s in names])
     shards = int(min(max(1, math.ceil(size / shard_tokens)), counts.sum()))
@@ -76,17 +78,26 @@ def plan_draws(blocks: dict[str, np.ndarray], targets: dict[str, tuple[float, in
     return out
 
 
-def mixture(docs: DataFrame, targets: dict[str, tuple[float, int]], blocks: int = BLOCKS, shard_tokens: int = 2_000_000, seed: int = 7, total: float | None = None) -> DataFrame:
-    """docs(doc_id, source, n_tokens) to shard, position, source, doc_id, use_no, n_tokens. `docs` is read twice."""
+def mixture(docs: DataFrame, targets: dict[str, tuple[float, int]], blocks: int | None = None, shard_tokens: int = 2_000_000, seed: int = 7, total: float | None = None) -> DataFrame:
+    """docs(doc_id, source, n_tokens) to shard, position, source, doc_id, use_no, n_tokens. `docs` is read several times.
+
+    `blocks`: a fixed number of blocks of each source instead of one that follows its tokens.
+    """
     spark = docs.sparkSession
     slim = docs.select("doc_id", "source", "n_tokens").where("doc_id is not null")
-    listed = slim.where(F.col("source").isin(list(targets))).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(blocks)).cast("int"))
+    listed = slim.where(F.col("source").isin(list(targets)))
+    held = {r.source: r.n or 0 for r in listed.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}  # one row per listed source
+    room = max(BLOCK_TOKENS, -(-sum(held.values()) // MAX_BLOCKS))
+    n_blocks = {s: blocks or max(1, -(-n // room)) for s, n in held.items()} or {"": 1}
+    parts = F.create_map(*[F.lit(x) for p in n_blocks.items() for x in p])[F.col("source")]
+    listed = listed.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), parts).cast("int"))
     sizes: dict[str, np.ndarray] = {}
-    for r in listed.groupBy("source", "block").agg(F.sum("n_tokens").alias("n")).collect():  # at most sources x blocks rows
-        sizes.setdefault(r.source, np.zeros(blocks, np.int64))[r.block] = r.n or 0
+    found = listed.groupBy("source", "block").agg(F.sum(F.coalesce("n_tokens", F.lit(0))).alias("n")).toArrow()  # at most MAX_BLOCKS rows and one more per source
+    for s, b, n in zip(*(found.column(c).to_pylist() for c in ("source", "block", "n"))):
+        sizes.setdefault(s, np.zeros(n_blocks[s], np.int64))[b] = n
     plan = plan_draws(sizes, targets, shard_tokens, seed, total)
-    draws = F.broadcast(spark.createDataFrame(plan, "source string, block int, use_no int, shard int, budget long"))
-    drawn = listed.join(draws, ["source", "block"]).withColumn("mixed", F.xxhash64("doc_id", "use_no", F.lit(seed + 1)))
+    draws = spark.createDataFrame(plan, "source string, block int, use_no int, shard int, budget long")
+    drawn = listed.join(F.broadcast(draws) if len(plan) <= BROADCAST_DRAWS else draws, ["source", "block"]).withColumn("mixed", F.xxhash64("doc_id", "use_no", F.lit(seed + 1)))
     whole = drawn.where("budget is null")
     running = W.partitionBy("source", "block", "use_no").orderBy("mixed", "doc_id").rowsBetween(W.unboundedPreceding, 0)
     part = drawn.where("budget is not null").withColumn("sum", F.sum("n_tokens").over(running)).where(F.col("sum") - F.col("n_tokens") / 2 <= F.col("budget")).drop("sum")

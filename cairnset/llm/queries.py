@@ -209,8 +209,8 @@ FROM r GROUP BY k"""
 def _windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list]:
     docs = table(spark, sf_dir, "documents")
     limits = [(r.limit_name, r.max_size) for r in _limits(spark, sf_dir, "pack_") if r.unit == "tokens"]
-    items = docs.select(F.col("doc_id").alias("item_id"), K.n_tokens(F.col("text")).alias("size"))
-    return P.pack(items, limits, docs.count()), limits
+    items = cut(docs.select(F.col("doc_id").alias("item_id"), K.n_tokens(F.col("text")).alias("size")))  # texts are read and counted once
+    return P.pack(items, limits, items.count()), limits
 
 
 @query
@@ -255,6 +255,44 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.crossJoin(F.broadcast(total)).withColumn("reached_share", F.round(F.col("tokens") / F.col("all_tokens"), 6)).drop("all_tokens")  # one row beside eight
 
 
+#: p8_fill and p9_shares hold tokens, which SQL cannot count; these queries hold what must be true of them.
+@query
+def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each limit: documents placed, whether no window is overfull, no document lost or split without need, and at most 2 % is unused."""
+    windows, limits = _windows(spark, sf_dir)
+    rows = cut(windows.join(F.broadcast(spark.createDataFrame(limits, "limit_name string, cap long")), "limit_name"))  # a row for each limit
+    per_window = rows.groupBy("limit_name", "window_id", "cap").agg(F.sum("size").alias("used"))
+    full = per_window.groupBy("limit_name").agg(
+        (F.max(F.col("used") - F.col("cap")) <= 0).alias("none_overfull"), (F.sum("used") >= 0.98 * F.sum("cap") - F.max("cap")).alias("little_unused"))
+    per_doc = rows.groupBy("limit_name", "item_id", "cap").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.max(F.col("start") + F.col("size")).alias("end"))
+    docs = per_doc.groupBy("limit_name").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.min((F.col("total") == F.col("end")) & (F.col("n") == F.greatest(F.lit(1), F.ceil(F.col("total") / F.col("cap"))))).alias("whole"))
+    return docs.join(full, "limit_name").select("limit_name", "n_docs", "whole", "none_overfull", "little_unused")
+
+
+@query
+def p9_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each listed source that has documents: whether its reached share is the target share of those within half a percent and one document, no use beyond the cap."""
+    mixed, targets = _mixed(spark, sf_dir)
+    mixed = cut(mixed)
+    want = spark.createDataFrame([(s, w, r) for s, (w, r) in targets.items()], "source string, target_share double, max_repeats long")
+    uses = mixed.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("tokens"))
+    got = uses.groupBy("source").agg(F.max("n").alias("most"), F.sum("tokens").alias("tokens"), F.max(F.col("tokens") / F.col("n")).alias("largest"))
+    both = want.join(got, "source")
+    sums = both.agg(F.sum("tokens").alias("all_tokens"), F.sum("target_share").alias("all_share"))  # one row beside eight
+    return both.crossJoin(F.broadcast(sums)).select(
+        "source", "target_share", (F.abs(F.col("tokens") - F.col("all_tokens") * F.col("target_share") / F.col("all_share")) <= 0.005 * F.col("all_tokens") + F.col("largest")).alias("share_met"),
+        (F.col("most") <= F.col("max_repeats")).alias("within_repeats"))
+
+
+ORACLE["p8_check"] = """SELECT limit_name, (SELECT count(*) FROM documents) AS n_docs, true AS whole, true AS none_overfull, true AS little_unused
+FROM size_limits WHERE limit_name LIKE 'pack%' AND unit = 'tokens'"""
+ORACLE["p9_check"] = r"""SELECT t.source, t.target_share, true AS share_met, true AS within_repeats
+FROM (SELECT regexp_replace(lower(trim(source)), '[\s\-]+', '_', 'g') AS source, target_share FROM mix_targets) t
+WHERE t.source IN (SELECT regexp_replace(lower(trim(source)), '[\s\-]+', '_', 'g') FROM documents WHERE text <> '')"""
+
+
 # --- p10: look-alikes ------------------------------------------------------------------------------------------------
 
 
