@@ -15,7 +15,7 @@ from cairnset.llm import splitting as S
 from cairnset.llm import survivors as V
 from cairnset.llm import tokens as K
 from cairnset.operators.retrieval import near_in_blocks
-from cairnset.session import cut, table
+from cairnset.session import cut, salted_join, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -296,11 +296,22 @@ WHERE t.source IN (SELECT regexp_replace(lower(trim(source)), '[\s\-]+', '_', 'g
 # --- p10: look-alikes ------------------------------------------------------------------------------------------------
 
 
+def _look_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5("text").alias("raw"), "text")
+    return cut(L.fold_texts(docs, "text", ["doc_id", "raw"]).select(F.col("doc_id").alias("id"), F.md5("canonical").alias("class"), "raw"))
+
+
 @query
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5("text").alias("raw"), "text")
-    members = L.fold_texts(docs, "text", ["doc_id", "raw"]).select(F.col("doc_id").alias("id"), F.md5("canonical").alias("class"), "raw")
-    return L.same_looking_pairs(cut(members)).select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
+    return L.same_looking_pairs(_look_members(spark, sf_dir)).select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
+
+
+@query
+def p10_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that reads like another with other characters, with the smallest such document and the size of its class."""
+    _, inside = L.look_classes(_look_members(spark, sf_dir))
+    size = inside.groupBy("class").agg(F.min("id").alias("first_doc_id"), F.count(F.lit(1)).alias("n_docs"), F.count_distinct("raw").alias("n_texts"))
+    return salted_join(inside, size, "class").select(F.col("id").alias("doc_id"), "first_doc_id", "n_docs", "n_texts")
 
 
 @query
@@ -309,7 +320,28 @@ def p10_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.fold_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", ["doc_id"])
 
 
-ORACLE["p10_texts"] = f"SELECT doc_id, {L.folding_sql('text')} AS canonical FROM documents"
+def _forms_sql() -> str:
+    """Expected forms from a table of characters: texts taken apart, joined with their forms one by one and put together again."""
+    single, several, jamo = L._tables()
+    forms = single | several
+    rows = ", ".join(f"({L._quoted(c)}, {L._quoted(f)})" for c, f in forms.items())
+    nothing = "".join("-".join(rf"\x{{{p}}}" for p in x.split("-")) for x in L._NOTHING)
+    emoji = f"'[{L._EMOJI}]'"
+    return f"""forms(c, form) AS (VALUES {rows}),
+texts AS (SELECT doc_id, text, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents WHERE text IS NOT NULL),
+chars AS (SELECT doc_id, unnest(l) AS c, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(t, '(?s).') AS l FROM texts WHERE strlen(t) > length(t))),
+seen AS (SELECT *, lag(c) OVER w AS before, lead(c) OVER w AS after FROM chars WHERE NOT regexp_matches(c, '[{nothing}]') WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+drawn AS (SELECT doc_id, i, CASE WHEN seen.c <> chr(8205) THEN coalesce(form, seen.c)
+    WHEN regexp_matches(before, {emoji}) AND regexp_matches(after, {emoji}) THEN seen.c ELSE '' END AS f FROM seen LEFT JOIN forms ON forms.c = seen.c),
+whole AS (SELECT doc_id, translate(nfc_normalize(string_agg(f, '' ORDER BY i)), {L._quoted(''.join(jamo))}, {L._quoted(''.join(jamo.values()))}) AS form FROM drawn GROUP BY doc_id),
+looks AS (SELECT doc_id, text, CASE WHEN strlen(t) = length(t) THEN t ELSE coalesce(form, '') END AS form FROM texts LEFT JOIN whole USING (doc_id))"""
+
+
+ORACLE["p10_texts"] = f"WITH {_forms_sql()} SELECT d.doc_id, form AS canonical FROM documents d LEFT JOIN looks USING (doc_id)"
+ORACLE["p10_found"] = f"""WITH {_forms_sql()} SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b
+FROM looks a JOIN looks b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text"""
+ORACLE["p10_members"] = f"""WITH {_forms_sql()}, g AS (SELECT form, min(doc_id) AS first_doc_id, count(*) AS n_docs, count(DISTINCT text) AS n_texts FROM looks GROUP BY form)
+SELECT doc_id, first_doc_id, n_docs, n_texts FROM looks JOIN g USING (form) WHERE n_texts > 1"""
 
 
 # --- p5: files not written by hand -----------------------------------------------------------------------------------
@@ -372,6 +404,3 @@ WITH u AS (SELECT chunk_id, CAST(min(vector) AS DOUBLE[]) AS v FROM embed_vector
 c AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_cosine_similarity(a.v, b.v) AS s FROM u a JOIN u b ON a.chunk_id <> b.chunk_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rn FROM c)
 SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM r WHERE rn <= 5 AND s >= 0.9"""
-ORACLE["p10_found"] = f"""
-WITH f AS (SELECT doc_id, text, {L.folding_sql('text')} AS form FROM documents WHERE text IS NOT NULL)
-SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text"""

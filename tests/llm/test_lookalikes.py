@@ -10,7 +10,10 @@ SAME = [
     ("naïve", "naïve"), ("return x", "ｒｅｔｕｒｎ　ｘ"), ("a b", "a b", "a b", "a b"), ("zero", "ze​ro", "z﻿ero", "ze­ro", "ze‍ro", "‎zero"),
     ("cache", "саche", "cаche"), ("file flow off", "ﬁle ﬂow oﬀ"), ("re-index", "re‐index", "re‑index"), ("べき", "べき"),
     ("ガラス", "ｶﾞﾗｽ"), ("x\ny", "x\r\ny", "x\ry"), ("Kelvin", "Kelvin"), ("ë", "ё"), ("ó", "ό"), ("\U0001d41bold", "bold"), ("é", "é", "é"), ("", "​", "﻿‎"),
-    ("\U0001f469‍\U0001f469‍\U0001f467",), ("\U0001f469\U0001f469\U0001f467",), ("x²",), ("x2",), ("The",), ("the",), ("l",), ("1",), ("résumé",), ("resume",), ("a\tb",), ("O",), ("0",)]
+    ("\U0001f469‍\U0001f469‍\U0001f467",), ("\U0001f469\U0001f469\U0001f467",), ("x²",), ("x2",), ("The",), ("the",), ("l",), ("1",), ("résumé",), ("resume",), ("a\tb",), ("O",), ("0",),
+    ("\u2f00", "\u4e00"), ("pa\u04cfm", "palm"), ("\u0251\u0261e", "age"), ("\u13aaB", "AB"), ("\ua4d0\ua4f3B", "BOB"), ("p\u2044q", "p\u2215q"), ("x\u3164y", "xy", "x\uffa0y"),
+    ("\u3131", "\u1100", "\uffa1"), ("\u3131\u314f", "\uffa1\uffc2"), ("\uac00", "\u1100\u1161"), ("\u21165", "No5"), ("wait\u2026", "wait..."), ("5\u338f", "5kg"), ("\u00bd", "1\u20442"),
+    ("\u017f",), ("s",), ("\u2460",), ("\u03d1",), ("\u03b8",), ("\u00b4",), ("\ufe50 \u3010", ", \u3010")]
 
 
 def folded(spark, texts):
@@ -44,6 +47,13 @@ def test_pairs_match_brute_force(spark):
     assert L.same_looking_pairs(df.limit(0)).count() == 0
 
 
+def test_classes_have_counts_representatives_and_members(spark):
+    rows = [(1, "k", "b"), (2, "k", "b"), (3, "k", "a"), (5, "m", "z"), (6, "m", "z"), (None, "k", "q"), (8, None, "q"), (9, "k", None)]
+    classes, members = L.look_classes(spark.createDataFrame(rows, "id long, class string, raw string"))
+    assert sorted(map(tuple, classes.collect())) == [("k", "a", "a", 1), ("k", "b", "a", 2)]
+    assert sorted(map(tuple, members.collect())) == [(1, "k", "b"), (2, "k", "b"), (3, "k", "a")]
+
+
 def test_clashing_column_is_refused(spark):
     df = spark.createDataFrame([(1, "x", "y")], "doc_id long, text string, canonical string")
     with pytest.raises(ValueError):
