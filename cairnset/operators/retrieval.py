@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnset.functions import text as T
+from cairnset.session import cut, spread
 
 K1, B, RRF_K = 1.2, 0.75, 60
 
@@ -44,7 +45,11 @@ def fts_code(docs: DataFrame, query: str, text: str = "text", key: str = "doc_id
     words = T.words(F.col(text))
     times = lambda t: F.size(F.filter("__w", lambda x: x == t))
     counts = {t: times(F.lit(t)) for t in terms}
-    ranked = _bm25(docs.select(key, words.alias("__w"), F.coalesce(some, F.lit(False)).alias("__some")), counts, F.size("__w"), "__some")
+    may = F.coalesce(some, F.lit(False))
+    read = spread(docs.select(key, text), key).select(key, words.alias("__w"), may.alias("__may"))
+    # texts are read once: what both the totals and the scores need of them is a few numbers a document
+    slim = cut(read.select(key, F.size("__w").alias("__dl"), *[F.when(F.col("__may"), c).otherwise(0).alias(f"__n{i}") for i, c in enumerate(counts.values())]))
+    ranked = _bm25(slim, {t: F.col(f"__n{i}") for i, t in enumerate(counts)}, F.col("__dl"))
     return ranked.select(key, "score").orderBy(F.desc(F.round("score", 9)), key).limit(limit)
 
 

@@ -10,7 +10,7 @@ from cairnset.operators import retrieval as R
 from cairnset.operators import symbols as G
 from cairnset.plans import views as V
 from cairnset.plans.registry import registry
-from cairnset.session import cut, table
+from cairnset.session import cut, spread, table
 
 QUERIES, ORACLE, query = registry()
 
@@ -361,14 +361,34 @@ def pagerank_to_chunks(spark, d):
     return ids.join(G.pagerank(e).withColumnRenamed("node", "id"), "id", "left").select("id", F.round(F.coalesce("rank", F.lit(0.0)), 6).alias("graph_rank"))
 
 
-@query()
+_RAG = rf"""{_RRF_CODE.replace("place <= 30", "place <= 150")}, pd AS (SELECT doc_id, 1 / score AS distance FROM f ORDER BY round(score, 12) DESC, doc_id LIMIT 50),
+pool AS MATERIALIZED (SELECT doc_id AS chunk, 1 - (distance - min(distance) OVER ()) / greatest(max(distance) OVER () - min(distance) OVER (), 1e-6) AS similarity FROM pd),
+dt AS (SELECT doc_id, t, min(pos) AS pos FROM (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS pos FROM (
+  SELECT doc_id, regexp_extract_all({_STRIP.format('text')}, '\w+') AS l FROM documents)) GROUP BY ALL),
+ment AS MATERIALIZED (SELECT doc_id AS chunk, t AS symbol FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn FROM dt
+  WHERE length(t) BETWEEN 3 AND 50 AND NOT regexp_matches(t, '^[0-9]+$') AND NOT list_contains({_STOP}, t)) WHERE rn <= 40),
+best AS MATERIALIZED (SELECT * FROM (SELECT symbol, max(similarity) AS heat FROM ment JOIN pool USING (chunk) GROUP BY symbol) WHERE heat > 0.25 ORDER BY round(heat, 9) DESC, symbol LIMIT 150),
+own AS (SELECT chunk, symbol FROM ment WHERE chunk IN (SELECT chunk FROM pool) AND symbol IN (SELECT symbol FROM best)),
+wide AS MATERIALIZED (SELECT chunk, symbol, heat FROM ment JOIN best USING (symbol) WHERE chunk NOT IN (SELECT chunk FROM pool)),
+fresh AS MATERIALIZED (SELECT chunk FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY chunk) AS p FROM wide) WHERE p <= 50 GROUP BY chunk ORDER BY round(max(heat), 9) DESC, chunk LIMIT 500),
+bag AS (SELECT * FROM own UNION ALL SELECT * FROM own UNION ALL SELECT chunk, symbol FROM wide WHERE chunk IN (SELECT chunk FROM fresh)),
+g AS MATERIALIZED (SELECT 'c:' || chunk AS src, 's:' || symbol AS dst FROM bag UNION ALL SELECT 's:' || symbol, 'c:' || chunk FROM bag),
+st AS (SELECT 'c:' || chunk AS node, similarity AS w FROM pool UNION ALL SELECT 's:' || symbol, heat FROM best)"""
+
+
+@query(f"""WITH {_RAG}, {_rank_sql(20, "j AS MATERIALIZED (SELECT node, coalesce(w, 0) / (SELECT sum(w) FROM st) AS jump FROM nodes LEFT JOIN st USING (node))")},
+m AS (SELECT chunk, similarity FROM pool UNION ALL SELECT chunk, 0 FROM fresh)
+SELECT chunk AS doc_id, round(0.5 * similarity + 0.5 * coalesce(rank, 0) / (SELECT max(rank) FROM r20 WHERE node LIKE 'c:%'), 6) AS score
+FROM m LEFT JOIN r20 ON node = 'c:' || chunk ORDER BY round(0.5 * similarity + 0.5 * coalesce(rank, 0) / (SELECT max(rank) FROM r20 WHERE node LIKE 'c:%'), 9) DESC, chunk LIMIT 10""")
 def linearrag(spark, d):
     """Hybrid pool, symbol activation, expansion and personalised PageRank over documents and the words they hold."""
     docs = table(spark, d, "documents")
     hits = R.hybrid(docs, _by_doc(spark, d), CODE_QUERY, _vector(spark, d), 50).withColumn("distance", 1 / F.col("score"))
-    pool = R.min_max_similarity(hits).select(F.col("doc_id").alias("chunk"), "similarity")
-    mentions = docs.select(F.col("doc_id").alias("chunk"), F.explode(G.mention_tokens(F.col("text"))).alias("symbol"))
-    return G.linear_rag(cut(pool), cut(mentions), 10).select(F.col("chunk").alias("doc_id"), F.round("score", 6).alias("score"))
+    pool = cut(R.min_max_similarity(hits).select(F.col("doc_id").alias("chunk"), "similarity"))
+    mentions = lambda rows: rows.select(F.col("doc_id").alias("chunk"), F.explode(G.mention_tokens(F.col("text"))).alias("symbol"))
+    near = docs.join(F.broadcast(pool.select(F.col("chunk").alias("doc_id"))), "doc_id")  # fifty rows
+    ranked = G.linear_rag(pool, mentions(spread(docs.select("doc_id", "text"), "doc_id")), 10, pool_mentions=mentions(near))
+    return ranked.select(F.col("chunk").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {_NAMED}, {_CALLS}, r AS (SELECT DISTINCT chunk_id FROM named WHERE name LIKE 'fold_ledger%'), s AS (SELECT DISTINCT name FROM named WHERE chunk_id IN (SELECT chunk_id FROM r)),

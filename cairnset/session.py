@@ -28,6 +28,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal a scan of fewer splits than there are cores over all of them, for work that costs far more than moving its input."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def salted_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", salts: int = 8) -> DataFrame:
     """Join on one key whose rows on the left may be very unevenly spread.
 
