@@ -21,11 +21,17 @@ from cairnset.operators import chunking as C
 from cairnset.operators import conventions as V
 from cairnset.operators import notes as N
 from cairnset.operators import retrieval as R
+from cairnset.operators.index import search_index, write_index
 from cairnset.operators import symbols as G
+from cairnset.operators import syntax as X2
 from cairnset.session import cut, ship
 from cairnset.sources import export as X
 from cairnset.sources import files as S
 
+def _search_texts(chunks: DataFrame) -> DataFrame:
+    return chunks.select(F.col("chunk_id").alias("doc_id"), F.concat_ws(" ", "name", "content", "node_type").alias("text"))
+
+
 TABLES = {"files": schemas.FILES, "chunks": schemas.CHUNKS, "edges": schemas.EDGES, "notes": schemas.NOTES, "note_edges": schemas.NOTE_EDGES, "vectors": "chunk_id string, embedding array<float>"}
 
 
@@ -38,7 +44,7 @@ class Engine:
     def table(self, name: str) -> DataFrame:
         """A table of the store under its schema; an absent one is empty."""
         path = os.path.join(self.store, f"{name}.parquet")
-        if not self.spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(self.spark._jvm.org.apache.hadoop.fs.Path(path)):
+        if not self._there(path):
             return self.spark.createDataFrame([], TABLES[name])
         return schemas.conform(self.spark.read.parquet(path), TABLES[name])
 
@@ -56,25 +62,22 @@ class Engine:
         fresh = todo.select(file_id.alias("file_id"), "path", "language", "hash", F.lit(now).cast("long").alias("indexed_at"), F.lit(0).cast("long").alias("mtime"), "text")
         gone = change.where("change <> 'unchanged'").select(file_id.alias("file_id"), "path")
         doc = fresh.where("language = 'markdown'")
-        code = fresh.where("language <> 'markdown'").select("file_id", F.explode(C.sliding_window(F.col("text"))).alias("w")).select(
-            "file_id", "w.start_line", "w.end_line", F.lit(None).cast("string").alias("title"), F.lit("verbatim").alias("kind"), "w.content")
+        code = X2.file_chunks(fresh.where("language <> 'markdown'")).select("file_id", "start_line", "end_line", F.col("name").alias("title"), F.lower("kind").alias("kind"), "content")
         cut_up = C.markdown_chunks(doc, "file_id", "text").select("file_id", "start_line", "end_line", F.col("name").alias("title"), "kind", "content").unionByName(code)
-        from cairnset.plans.views import NAME_PATTERN
-
         chunks = cut_up.where(~T.has_secret(F.col("content"))).select(
-            F.sha2(F.concat_ws(":", "file_id", "start_line", "end_line"), 256).alias("chunk_id"), "file_id", F.col("kind").alias("node_type"),
-            F.coalesce("title", F.nullif(F.regexp_extract("content", NAME_PATTERN, 1), F.lit(""))).alias("name"), "start_line", "end_line", "content",
+            F.sha2(F.concat_ws(":", "file_id", "start_line", "end_line", "title"), 256).alias("chunk_id"), "file_id", F.col("kind").alias("node_type"), F.col("title").alias("name"), "start_line", "end_line", "content",
             F.lit(None).cast("string").alias("metadata"), T.tok_estimate(F.col("content")).alias("token_count"), F.lit(0.0).alias("graph_rank"), F.lit(None).cast("string").alias("summary"))
         chunks = cut(chunks)
         named = chunks.join(fresh.select("file_id", "path"), "file_id")
-        calls = G.call_edges(named).withColumn("line", F.lit(0)).select("source_file", "source_name", "target_name", "kind", "line")
-        edges = calls.unionByName(G.mention_edges(named))
+        edges = X2.file_edges(fresh.select("path", "language", "text")).unionByName(G.mention_edges(named))
         kept_edges = self.table("edges").join(gone.select(F.col("path").alias("source_file")), "source_file", "left_anti").select("source_file", "source_name", "target_name", "kind", "line").unionByName(edges)
         kept_chunks = self.table("chunks").join(gone.select("file_id"), "file_id", "left_anti").select(*chunks.columns).unionByName(chunks)
         kept_files = old.join(gone.select("path"), "path", "left_anti").select("file_id", "path", "language", "hash", "indexed_at", "mtime").unionByName(fresh.drop("text"))
         kept_edges = cut(kept_edges)
         rank = G.pagerank(kept_edges.where("kind = 'calls'").select(F.col("source_name").alias("src"), F.col("target_name").alias("dst"))).withColumnRenamed("node", "name")
         ranked = kept_chunks.join(rank, "name", "left").withColumn("graph_rank", F.coalesce("rank", "graph_rank")).select(*chunks.columns)
+        ranked = cut(ranked)
+        write_index(_search_texts(ranked), os.path.join(self.store, "postings"))
         self.save("chunks", ranked)
         self.save("edges", kept_edges)
         self.save("files", kept_files)
@@ -82,16 +85,26 @@ class Engine:
 
     def search(self, query: str, vector: list[float] | None = None, limit: int = 10, budget: int | None = None) -> DataFrame:
         """Words alone, or words and a query vector fused; with a token budget, what fits it in rank order."""
-        docs = self.table("chunks").select(F.col("chunk_id").alias("doc_id"), F.concat_ws(" ", "name", "content", "node_type").alias("text"))
         if vector is None:
-            hits = R.fts_code(docs, query, limit=limit)
+            hits = self.words(query, limit)
         else:
-            hits = R.hybrid(docs, self.table("vectors").select(F.col("chunk_id").alias("doc_id"), "embedding"), query, vector, limit)
+            near = self.table("vectors").select(F.col("chunk_id").alias("doc_id"), "embedding")
+            hits = R.hybrid(None, near, query, vector, limit, words=lambda n: self.words(query, n))
         place = R.ranked(hits, [F.desc(F.round("score", 12)), F.col("doc_id")]).withColumnRenamed("doc_id", "chunk_id")
         full = place.join(self.table("chunks"), "chunk_id").join(self.table("files").select("file_id", "path"), "file_id").withColumn("tokens", F.col("token_count").cast("long"))
         kept = full if budget is None else R.budget_pack(full, budget, ["place"])
         return kept.select("place", "score", "chunk_id", "path", "name", "start_line", "end_line", "tokens", "content").orderBy("place")
 
+    def words(self, query: str, limit: int) -> DataFrame:
+        """doc_id, score of the best chunks by their words, from the stored postings; a store without any is read in full."""
+        if self._there(os.path.join(self.store, "postings", "stats")):
+            return search_index(self.spark, os.path.join(self.store, "postings"), query, limit=limit)
+        return R.fts_code(_search_texts(self.table("chunks")), query, limit=limit)
+
+    def _there(self, path: str) -> bool:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+
     def knn(self, vector: list[float], limit: int = 10, least: float = 0.0) -> DataFrame:
         near = R.knn_int8(self.table("vectors"), vector, limit + 20, key="chunk_id").withColumn("score", 1 - F.col("distance"))
         return near.where(F.col("score") >= least).orderBy(F.round("raw", 9), "chunk_id").limit(limit)
@@ -106,10 +119,11 @@ class Engine:
     def related(self, query: str, vector: list[float], limit: int = 10) -> DataFrame:
         """Graph-diffused retrieval: the hybrid pool spread over the symbols its chunks mention."""
         docs = self.table("chunks").select(F.col("chunk_id").alias("doc_id"), F.col("content").alias("text"))
-        pool = R.hybrid(docs, self.table("vectors").select(F.col("chunk_id").alias("doc_id"), "embedding"), query, vector, min(300, max(50, 5 * limit)))
-        near = R.min_max_similarity(pool.withColumn("distance", 1 / F.col("score"))).select(F.col("doc_id").alias("chunk"), "similarity")
-        mentions = docs.select(F.col("doc_id").alias("chunk"), F.explode(G.mention_tokens(F.col("text"))).alias("symbol"))
-        return G.linear_rag(cut(near), cut(mentions), limit)
+        pool = R.hybrid(None, self.table("vectors").select(F.col("chunk_id").alias("doc_id"), "embedding"), query, vector, min(300, max(50, 5 * limit)), words=lambda n: self.words(query, n))
+        near = cut(R.min_max_similarity(pool.withColumn("distance", 1 / F.col("score"))).select(F.col("doc_id").alias("chunk"), "similarity"))
+        mentions = lambda rows: rows.select(F.col("doc_id").alias("chunk"), F.explode(G.mention_tokens(F.col("text"))).alias("symbol"))
+        own = docs.join(F.broadcast(near.select(F.col("chunk").alias("doc_id"))), "doc_id")  # at most 300 rows
+        return G.linear_rag(near, mentions(docs), limit, pool_mentions=mentions(own))
 
     def status(self) -> DataFrame:
         f = self.table("files").agg(F.count(F.lit(1)).alias("files"), F.max("indexed_at").alias("last_indexed"))

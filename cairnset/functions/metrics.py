@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +32,14 @@ def set_prf(found: DataFrame, truth: DataFrame, by: str, item: str) -> DataFrame
 def binomial_two_sided(b: Column, c: Column) -> Column:
     """Exact two-sided p of b against c at even odds, at most 1; by log factorials, so it holds for large counts."""
     n, low = b + c, F.least(b, c)
-    log_fact = lambda x: F.aggregate(F.sequence(F.lit(0), x.cast("int")), F.lit(0.0), lambda s, i: s + F.when(i > 0, F.log(i.cast("double"))).otherwise(0.0))
-    tail = F.aggregate(F.sequence(F.lit(0), low.cast("int")), F.lit(0.0), lambda s, i: s + F.exp(log_fact(n) - log_fact(i) - log_fact(n - i) - n * F.log(F.lit(2.0))))
+    # one pass: the log of each term follows from the one before, C(n, i) = C(n, i - 1) * (n - i + 1) / i
+    start = F.struct((-n * F.log(F.lit(2.0))).alias("term"), F.exp(-n * F.log(F.lit(2.0))).alias("sum"))
+
+    def step(s: Column, i: Column) -> Column:
+        term = s.term + F.log((n - i + 1).cast("double")) - F.log(i.cast("double"))
+        return F.struct(term.alias("term"), (s.sum + F.exp(term)).alias("sum"))
+
+    tail = F.aggregate(F.when(low > 0, F.sequence(F.lit(1).cast("long"), low.cast("long"))).otherwise(F.array().cast("array<bigint>")), start, step).sum
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
@@ -51,15 +61,22 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 
 def bootstrap(df: DataFrame, by: list[str], value: str, rounds: int = 200, seed: int = 3) -> DataFrame:
     """Percentile interval of the mean from Poisson resampling, every weight a hash of (row, round): no row is gathered anywhere."""
-    import math
-
-    cum, weights = 0.0, []
-    for i in range(8):
-        cum += math.exp(-1) / math.factorial(i)
-        weights.append(cum)
-    rows = df.select(*by, value, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"), *[F.col(c).alias(f"__{c}") for c in df.columns])
-    u = F.pmod(F.xxhash64("round", F.lit(seed), *[F.col(f"`__{c}`") for c in df.columns]), F.lit(1 << 30)) / float(1 << 30)
-    weight = sum((F.when(u > w, 1).otherwise(0) for w in weights), F.lit(0))
-    means = rows.withColumn("__w", weight).groupBy(*by, "round").agg((F.sum(F.col("__w") * F.col(value)) / F.nullif(F.sum("__w"), F.lit(0))).alias("m"))
-    q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
-    return means.groupBy(*by).agg(q.alias("q")).select(*by, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    row = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns])
+    hashed = df.select(*by, F.col(value).cast("double").alias("__v"), row.alias("__h")).where(F.col("__v").isNotNull())
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    # the chance of at most 0, 1, ... draws of a row at one draw a row on average
+    upto = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(8)])
+
+    def partial(frames):
+        for pdf in frames:
+            for key, part in pdf.groupby(by, dropna=False, sort=False):
+                x = part["__h"].to_numpy().astype(np.uint64)[:, None] + np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                w = np.searchsorted(upto, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53), "right")
+                yield pd.DataFrame({c: pd.Series([k] * rounds, dtype=object) for c, k in zip(by, key)} | {"round": np.arange(1, rounds + 1), "w": w.sum(0), "s": (w * part["__v"].to_numpy()[:, None]).sum(0)})
+
+    # a batch gives one row for each of its groups and rounds, whatever its size
+    sums = hashed.mapInPandas(partial, schema + ", round long, w long, s double").groupBy(*by, "round").agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
+    q = F.percentile(F.col("s") / F.nullif(F.col("w"), F.lit(0)), F.array(F.lit(0.025), F.lit(0.975)))
+    return sums.groupBy(*by).agg(q.alias("q")).select(*by, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))

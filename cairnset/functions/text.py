@@ -21,13 +21,20 @@ TEXT_NAMES = ["README", "CHANGELOG", "CHANGES", "CONTRIBUTING", "NOTICE", "AUTHO
 SECRET_PATTERNS = [
     r"AKIA[0-9A-Z]{16}", r"gh[pousr]_[A-Za-z0-9]{36}", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"xox[abprs]-[A-Za-z0-9-]{10,}",
     r"(?i)(password|passwd|secret|api_key|token)\s*[:=]\s*['\"][^'\"\s]{8,}['\"]"]
-# Our own list of phrases that try to steer a reader that is a model: (category, pattern), in order of precedence.
+# Phrases that try to steer a reader that is a model: (category, pattern), in order of precedence.
 INJECTION_PATTERNS = [
-    ("override", r"(?i)ignore (all |any )?(the )?(previous|prior|above) (instructions|rules)"), ("override", r"(?i)disregard (all |any )?(the )?(previous|prior|above)"),
-    ("role", r"(?i)you are now (a|an|the) "), ("role", r"(?i)act as (if you were )?(a|an|the) (system|admin|root)"), ("prompt", r"(?i)(reveal|print|show) (your|the) (system )?prompt"),
-    ("prompt", r"(?i)<\|?(system|im_start|endoftext)\|?>"), ("exfiltration", r"(?i)(send|post|upload) (all |the )?(keys|secrets|credentials)"),
-    ("exfiltration", r"(?i)curl\s+-?[^\n]{0,40}https?://"), ("tool", r"(?i)call the \w+ tool"), ("tool", r"(?i)execute the following (command|code)"),
-    ("hidden", r"<!--[^>]{0,200}(instruction|prompt)"), ("hidden", r"(?i)base64[ :]+[A-Za-z0-9+/=]{40,}")]
+    ("ignore_instructions", r"(?i)\bignore\s+(all\s+)?(previous\s+)?instructions\b"),
+    ("you_are_now", r"(?i)\byou\s+are\s+now\b"),
+    ("new_persona", r"(?i)\bact\s+as\b"),
+    ("disregard", r"(?i)\bdisregard\s+(all\s+)?(previous\s+)?(instructions|context|rules)\b"),
+    ("forget", r"(?i)\bforget\s+(everything|all\s+previous)\b"),
+    ("system_prefix", r"(?im)^system\s*:"),
+    ("role_override", r"(?i)\bnew\s+role\s*:"),
+    ("jailbreak_sudo", r"(?i)\bDAN\b|\bdo\s+anything\s+now\b"),
+    ("developer_mode", r"(?i)\bdeveloper\s+mode\b"),
+    ("system_override", r"(?i)\bsystem\s+override\b"),
+    ("reveal_prompt", r"(?i)\b(reveal|show|output|print|display|tell\s+me)\s+(your\s+)?(system\s+)?(prompt|instructions?)\b"),
+    ("repeat_above", r"(?i)\brepeat\s+(the\s+)?(text|instructions?|prompt)\s*(above|starting\s+with)?\b")]
 
 
 def words(c: Column) -> Column:
@@ -127,7 +134,7 @@ def has_secret(c: Column) -> Column:
 
 def injection_category(title: Column, body: Column) -> Column:
     """field:category of the first pattern that matches, patterns in order, the title before the body; null if none."""
-    tests = [F.when(c.rlike(p), F.lit(f"{field}:{cat}")) for cat, p in INJECTION_PATTERNS for field, c in (("title", title), ("body", body))]
+    tests = [F.when(c.rlike("(?U)" + p), F.lit(f"{field}:{cat}")) for cat, p in INJECTION_PATTERNS for field, c in (("title", title), ("body", body))]
     return F.coalesce(*tests)
 
 

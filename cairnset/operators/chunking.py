@@ -62,9 +62,12 @@ def markdown_sections(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """
     lined = docs.select(key, F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), "\n\\z", "").alias("t"))
     parts = lined.select(key, F.split("t", r"(?m)^(?=#{1,6}(?: |$))").alias("s"))
-    each = parts.select(key, "s", F.posexplode("s").alias("i", "part")).select(
-        key, (F.size(F.split(F.array_join(F.slice("s", F.lit(1), F.col("i")), ""), "\n"))).alias("start_line"), 
-        F.when(F.col("i") < F.size("s") - 1, F.regexp_replace("part", "\n\\z", "")).otherwise(F.col("part")).alias("content"))
+    breaks = F.transform("s", lambda x: F.char_length(x) - F.char_length(F.replace(x, F.lit("\n"), F.lit(""))))
+    # a running count over the sections, so no section is read again for those behind it
+    first_lines = F.aggregate(breaks, F.array(F.lit(1)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    each = parts.select(key, F.size("s").alias("n"), F.posexplode(F.arrays_zip("s", F.slice(first_lines, F.lit(1), F.size("s")).alias("l"))).alias("i", "z")).select(
+        key, F.col("z.l").alias("start_line"),
+        F.when(F.col("i") < F.col("n") - 1, F.regexp_replace("z.s", "\n\\z", "")).otherwise(F.col("z.s")).alias("content"))
     first = F.substring_index("content", "\n", 1)
     return each.where(F.trim(F.regexp_replace("content", r"\s", "")) != "").select(
         key, "start_line", (F.col("start_line") + F.size(F.split("content", "\n")) - 1).alias("end_line"), T.atx_heading(first).alias("name"), "content")
@@ -91,8 +94,10 @@ def notebook_cells(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     kept = nb.select(key, F.coalesce(F.nullif(F.col("nb.metadata.kernelspec.language"), F.lit("")), F.lit("python")).alias("kernel"),
                      F.filter(joined, lambda c: F.trim(F.regexp_replace(c.content, r"\s", "")) != "").alias("cells"))
     n_lines = lambda c: F.greatest(F.lit(1), F.size(F.split(F.regexp_replace(c, "\n\\z", ""), "\n")))
-    each = kept.select(key, "kernel", "cells", F.posexplode("cells").alias("i", "c"))
-    before = F.aggregate(F.slice("cells", F.lit(1), F.col("i")), F.lit(0), lambda s, c: s + n_lines(c.content))
+    lines = F.aggregate(F.transform("cells", lambda c: n_lines(c.content)), F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    each = kept.select(key, "kernel", F.explode(F.arrays_zip("cells", F.slice(lines, F.lit(1), F.size("cells")).alias("before"))).alias("z")).select(
+        key, "kernel", F.col("z.cells").alias("c"), F.col("z.before").alias("before"))
+    before = F.col("before")
     prose = F.col("c.cell_type").isin("markdown", "raw")
     return each.select(
         key, F.concat(F.lit("cell "), F.col("c.n").cast("string")).alias("name"), (before + 1).alias("start_line"), (before + n_lines(F.col("c.content"))).alias("end_line"),

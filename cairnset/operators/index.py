@@ -15,7 +15,8 @@ from cairnset.functions import text as T
 from cairnset.operators.retrieval import K1, B
 from cairnset.session import cut
 
-BUCKETS = 64
+#: Occurrences of words in one file of a bucket.
+FILE_WORDS = 4_000_000
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -25,14 +26,19 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return each.groupBy(key, "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
 
 
-def write_index(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> None:
+def write_index(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", buckets: int | None = None) -> None:
+    """Postings and totals. Buckets, and the files of each, follow the number of words unless a number is given."""
+    sizes = cut(docs.select(F.size(T.words(F.col(text))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg"), F.sum("dl").alias("words")))
+    n_words = sizes.first().words or 0  # one row
+    parts = max(8, -(-n_words // FILE_WORDS))
+    buckets = buckets or min(4_096, max(16, 2 ** ((parts - 1).bit_length() // 2 + 2)))
+    deal = max(8, -(-parts // buckets))
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
     p = postings(docs, key, text).withColumn("bucket", bucket)
     # a frequent term is dealt over several files of its bucket by document, so no task writes it alone
-    dealt = p.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions("bucket", "term", key)
+    dealt = p.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(deal))).sortWithinPartitions("bucket", "term", key)
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-    sizes = docs.select(F.size(T.words(F.col(text))).alias("dl"))
-    cut(sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg"))).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{folder}/stats")
+    sizes.select("n", "avg").withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{folder}/stats")
 
 
 def search_index(spark: SparkSession, folder: str, query: str, key: str = "doc_id", limit: int = 1000) -> DataFrame:

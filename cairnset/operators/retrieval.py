@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -135,10 +137,13 @@ def rrf(lists: list[DataFrame], key: str, limit: int, k: int = RRF_K) -> DataFra
     return fused.orderBy(F.desc(F.round("score", 12)), key).limit(limit)
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, query: str, vector: list[float], limit: int = 10) -> DataFrame:
-    """Word and vector hits fused; max(3 * limit, 20) candidates of each. `vectors` has doc_id, embedding."""
+def hybrid(docs: DataFrame | None, vectors: DataFrame, query: str, vector: list[float], limit: int = 10, words: Callable[[int], DataFrame] | None = None) -> DataFrame:
+    """Word and vector hits fused; max(3 * limit, 20) candidates of each. `vectors` has doc_id, embedding.
+
+    `words` gives the best word hits of a number, from a stored index; without it the documents are read.
+    """
     n = max(3 * limit, 20)
-    text = ranked(fts_code(docs, query, limit=n), [F.desc(F.round("score", 9)), F.col("doc_id")])
+    text = ranked(words(n) if words else fts_code(docs, query, limit=n), [F.desc(F.round("score", 9)), F.col("doc_id")])
     near = ranked(knn_int8(vectors, vector, n, key="doc_id"), [F.round("raw", 9), F.col("doc_id")])
     return rrf([text, near], "doc_id", limit)
 

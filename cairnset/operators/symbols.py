@@ -7,14 +7,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from cairnset.functions import text as T
+from cairnset.operators.syntax import NOT_CALLED, builtins_of
 from cairnset.session import cut, salted_join
 
 EDGE_KINDS = ["imports", "calls", "extends", "implements", "mentions"]
-# Our own short list of names every language brings along.
-BUILTINS = ["print", "len", "range", "str", "int", "map", "filter", "push", "append", "format", "println", "assert", "require", "return", "if", "for", "while", "match",
-            "switch", "catch", "sizeof", "new", "Some", "Ok", "Err", "None", "vec", "make", "function", "fn", "sorted", "super"]
+#: Languages whose line comments open with a hash sign, or with that or two slashes, or with two dashes; in all others they open with two slashes.
+HASH, EITHER, DASHES = ["python", "ruby"], ["php", "hcl"], ["sql"]
 STOP = ["the", "and", "for", "let", "var", "const", "pub", "use", "mut", "def", "not", "self", "this", "return", "if", "else", "while", "function", "class", "struct",
         "impl", "enum", "type", "true", "false", "null", "None", "True", "False", "import", "from", "async", "await", "static", "void", "int", "char", "string"]
 
@@ -24,16 +25,19 @@ def edge_kind(c: Column) -> Column:
     return F.when(F.lower(c).isin(EDGE_KINDS), F.lower(c)).otherwise(F.lit("imports"))
 
 
-def strip_comments(c: Column) -> Column:
-    """Without block and line comments and the insides of string literals."""
+def strip_comments(c: Column, language: Column | None = None) -> Column:
+    """Without block and line comments of the language (null or none given: of any) and the insides of string literals."""
     c = F.regexp_replace(c, r"(?s)/\*.*?\*/", " ")
     c = F.regexp_replace(c, r"\"[^\"\n]*\"|'[^'\n]*'", "\"\"")
-    return F.regexp_replace(c, r"(//|#)[^\n]*", " ")
+    without = lambda mark: F.regexp_replace(c, mark + r"[^\n]*", " ")
+    if language is None:
+        return without("(//|#)")
+    return F.when(language.isNull() | language.isin(EITHER), without("(//|#)")).when(language.isin(HASH), without("#")).when(language.isin(DASHES), without("--")).otherwise(without("//"))
 
 
-def mention_tokens(content: Column, most: int = 40) -> Column:
+def mention_tokens(content: Column, most: int = 40, language: Column | None = None) -> Column:
     """Distinct identifiers in order of first appearance: 3 to 50 characters, not all digits, no stop words, at most 40."""
-    found = F.array_distinct(F.regexp_extract_all(strip_comments(content), F.lit(r"(\w+)"), 1))
+    found = F.array_distinct(F.regexp_extract_all(strip_comments(content, language), F.lit(r"(\w+)"), 1))
     stop = F.array(*[F.lit(s) for s in STOP])
     keep = F.filter(found, lambda x: F.char_length(x).between(3, 50) & ~x.rlike("^[0-9]+$") & ~F.array_contains(stop, x))
     return F.slice(keep, 1, most)
@@ -42,16 +46,25 @@ def mention_tokens(content: Column, most: int = 40) -> Column:
 def mention_edges(chunks: DataFrame) -> DataFrame:
     """chunks(path, name, content): a mentions edge from each named chunk to each of its tokens."""
     named = chunks.where("name is not null")
-    return named.select(F.col("path").alias("source_file"), F.col("name").alias("source_name"), F.explode(mention_tokens(F.col("content"))).alias("target_name"),
+    language = T.lang_detect(F.col("path"))
+    return named.select(F.col("path").alias("source_file"), F.col("name").alias("source_name"), F.explode(mention_tokens(F.col("content"), language=language)).alias("target_name"),
                         F.lit("mentions").alias("kind"), F.lit(0).alias("line"))
 
 
 def call_edges(chunks: DataFrame) -> DataFrame:
     """Calls of a chunk by name, built-ins left out, once per (source, target)."""
-    bare = strip_comments(F.col("content"))
+    bare = strip_comments(F.col("content"), T.lang_detect(F.col("path")))
     called = chunks.where("name is not null").select(
         F.col("path").alias("source_file"), F.col("name").alias("source_name"), F.explode(F.array_distinct(F.regexp_extract_all(bare, F.lit(r"([A-Za-z_]\w*)\("), 1))).alias("target_name"))
-    return called.where(~F.col("target_name").isin(BUILTINS) & (F.col("target_name") != F.col("source_name"))).withColumn("kind", F.lit("calls")).distinct()
+    return called.where(~is_builtin(F.col("target_name"), T.lang_detect(F.col("source_file"))) & (F.col("target_name") != F.col("source_name"))).withColumn("kind", F.lit("calls")).distinct()
+
+
+def is_builtin(name: Column, language: Column) -> Column:
+    """Whether a name comes with the language or is no name of a function in any of them."""
+    own = F.lit(False)
+    for g in ("rust", "python", "javascript", "jsx", "typescript", "tsx", "go", "php", "ruby", "csharp", "kotlin", "swift", "c", "cpp"):
+        own = F.when(language == g, name.isin(builtins_of(g))).otherwise(own)
+    return own | name.isin(NOT_CALLED)
 
 
 def html_edges(pages: DataFrame, text: str = "text") -> DataFrame:
@@ -62,13 +75,6 @@ def html_edges(pages: DataFrame, text: str = "text") -> DataFrame:
     return found.withColumn("target_name", t).where((t != "") & ~t.startswith("#") & ~t.startswith("data:")).withColumn("kind", F.lit("imports"))
 
 
-def import_edges(chunks: DataFrame) -> DataFrame:
-    """import / use / require / include lines."""
-    pattern = r"(?m)^\s*(?:import\s+(?:[\w{}*, ]+\s+from\s+)?|from\s+|use\s+|#include\s*|(?:const|let|var)\s+\w+\s*=\s*require\()[\"'<]?([\w./:@-]+)"
-    return chunks.select(F.col("path").alias("source_file"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(pattern), 1))).alias("target_name"),
-                         F.lit("imports").alias("kind"))
-
-
 def neighbours(edges: DataFrame, names: DataFrame) -> DataFrame:
     """Names one call away from `names(name)`, either way, each once."""
     calls = edges.where("kind = 'calls'")
@@ -145,7 +151,7 @@ def _walk_in_one_task(base: DataFrame, grouped: DataFrame, rounds: int, damping:
         rank = _steps(at("src"), at("dst"), link.column("times").to_numpy().astype(float), own.column("jump").to_numpy(), rounds, damping)
         return pa.table({"node": names, "rank": pa.array(rank)})
 
-    return rows.groupBy(F.lit(0).alias("all")).applyInArrow(walk, T.StructType([T.StructField("node", kind), T.StructField("rank", T.DoubleType())]))
+    return rows.groupBy(F.lit(0).alias("all")).applyInArrow(walk, StructType([StructField("node", kind), StructField("rank", DoubleType())]))
 
 
 def union_edges(of_file: DataFrame, of_symbol: DataFrame) -> DataFrame:
@@ -203,6 +209,6 @@ def linear_rag(pool: DataFrame, mentions: DataFrame, limit: int, floor: float =
         rank = rank[: len(names)]
         return pa.table({"chunk": names, "score": pa.array(0.5 * similarity + 0.5 * rank / max(rank.max(initial=0.0), 1e-12))})
 
-    mixed = rows.groupBy(F.lit(0).alias("all")).applyInArrow(walk, T.StructType([T.StructField("chunk", kind), T.StructField("score", T.DoubleType())]))
+    mixed = rows.groupBy(F.lit(0).alias("all")).applyInArrow(walk, StructType([StructField("chunk", kind), StructField("score", DoubleType())]))
     return mixed.orderBy(F.desc(F.round("score", 9)), "chunk").limit(limit)
 

@@ -302,7 +302,7 @@ EDGES: dict[str, list[tuple[str, str]]] = {
              ("implements", r"(?m)^[ \t]*(?:include|extend|prepend)[ \t(]+([A-Z][\w, \t]*)")],
     "csharp": [("imports", r"(?m)^[ \t]*(?:global[ \t]+)?using[ \t]+(?:static[ \t]+)?([\w.]+)[ \t]*;"), ("extends", r"\b(?:class|struct|record|interface)[ \t]+\w+(?:<[^>{]*>)?(?:\([^)]*\))?\s*:\s*([\w.<>, \t\n]+?)\s*(?:\{|;|\bwhere\b)")],
     "kotlin": [("imports", r"(?m)^[ \t]*import[ \t]+([\w.]+)"), ("extends", r"\b(?:class|object|interface)[ \t]+\w+(?:<[^>{]*>)?(?:\s*\([^)]*\))?\s*:\s*([\w.<>(), \t\n]+?)\s*(?:\{|$)")],
-    "swift": [("imports", r"(?m)^[ \t]*(?:@\w+[ \t]+)?import[ \t]+(?:\w+[ \t]+(?=\w))?([\w.]+)"), ("extends", r"\b(?:class|struct|enum|extension|actor)[ \t]+\w+(?:<[^>{]*>)?\s*:\s*([\w., \t\n<>]+?)\s*(?:\{|\bwhere\b)")],
+    "swift": [("imports", r"(?m)^[ \t]*(?:@\w+[ \t]+)?import[ \t]+(?:(?:class|struct|enum|func|protocol|typealias|let|var)[ \t]+)?([\w.]+)"), ("extends", r"\b(?:class|struct|enum|extension|actor)[ \t]+\w+(?:<[^>{]*>)?\s*:\s*([\w., \t\n<>]+?)\s*(?:\{|\bwhere\b)")],
     "html": [("imports", r"(?i)\b(?:src|href)[ \t]*=[ \t]*[\"']([^\"'\n]*)[\"']")],
     "css": [("imports", r"(?m)^[ \t]*@import[ \t]+(?:url\([ \t]*)?[\"']?([^\"')\s;]+)")],
 }

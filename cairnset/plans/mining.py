@@ -10,6 +10,7 @@ from cairnset.functions import text as T
 from cairnset.operators import chunking as C
 from cairnset.operators import conventions as V2
 from cairnset.operators import retrieval as R
+from cairnset.operators import syntax as X2
 from cairnset.plans import views as V
 from cairnset.plans.ranked import CODE_QUERY, _DOC_BM
 from cairnset.plans.registry import registry
@@ -31,7 +32,8 @@ def _rules_sql(path: str) -> str:
     return f"CASE {cases} ELSE 'keep' END"
 
 
-@query(w(V.FILES, then=f"SELECT file_id, path, {_rules_sql('path')} AS decision FROM files_v WHERE path IS NOT NULL"))
+@query(w(V.FILES, then=f"""SELECT file_id, path, coalesce(list_filter(list_transform(range(1, len(s) + 1), lambda i: {_rules_sql("(array_to_string(s[1:i], '/') || CASE WHEN i < len(s) THEN '/' ELSE '' END)")}), lambda x: x <> 'keep')[1], 'keep') AS decision
+FROM (SELECT file_id, path, string_split(path, '/') AS s FROM files_v WHERE path IS NOT NULL)"""))
 def src_index_filter(spark, d):
     f = V.files(spark, d).where("path is not null")
     return f.select("file_id", "path", S.decide(F.col("path"), S.DEFAULT_EXCLUDES + ["!src/generators/"]).alias("decision"))
@@ -79,7 +81,7 @@ def src_jsonl_log(spark, d):
     return lines.agg(F.count(F.lit(1)).alias("n")).crossJoin(good.agg(F.count(F.lit(1)).alias("objects"))).select("objects", (F.col("n") - F.col("objects")).alias("skipped"))  # single rows
 
 
-@query(r"""SELECT doc_id, string_split(text, chr(10))[1] AS subject, length(regexp_replace(text, '^[^\n]*\n*', '')) AS body_chars FROM documents WHERE lower(trim(source)) = 'commit_messages'""")
+@query(r"""SELECT doc_id, string_split(text, chr(10))[1] AS subject, length(regexp_replace(text, '^[^\n]*\n*', '')) AS body_chars FROM documents WHERE {_SOURCE} = 'commit_messages'""".replace("{_SOURCE}", V.SOURCE))
 def src_git_log(spark, d):
     m = table(spark, d, "documents").where(T.source_name(F.col("source")) == "commit_messages")
     log = m.select("doc_id", F.concat_ws("\0", F.col("doc_id").cast("string"), F.substring_index("text", "\n", 1), F.regexp_replace("text", r"^[^\n]*\n*", ""), F.lit("---")).alias("value"))
@@ -179,6 +181,12 @@ def chunk_notebook(spark, d):
 
 @query()
 def chunk_ast(spark, d):
+    """Whole files cut at the definitions of their language; the rest in line windows."""
+    return X2.file_chunks(V.file_texts(spark, d)).select("file_id", "kind", "name", "parent_scope", "start_line", "end_line", F.char_length("content").alias("n_chars"), "docstring")
+
+
+@query()
+def chunk_python_tree(spark, d):
     """Definitions of the Python chunks by their syntax tree."""
     c = V.chunks(spark, d).join(V.files(spark, d).where("lower(path) like '%.py'").select("file_id"), "file_id", "left_semi")
     return C.python_definitions(c, key="chunk_id", text="content")
@@ -219,27 +227,26 @@ def chunk_secret_drop(spark, d):
     return V.chunks(spark, d).where(~T.has_secret(F.col("content"))).select("chunk_id")
 
 
-@query("SELECT DISTINCT chunk_id, strlen(content) > 1500 AS cut FROM embed_chunks WHERE content IS NOT NULL")
+@query(w(V.CHUNKS, then="""SELECT chunk_id, CASE WHEN strlen(content) <= 1500 THEN content ELSE content[1:list_max(list_filter(range(375, 1501), lambda n: strlen(content[1:n]) <= 1500))] END AS asked
+FROM chunks_v WHERE content IS NOT NULL"""))
 def chunk_summarise(spark, d):
     """The text a summary would be asked for: at most 1,500 bytes, cut between characters."""
-    c = table(spark, d, "embed_chunks").where("content is not null").select("chunk_id", "content").distinct()
-    s = T.truncate_bytes(F.col("content"), 1500)
-    return c.where((F.octet_length(s) <= 1500) & (F.octet_length(s) >= F.least(F.lit(1497), F.octet_length("content"))) & F.col("content").startswith(s)).select("chunk_id", (F.octet_length("content") > 1500).alias("cut"))
+    return V.chunks(spark, d).where("content is not null").select("chunk_id", T.truncate_bytes(F.col("content"), 1500).alias("asked"))
 
 
 # --- scalar functions ------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT doc_id, line, CASE WHEN regexp_matches(line, '^#{1,6}( |$)') THEN trim(regexp_replace(line, '^#{1,6}', '')) END AS title FROM (SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents)""")
+@query("""SELECT doc_id, line, CASE WHEN regexp_matches(line, '^#{1,6}( |$)') THEN trim(regexp_replace(line, '^#{1,6}', '')) END AS title FROM (SELECT doc_id, unnest(CASE WHEN text IS NULL THEN [NULL] ELSE string_split(text, chr(10)) END) AS line FROM documents)""")
 def fn_atx_heading(spark, d):
-    """Every line of every document (the SQL holds the first lines only)."""
+    """Every line of every document."""
     x = table(spark, d, "documents").select("doc_id", F.explode_outer(F.split("text", "\n")).alias("line"))
     return x.withColumn("title", T.atx_heading(F.col("line")))
 
 
-@query("SELECT doc_id, left(text, 30) AS clean FROM (SELECT doc_id, regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g') AS text FROM documents)")
+@query("SELECT doc_id, text AS clean FROM (SELECT doc_id, regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g') AS text FROM documents)")
 def fn_strip_ansi(spark, d):
-    """Terminal sequences put into the whole texts and taken out again (the SQL holds 30 characters of each)."""
+    """Terminal sequences put into the whole texts and taken out again."""
     dirty = F.concat(F.lit("\x1b[31m\x1b]0;t\x07"), F.col("text"), F.lit("\x1b[0m\x07"))
     return table(spark, d, "documents").select("doc_id", T.strip_ansi(dirty).alias("clean"))
 
@@ -250,9 +257,9 @@ def fn_normalize_path(spark, d):
 
 
 @query("""SELECT doc_id, replace(replace(replace(replace(replace(replace(t, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' ') AS plain
-FROM (SELECT doc_id, replace(replace(left(text, 80), '&', '&amp;'), '<', '&lt;') AS t FROM documents)""")
+FROM (SELECT doc_id, replace(replace(text, '&', '&amp;'), '<', '&lt;') AS t FROM documents)""")
 def fn_html_unescape(spark, d):
-    """Whole texts, escaped and unescaped again (the SQL holds 80 characters of each)."""
+    """Whole texts, escaped and unescaped again."""
     t = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     return table(spark, d, "documents").select("doc_id", T.html_unescape(t).alias("plain"))
 
@@ -288,7 +295,13 @@ def fn_source_commit(spark, d):
     return n.select("id", F.regexp_replace(first, "^git:", "").alias("sha"))
 
 
-_INJ = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches({c}, {q1(p)}) THEN '{f}:{cat}' END" for cat, p in T.INJECTION_PATTERNS for f, c in (("title", "path"), ("body", "text"))) + ")"
+def _edges_of_words(p: str) -> str:
+    """Word boundaries of any script, spelled out."""
+    parts = p.split(r"\b")
+    return "".join(x + ("" if i + 1 == len(parts) else r"(?:^|[^\p{L}\p{M}\p{N}_])" if i % 2 == 0 else r"(?:$|[^\p{L}\p{M}\p{N}_])") for i, x in enumerate(parts))
+
+
+_INJ = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches({c}, {q1(_edges_of_words(p))}) THEN '{f}:{cat}' END" for cat, p in T.INJECTION_PATTERNS for f, c in (("title", "path"), ("body", "text"))) + ")"
 
 
 @query(f"SELECT doc_id, {_INJ} AS found FROM documents WHERE {_INJ} IS NOT NULL")

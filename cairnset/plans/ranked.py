@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cairnset.functions import text as T
 from cairnset.operators import retrieval as R
 from cairnset.operators import symbols as G
+from cairnset.operators import syntax as X
 from cairnset.plans import views as V
 from cairnset.plans.registry import registry
 from cairnset.session import cut, spread, table
@@ -65,9 +66,8 @@ def fts_memory(spark, d):
         "id", F.round("score", 6).alias("score"))
 
 
-@query("SELECT doc_id, replace(replace(left(text, 40), chr(0), ''), '\"', '\"\"') AS quoted FROM documents")
+@query("SELECT doc_id, replace(replace(text, chr(0), ''), '\"', '\"\"') AS quoted FROM documents")
 def fts_quote(spark, d):
-    """Whole texts (the SQL holds 40 characters of each)."""
     return table(spark, d, "documents").select("doc_id", F.replace(F.replace(F.col("text"), F.lit("\0"), F.lit("")), F.lit('"'), F.lit('""')).alias("quoted"))
 
 
@@ -238,18 +238,21 @@ def harvest_semantic_dedup(spark, d):
 # --- symbol graph ----------------------------------------------------------------------------------------------------
 
 _STRIP = r"""regexp_replace(regexp_replace(regexp_replace({0}, '(?s)/\*.*?\*/', ' ', 'g'), '"[^"\n]*"|''[^''\n]*''', '""', 'g'), '(//|#)[^\n]*', ' ', 'g')"""
+_ANY_LANG = "CASE regexp_extract(regexp_extract(path, '([^/]*)$', 1), '[^.]\\.([^.]+)$', 1) " + " ".join(f"WHEN '{e}' THEN '{x}'" for e, x in (T.TEXT_LANGUAGES | T.LANGUAGES).items()) + " END"
+_BY_LANG = f"CASE WHEN lang IS NULL OR lang IN ('php', 'hcl') THEN {_STRIP} WHEN lang IN ('python', 'ruby') THEN {_STRIP.replace('(//|#)', '#')} WHEN lang = 'sql' THEN {_STRIP.replace('(//|#)', '--')} ELSE {_STRIP.replace('(//|#)', '//')} END"
+_BUILTIN = "(" + " OR ".join(f"(lang = '{g}' AND {{0}} IN ({', '.join(repr(x) for x in X.builtins_of(g))}))" for g in ("rust", "python", "javascript", "jsx", "typescript", "tsx", "go", "php", "ruby", "csharp", "kotlin", "swift", "c", "cpp")) + f" OR {{0}} IN ({', '.join(repr(x) for x in X.NOT_CALLED)}))"
 _STOP = "[" + ", ".join(f"'{s}'" for s in G.STOP) + "]"
 _MENTION = rf"""list_filter(list_distinct_ordered, lambda x: length(x) BETWEEN 3 AND 50 AND NOT regexp_matches(x, '^[0-9]+$') AND NOT list_contains({_STOP}, x))[1:40]"""
-_NAMED = V.FILES + ",\n" + V.CHUNKS + ",\nnamed AS (SELECT f.path, c.* FROM chunks_v c JOIN files_v f USING (file_id))"
-_TOKENS = rf"""tok AS (SELECT chunk_id, path, name, unnest(regexp_extract_all({_STRIP.format('content')}, '\w+')) AS t,
-    generate_subscripts(regexp_extract_all({_STRIP.format('content')}, '\w+'), 1) AS pos FROM named),
+_NAMED = V.FILES + ",\n" + V.CHUNKS + ",\nnamed AS (SELECT f.path, c.*, " + _ANY_LANG + " AS lang FROM chunks_v c JOIN files_v f USING (file_id))"
+_TOKENS = rf"""bare AS MATERIALIZED (SELECT chunk_id, path, name, regexp_extract_all({_BY_LANG.format('content')}, '\w+') AS l FROM named),
+tok AS (SELECT chunk_id, path, name, unnest(l) AS t, generate_subscripts(l, 1) AS pos FROM bare),
 dist AS (SELECT chunk_id, path, name, t, min(pos) AS pos FROM tok GROUP BY ALL),
 kept AS (SELECT *, row_number() OVER (PARTITION BY chunk_id, path, name ORDER BY pos) AS rn FROM dist
   WHERE length(t) BETWEEN 3 AND 50 AND NOT regexp_matches(t, '^[0-9]+$') AND NOT list_contains({_STOP}, t)),
 mt AS (SELECT * FROM kept WHERE rn <= 40)"""
 _CALLS = rf"""calls AS (SELECT DISTINCT source_file, source_name, target_name FROM (
-  SELECT path AS source_file, name AS source_name, unnest(regexp_extract_all({_STRIP.format('content')}, '([A-Za-z_]\w*)\(', 1)) AS target_name FROM named WHERE name IS NOT NULL)
-  WHERE target_name NOT IN ({', '.join(f"'{b}'" for b in G.BUILTINS)}) AND target_name <> source_name)"""
+  SELECT path AS source_file, name AS source_name, lang, unnest(regexp_extract_all({_BY_LANG.format('content')}, '([A-Za-z_]\w*)\(', 1)) AS target_name FROM named WHERE name IS NOT NULL)
+  WHERE NOT coalesce({_BUILTIN.format('target_name')}, false) AND target_name <> source_name)"""
 
 
 def _named(spark: SparkSession, d: str) -> DataFrame:
@@ -258,7 +261,7 @@ def _named(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_NAMED}, {_TOKENS} SELECT chunk_id, path, count(*) AS n_tokens, string_agg(t, ',' ORDER BY rn) AS tokens FROM mt GROUP BY chunk_id, path")
 def mention_tokens(spark, d):
-    t = _named(spark, d).select("chunk_id", "path", G.mention_tokens(F.col("content")).alias("t")).where("size(t) > 0")
+    t = _named(spark, d).select("chunk_id", "path", G.mention_tokens(F.col("content"), language=T.lang_detect(F.col("path"))).alias("t")).where("size(t) > 0")
     return t.select("chunk_id", "path", F.size("t").cast("long").alias("n_tokens"), F.array_join("t", ",").alias("tokens"))
 
 
@@ -272,12 +275,40 @@ def edge_extract(spark, d):
     return G.call_edges(_named(spark, d)).select("source_file", "source_name", "target_name", "kind")
 
 
-@query(rf"""WITH {_NAMED} SELECT lang, count(*) AS n FROM (SELECT regexp_extract(path, '\.([^.]+)$', 1) AS lang,
-  unnest(regexp_extract_all({_STRIP.format('content')}, '([A-Za-z_]\w*)\(', 1)) AS t FROM named) WHERE t IN ({', '.join(f"'{b}'" for b in G.BUILTINS)}) GROUP BY lang""")
+@query(rf"""WITH {_NAMED} SELECT lang, t AS name, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all({_BY_LANG.format('content')}, '([A-Za-z_]\w*)\(', 1)) AS t FROM named)
+  WHERE {_BUILTIN.format('t')} GROUP BY lang, t""")
 def edge_builtin_filter(spark, d):
-    """How many calls are of built-ins, which make no edges, by extension."""
-    t = _named(spark, d).select(F.regexp_extract("path", r"\.([^.]+)$", 1).alias("lang"), F.explode(F.regexp_extract_all(G.strip_comments(F.col("content")), F.lit(r"([A-Za-z_]\w*)\("), 1)).alias("t"))
-    return t.where(F.col("t").isin(G.BUILTINS)).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    """Calls of built-ins, which make no edges, by language."""
+    lang = T.lang_detect(F.col("path"))
+    t = _named(spark, d).select(lang.alias("lang"), F.explode(F.regexp_extract_all(G.strip_comments(F.col("content"), lang), F.lit(r"([A-Za-z_]\w*)\("), 1)).alias("name"))
+    return t.where(G.is_builtin(F.col("name"), F.col("lang"))).groupBy("lang", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def edge_scopes(spark, d):
+    """Imports, base types, interfaces and calls of whole files with the definition around them."""
+    return X.file_edges(V.file_texts(spark, d))
+
+
+def _pattern_sql(kinds: tuple[str, ...]) -> str:
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    parts = [f"SELECT path, {q(k)} AS kind, unnest(regexp_extract_all(text, {q(p)}, 1)) AS found FROM (SELECT *, {_ANY_LANG} AS lang FROM texts_v) WHERE lang = {q(g)}"
+             for g in sorted({*X.EDGES, "jsx", "typescript", "tsx", "cpp"}) for k, p in X.edge_patterns(g) if k in kinds]
+    return f"WITH {V.FILES},\n{V.CHUNKS},\n{V.TEXTS} SELECT DISTINCT path, kind, found FROM ({' UNION ALL '.join(parts)})"
+
+
+@query(_pattern_sql(("imports",)))
+def edge_imports(spark, d):
+    """What the import lines of each file name, by the patterns of its language."""
+    return X.pattern_edges(V.file_texts(spark, d), "imports").select("path", F.lit("imports").alias("kind"), "found").distinct()
+
+
+@query(_pattern_sql(("extends", "implements")))
+def edge_inherits(spark, d):
+    """Base types and interfaces as they stand in the heads of types."""
+    t = V.file_texts(spark, d)
+    one = lambda k: X.pattern_edges(t, k).select("path", F.lit(k).alias("kind"), "found")
+    return one("extends").union(one("implements")).distinct()
 
 
 @query(r"""SELECT DISTINCT doc_id, trim(t) AS target_name FROM (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(

@@ -39,9 +39,8 @@ def flt_paths_under(spark, d):
     return V.files(spark, d).where(F.lower("path").startswith("src/")).select("file_id", "path")
 
 
-@query(r"SELECT doc_id, replace(replace(replace(left(text, 60), '\', '\\'), '%', '\%'), '_', '\_') AS escaped FROM documents")
+@query(r"SELECT doc_id, replace(replace(replace(text, '\', '\\'), '%', '\%'), '_', '\_') AS escaped FROM documents")
 def fn_escape_like(spark, d):
-    """Whole texts (the SQL holds 60 characters of each)."""
     c = F.col("text")
     for ch in ("\\", "%", "_"):
         c = F.replace(c, F.lit(ch), F.lit("\\" + ch))

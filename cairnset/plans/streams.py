@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cairnset.functions import harvest as H
 from cairnset.functions import text as T
 from cairnset.operators import deliveries as D
+from cairnset.plans import views as V
 from cairnset.plans.merging import _LIMIT
 from cairnset.plans.registry import registry
 from cairnset.session import cut, table
@@ -45,25 +46,24 @@ def stm_rate_limit_stream(spark, d):
     return S.drain(S.rate_limited(e, "user_id", "at", "event_id", 86_400, 3), S.shared_folder(spark, "limit"))
 
 
-@query("""WITH i AS (SELECT DISTINCT project, lower(remote_id) AS item FROM relay_pulled WHERE regexp_matches(lower(remote_id), '^[0-9a-f-]{36}$')),
-r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY item) AS rn FROM i), b AS (SELECT project, item FROM r WHERE rn <= 50)
-SELECT project, item, max(item) OVER (PARTITION BY project) AS "cursor" FROM b""")
+@query()
 def stm_relay(spark, d):
-    """Buffers of at most 10,000 items a session, drained until every message has entered (the SQL holds 50 ids a project, in one notation)."""
+    """Buffers of at most 10,000 items a session, drained until every message has entered."""
     p = table(spark, d, "relay_pulled").select("project", D.message_id(F.col("remote_id")).alias("item"))
     return S.relay_drained(p, "project", "item", 10_000, S.shared_folder(spark, "relay"))
 
 
-@query("""SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1, 2""")
+@query("""SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events
+GROUP BY 1, 2 HAVING min(time_bucket(INTERVAL 1 DAY, ts)) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def stm_windowed_counts(spark, d):
-    """Daily counts as an event-time stream: every day the watermark has passed (the SQL ends at the 20th)."""
+    """Daily counts as an event-time stream: every day the watermark has passed."""
     e = _events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
     folder = S.shared_folder(spark, "windows")
     w = S.drain(S.windowed_counts(e, "ts", "1 day", "event_type"), folder)
     return w.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-_SUBJECT = "s AS (SELECT doc_id, string_split(text, chr(10))[1] AS subject FROM documents WHERE lower(trim(source)) = 'commit_messages')"
+_SUBJECT = "s AS (SELECT doc_id, string_split(text, chr(10))[1] AS subject FROM documents WHERE " + V.SOURCE + " = 'commit_messages')"
 _has = lambda words: " OR ".join("contains(x, '" + w.replace("'", "''") + "')" for w in words)
 
 

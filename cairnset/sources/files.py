@@ -19,7 +19,7 @@ SENSITIVE = r"(^|/)(\.env(\..*)?|.*\.(pem|key|p12|pfx|jks|keystore|kdbx)|id_(rsa
 
 
 def glob_regex(pattern: str) -> str:
-    """An ignore-file pattern as an anchored expression over a whole path: a match on a directory covers what is below."""
+    """An ignore-file pattern as an anchored expression over a whole path; directories end in a slash."""
     body = pattern.strip("/")
     out, i = "", 0
     while i < len(body):
@@ -34,7 +34,7 @@ def glob_regex(pattern: str) -> str:
         else:
             out, i = out + re.escape(body[i]), i + 1
     anchored = "/" in body or pattern.startswith("/")
-    return ("^" if anchored else "^(?:.*/)?") + out + ("/.*$" if pattern.endswith("/") else "(?:/.*)?$")
+    return ("^" if anchored else "^(?:.*/)?") + out + ("/$" if pattern.endswith("/") else "/?$")
 
 
 def compile_rules(patterns: list[str]) -> list[tuple[str, str, bool]]:
@@ -42,11 +42,41 @@ def compile_rules(patterns: list[str]) -> list[tuple[str, str, bool]]:
     return [(p, glob_regex(p.lstrip("!")), p.startswith("!")) for p in patterns if p.strip() and not p.startswith("#")]
 
 
-def decide(path: Column, patterns: list[str]) -> Column:
-    """The pattern that excludes a path, or `keep`: the last rule that matches wins."""
-    out = F.lit("keep")
-    for pattern, rx, keeps in compile_rules(patterns):
-        out = F.when(path.rlike(rx), F.lit("keep" if keeps else pattern)).otherwise(out)
+def decide(path: Column, patterns: list[str], own: list[tuple[str, list[str]]] = ()) -> Column:
+    """The pattern that excludes a path, or `keep`: of the rules that match a path the last one wins.
+
+    A path is judged from its outermost directory inwards, and what lies in an excluded directory cannot be kept again. `own`:
+    further rules as (directory, patterns), outer directories first, which hold below their directory only.
+    """
+    rules = compile_rules(patterns)
+    for folder, more in own:
+        rules += [(p, "^" + re.escape(folder) + rx[1:], keeps) for p, rx, keeps in compile_rules(more)]
+
+    def judge(p: Column) -> Column:
+        out = F.lit("keep")
+        for pattern, rx, keeps in rules:
+            out = F.when(p.rlike(rx), F.lit("keep" if keeps else pattern)).otherwise(out)
+        return out
+
+    steps = F.split(path, "/")
+    parents = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.concat(F.array_join(F.slice(steps, F.lit(1), i), "/"), F.when(i < F.size(steps), "/").otherwise("")))
+    return F.coalesce(F.try_element_at(F.filter(F.transform(parents, judge), lambda x: x != "keep"), F.lit(1)), F.lit("keep"))
+
+
+def tree_rules(spark: SparkSession, root: str, names: tuple[str, ...] = (".gitignore", ".ignore"), depth: int = 16) -> list[tuple[str, list[str]]]:
+    """The rules of the ignore files of a tree, down to a depth: (directory with a closing slash, patterns), outer ones first."""
+    jvm, out = spark._jvm, []
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = fs.makeQualified(top).toString().rstrip("/")
+    for level in range(depth + 1):
+        for name in names:
+            for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(base + "/*" * level + "/" + name)) or []:
+                where = status.getPath().toString()
+                stream = fs.open(status.getPath())  # one configuration file; readers of tables skip hidden names
+                text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+                stream.close()
+                out.append((where[len(base) + 1:-len(name)], [x.rstrip() for x in text.splitlines()]))
     return out
 
 
@@ -54,12 +84,15 @@ def walkable(path: Column) -> Column:
     return ~F.lower(path).rlike(SENSITIVE) & T.lang_detect(path).isNotNull()
 
 
-def read_tree(spark: SparkSession, root: str, patterns: list[str] | None = None, max_bytes: int = 64 << 20) -> DataFrame:
-    """path, size, language, text of the files under a root that pass the rules; large and binary ones left out."""
+def read_tree(spark: SparkSession, root: str, patterns: list[str] | None = None, max_bytes: int = 64 << 20, max_rules: int = 5_000) -> DataFrame:
+    """path, size, language, text of the files under a root that pass the rules and its ignore files; large and binary ones left out."""
+    own = tree_rules(spark, root)
+    if sum(len(p) for _, p in own) > max_rules:
+        raise ValueError(f"more than {max_rules} ignore rules: index the tree part by part")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split("://")[-1]
     path = F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), "^" + re.escape(base) + "/", "")
     kept = raw.where(F.col("length") <= max_bytes).select(path.alias("path"), F.col("length").alias("size"), F.col("content").alias("bytes"))
-    fit = kept.where(walkable(F.col("path")) & (decide(F.col("path"), patterns if patterns is not None else DEFAULT_EXCLUDES) == "keep"))
+    fit = kept.where(walkable(F.col("path")) & (decide(F.col("path"), patterns if patterns is not None else DEFAULT_EXCLUDES, own) == "keep"))
     text = F.col("bytes").cast("string")
     return fit.select("path", "size", T.lang_detect(F.col("path")).alias("language"), text.alias("text")).where(~T.is_binary(F.col("text")))

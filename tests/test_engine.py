@@ -65,24 +65,30 @@ def test_memory_commands(spark, tmp_path):
     assert done == {"note": (3, True), "relationship": (1, True)}
 
 
-def test_ignore_rules():
-    import re
-
-    rules = files.compile_rules(files.DEFAULT_EXCLUDES + ["!keep.min.js", "docs/*.txt", "/only.py"])
+def test_ignore_rules(spark):
+    patterns = files.DEFAULT_EXCLUDES + ["!keep.min.js", "docs/*.txt", "/only.py", "!vendor/x.py", "build", "!build/"]
+    own = [("", ["*.log"]), ("sub/", ["!keep.log", "/here", "a/*.c"]), ("sub/deep/", ["keep.log"])]
 
     def decide(path):
-        out = "keep"
-        for pattern, rx, keeps in rules:
-            if re.search(rx, path):
-                out = "keep" if keeps else pattern
-        return out
+        return spark.createDataFrame([(path,)], "p string").select(files.decide(F.col("p"), patterns, own)).first()[0]
 
+    assert decide("vendor/x.py") == "vendor/" and decide("build/a.py") == "keep" and decide("a/build") == "build"
+    assert decide("x.log") == "*.log" and decide("sub/keep.log") == "keep" and decide("keep.log") == "*.log" and decide("sub/deep/keep.log") == "keep.log"
+    assert decide("sub/here/y.py") == "/here" and decide("sub/a/b.c") == "a/*.c" and decide("other/here/y.py") == "keep" and decide("a/b.c") == "keep"
     assert decide("a/b/x.min.js") == "*.min.js" and decide("a/keep.min.js") == "keep"
     assert decide("web/vendor/lib/x.js") == "vendor/" and decide("src/vendors/x.js") == "keep"
     assert decide("a/locales/de/x.json") == "**/locales/**/*.json" and decide("docs/a.txt") == "docs/*.txt" and decide("docs/sub/a.txt") == "keep"
     assert decide("only.py") == "/only.py" and decide("sub/only.py") == "keep"
 
 
+def test_ignore_files_of_a_tree(spark, tmp_path):
+    for name, text in {".gitignore": "*.tmp.py\nout/\n# no rule\n", "a.py": "x = 1\n", "b.tmp.py": "x", "out/c.py": "x", "sub/.gitignore": "!d.tmp.py\n", "sub/d.tmp.py": "y = 2\n"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    assert files.tree_rules(spark, str(tmp_path)) == [("", ["*.tmp.py", "out/", "# no rule"]), ("sub/", ["!d.tmp.py"])]
+    assert {r.path for r in files.read_tree(spark, str(tmp_path)).collect()} == {"a.py", "sub/d.tmp.py"}
+
+
 def test_office_documents(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
         z.writestr("word/document.xml", "<w:d xmlns:w='u'><w:p><w:t>one</w:t></w:p><w:p/><w:p><w:t>two</w:t><w:t> three</w:t></w:p></w:d>")

@@ -112,7 +112,10 @@ def test_mention_tokens_and_calls(spark):
     code = "// not_this\nfn run_all(abc) {\n  let s = \"in_string\"; /* block\n comment_word */ do_work(x1, 12345, ab);\n  print(do_work(run_all(abc)));\n}"
     df = spark.createDataFrame([("f.rs", "run_all", code), ("g.rs", None, code), ("h.rs", "x", None)], "path string, name string, content string")
     assert df.where("path = 'f.rs'").select(G.mention_tokens(F.col("content"))).first()[0] == ["run_all", "abc", "do_work", "print"]
-    assert {(r.source_name, r.target_name) for r in G.call_edges(df).collect()} == {("run_all", "do_work")}
+    # built-in names are those of the language
+    assert {(r.source_name, r.target_name) for r in G.call_edges(df).collect()} == {("run_all", "do_work"), ("run_all", "print")}
+    py = spark.createDataFrame([("f.py", "run_all", "def run_all():  # gone(1)\n    print(do_work(1)) // kept(2)\n")], df.schema)
+    assert {(r.source_name, r.target_name) for r in G.call_edges(py).collect()} == {("run_all", "do_work"), ("run_all", "kept")}
 
 
 def test_html_targets(spark):
