@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -63,16 +64,72 @@ def first_items(rows: DataFrame, by: str, order: str, item: Column, most: int, i
 def capped_sessions(turns: DataFrame, session: str, order: str, text: str, limit: int, mark: str) -> DataFrame:
     """session, text: a session's turns in order, blank lines between; beyond `limit` bytes cut between characters and marked.
 
-    No more turns than can fill the limit are gathered; the full length is a plain sum.
+    No more turns than can fill the limit are gathered; the full length is a plain sum. Sessions of which a turn holds a
+    secret, and blank ones, are left out.
     """
-    from cairnset.functions.text import truncate_bytes
+    from cairnset.functions.text import has_secret, truncate_bytes
 
+    held = turns.groupBy(session).agg(F.max(has_secret(F.coalesce(text, F.lit("")))).alias("secret"), F.max(F.trim(F.coalesce(text, F.lit(""))) != "").alias("said"))
+    turns = turns.join(held.where("said and not secret").select(session), session, "left_semi")
     body = first_items(turns, session, order, F.coalesce(text, F.lit("")), limit // 2 + 2, "__t")
     length = turns.groupBy(session).agg((F.sum(F.octet_length(F.coalesce(text, F.lit("")))) + 2 * (F.count(F.lit(1)) - 1)).alias("__n"))
     joined = body.join(length, session).withColumn("__x", F.array_join("__t", "\n\n"))
     return joined.select(session, F.when(F.col("__n") <= limit, F.col("__x")).otherwise(F.concat(truncate_bytes(F.col("__x"), limit), F.lit(mark))).alias("text"))
 
 
+def harvested(candidates: DataFrame, stored: DataFrame, known_refs: DataFrame | None, within: float, key: str, per_round: int = 10_000) -> DataFrame:
+    """key, verdict of candidates(key, embedding, source_ref) taken in one after the other, in the order of their keys.
+
+    `harvested`: its source_ref is in `known_refs(source_ref)` or came with one taken in before; `similar`: nearer than `within` to a
+    stored vector or to one taken in before; else `stored`, and later ones are compared with it. The distances to what is stored
+    come from the block search; the candidates themselves, at most `per_round` of them in a task, are walked in order, and
+    further rounds count those taken in before as stored. A null source_ref is none.
+    """
+    from cairnset.operators.retrieval import near_in_blocks
+    from cairnset.session import cut
+
+    kind = candidates.schema[key].dataType.simpleString()
+    refs = known_refs.select("source_ref").distinct() if known_refs is not None else None
+    ordered = cut(candidates.select(key, "embedding", "source_ref"))
+    n, done = ordered.count(), None
+    # a round ends at a key: all keys up to it are taken in together
+    edges = ordered.select(key).orderBy(key).toArrow().column(0).to_pylist()[per_round - 1::per_round] if n > per_round else []
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key, kind="stable")
+        taken, seen, out = [], set(), []
+        for vector, ref, near, known in zip(pdf["embedding"], pdf["source_ref"], pdf["near"], pdf["known"]):
+            x = np.asarray(vector, np.float64)
+            if known or (ref is not None and ref in seen):
+                out.append("harvested")
+            elif near or (taken and np.sqrt(((np.stack(taken) - x) ** 2).sum(1)).min() < within):
+                out.append("similar")
+            else:
+                out.append("stored")
+                taken.append(x)
+                seen.add(ref)
+        return pd.DataFrame({key: pdf[key], "verdict": out})
+
+    base = stored.select(key, "embedding")
+    for low, high in zip([None, *edges], [*edges, None]):
+        part = ordered if low is None else ordered.where(F.col(key) > F.lit(low))
+        part = part if high is None else part.where(F.col(key) <= F.lit(high))
+        close = near_in_blocks(part, base, within, 1, key).where(F.col("distance") < within).select(F.col("id_a").alias(key), F.lit(True).alias("near"))
+        rows = part.join(close, key, "left")
+        rows = rows.join(refs.withColumn("known", F.lit(True)), "source_ref", "left") if refs is not None else rows.withColumn("known", F.lit(None).cast("boolean"))
+        rows = rows.select(key, "embedding", "source_ref", F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("known", F.lit(False)).alias("known"))
+        verdict = rows.groupBy(F.lit(0).alias("all")).applyInPandas(walk, f"{key} {kind}, verdict string")
+        if n <= per_round:
+            return verdict
+        verdict = cut(verdict)
+        fresh = part.join(verdict.where("verdict = 'stored'"), key)
+        base = base.unionByName(fresh.select(key, "embedding"))
+        new_refs = fresh.select("source_ref").where("source_ref is not null")
+        refs = new_refs.distinct() if refs is None else refs.union(new_refs).distinct()
+        done = verdict if done is None else done.union(verdict)
+    return done
+
+
 def blend_rate(old: tuple[int, float], sample: float) -> tuple[int, float]:
     """(samples seen, rate): the first seeds, the second takes nine tenths, later ones half."""
     n, rate = old

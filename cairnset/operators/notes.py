@@ -24,6 +24,60 @@ def insert_or_ignore(old: DataFrame, new: DataFrame, key: list[str]) -> DataFram
     return old.unionByName(first.join(old, key, "left_anti").select(*old.columns))
 
 
+def provenance(model: Column, dim: Column, own_model: str, own_dim: int) -> Column:
+    """ok, adopt (no model known yet) or why vectors may not be mixed into an index of one model and dimension."""
+    return F.when(dim != own_dim, "error: dimension").when(model.isNull(), "adopt").when(model != own_model, "error: model").otherwise("ok")
+
+
+def require_provenance(vectors: DataFrame, own_model: str, own_dim: int) -> DataFrame:
+    """vectors(model, embedding) as they are; the job fails at the first that may not be mixed in."""
+    verdict = provenance(F.col("model"), F.size("embedding"), own_model, own_dim)
+    return vectors.where(F.assert_true(~verdict.startswith("error"), F.concat(F.lit("vectors of another index: "), verdict)).isNull())
+
+
+def insert_idempotent(stored: DataFrame, new: DataFrame, entity: str = "entity_id") -> DataFrame:
+    """entity, id, created, tags, linked_files: a known entity keeps its id and unites its lists with those that come again."""
+    rows = stored.select(entity, "id", "tags", "linked_files", F.lit(0).alias("late")).unionByName(new.select(entity, "id", "tags", "linked_files", F.lit(1).alias("late")))
+    first = rows.groupBy(entity).agg(F.min(F.struct("late", "id")).alias("f"))
+    aged = F.struct("late", "id")
+    united = first.join(_united(rows, entity, "tags", aged).withColumnRenamed("id", entity), entity, "left").join(_united(rows, entity, "linked_files", aged).withColumnRenamed("id", entity), entity, "left")
+    return united.select(entity, "f.id", (F.col("f.late") == 1).alias("created"), F.col("m_tags").alias("tags"), F.col("m_linked_files").alias("linked_files"))
+
+
+def apply_remote(stored: DataFrame, remote: DataFrame) -> DataFrame:
+    """remote_id, entity_id, action, id, archived for remote(remote_id, entity_id, archived, at): what each remote note does to the store.
+
+    known: a note has the remote id; linked: a note, or an earlier remote row, has the content, and takes the remote id;
+    created: it is new. Archived sticks over all copies of a remote id.
+    """
+    once = remote.where("remote_id is not null").groupBy("remote_id").agg(F.min(F.struct("at", "entity_id")).alias("f"), F.max(F.coalesce("archived", F.lit(False))).alias("archived"))
+    rows = once.select("remote_id", "f.entity_id", "f.at", "archived")
+    by_remote = stored.where("remote_id is not null").groupBy("remote_id").agg(F.min("id").alias("known_id"))
+    by_entity = stored.where("entity_id is not null").groupBy("entity_id").agg(F.min("id").alias("linked_id"))
+    one = salted_join(rows.join(by_remote, "remote_id", "left"), by_entity, "entity_id", "left")
+    fresh = one.where("known_id is null and linked_id is null").groupBy("entity_id").agg(F.min(F.struct("at", "remote_id")).remote_id.alias("first_remote"))
+    all_ = salted_join(one, fresh, "entity_id", "left")
+    made = F.col("linked_id").isNull() & (F.col("remote_id") == F.col("first_remote"))
+    return all_.select("remote_id", "entity_id", F.when(F.col("known_id").isNotNull(), "known").when(made, "created").otherwise("linked").alias("action"), F.coalesce("known_id", "linked_id").alias("id"), "archived")
+
+
+def collapse(notes: DataFrame, entity: str = "entity_id") -> DataFrame:
+    """One row per entity: archived sticks, the earliest created_at, united lists, rows, and the entity that supersedes it.
+
+    The pointer is that of the earliest archived copy that has one; pointers at notes unknown here give `unresolved`, those at
+    the entity itself give none.
+    """
+    aged = F.struct("created_at", "id")
+    plain = notes.groupBy(entity).agg(F.max(F.col("status") == "archived").alias("archived"), F.min("created_at").alias("created_at"), F.count(F.lit(1)).alias("rows"),
+                                      F.min_by("superseded_by", F.when((F.col("status") == "archived") & F.col("superseded_by").isNotNull(), aged)).alias("pointer"))
+    names = notes.select(F.col("id").alias("pointer"), F.col(entity).alias("to_entity"))
+    linked = salted_join(plain, names, "pointer", "left")
+    lists = lambda f: _united(notes, entity, f, aged).withColumnRenamed("id", entity)
+    full = linked.join(lists("tags"), entity, "left").join(lists("linked_files"), entity, "left")
+    return full.select(entity, "archived", "created_at", "rows", F.col("m_tags").alias("tags"), F.col("m_linked_files").alias("linked_files"),
+                       F.when(F.col("to_entity") != F.col(entity), F.col("to_entity")).alias("superseded_by_entity"), (F.col("pointer").isNotNull() & F.col("to_entity").isNull()).alias("unresolved"))
+
+
 def replace_where(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Delete then insert: old rows whose key comes again are dropped, all new rows enter."""
     return old.join(new.select(*key).distinct(), key, "left_anti").select(*old.columns).unionByName(new)

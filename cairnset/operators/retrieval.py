@@ -171,6 +171,31 @@ def budget_pack(hits: DataFrame, budget: int, order: list[str], stop_below: int
     return flagged.where("z.takes = 1").select("z.all.r.*")
 
 
+#: Kinds in the order in which they compete for a budget; other kinds come after them, conventions last.
+PACK_PRIORITY = ["decision", "requirement", "handoff", "question"]
+
+
+def context_pack(notes: DataFrame, conventions: DataFrame, budget: int, caps: dict[str, int], default: int) -> DataFrame:
+    """What of the capped sections and of conventions(category, description) fits a token budget: source, ref, kind, tokens.
+
+    Greedy: sections by the priority of their kind, latest notes first, what does not fit is skipped and the next one tried.
+    """
+    place = {k: i for i, k in enumerate(PACK_PRIORITY)}
+    rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in place.items() for x in p]), F.col("kind")), F.lit(len(place)))
+    kept = section_cap(notes, caps, default).select(
+        F.lit("note").alias("source"), F.col("id").cast("string").alias("ref"), "kind", rank.alias("prio"), F.when(rank == len(place), F.col("kind")).otherwise("").alias("other"), "place",
+        (T.tok_estimate(F.coalesce("title", F.lit(""))) + T.tok_estimate(F.coalesce("body", F.lit("")))).cast("long").alias("tokens"))
+    rules = conventions.select(
+        F.lit("convention").alias("source"), F.col("description").alias("ref"), F.col("category").alias("kind"), F.lit(len(place) + 1).alias("prio"), F.lit("").alias("other"), F.lit(0).alias("place"),
+        (T.tok_estimate(F.col("category")) + T.tok_estimate(F.col("description"))).cast("long").alias("tokens"))
+    return budget_pack(kept.unionByName(rules), budget, ["prio", "other", "place", "kind", "ref"], stop_below=0).select("source", "ref", "kind", "tokens")
+
+
+def coverage(embedded: Column, total: Column, auto: Column) -> Column:
+    """How far an index is embedded: complete (or nothing to embed), partial, and without any: to the live search in auto mode, else an error."""
+    return F.when(embedded >= total, "complete").when(embedded > 0, "partial").when(auto, "zero_falls_back").otherwise("zero_is_an_error")
+
+
 def section_cap(notes: DataFrame, caps: dict[str, int], default: int) -> DataFrame:
     """The latest notes of each kind, up to the kind's cap."""
     cap = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in caps.items() for x in p]), F.col("kind")), F.lit(default))

@@ -72,12 +72,17 @@ def _old_new(spark, d):
     return n.where("status = 'archived'"), n.where("status = 'active'")
 
 
-@query(w(V.NOTES, _OLD, _NEW, then="""SELECT entity, bool_or(src = 1) AS existed, count(*) AS copies, min(id) AS id FROM (SELECT *, 1 AS src FROM old UNION ALL SELECT *, 0 FROM new) GROUP BY entity"""))
+_LISTED = "list_sort(list_distinct(flatten(list({0}) FILTER ({0} IS NOT NULL))))"
+_CLEAN = "list_filter(list_transform({0}, lambda x: trim(x)), lambda x: x IS NOT NULL AND x <> '')"
+
+
+@query(w(V.NOTES, then=f"""SELECT entity, arg_min(id, (late, id)) AS id, min(late) = 1 AS created, nullif(array_to_string({_LISTED.format(_CLEAN.format('tags'))}, '|'), '') AS tags FROM (
+  SELECT coalesce(entity_id, 'e' || id) AS entity, id, tags, CASE WHEN status = 'archived' THEN 0 ELSE 1 END AS late FROM notes_v) GROUP BY entity"""))
 def insert_idempotent(spark, d):
-    """New notes against stored ones by entity: a known entity keeps its row, others are created."""
-    old, new = _old_new(spark, d)
-    both = old.withColumn("src", F.lit(1)).unionByName(new.withColumn("src", F.lit(0)))
-    return both.groupBy("entity").agg((F.max("src") == 1).alias("existed"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("id"))
+    """New notes (the active ones) against stored ones by entity: a known entity keeps its id and unites its lists."""
+    n = V.notes(spark, d).select("id", "tags", "linked_files", "status", F.coalesce("entity_id", F.concat(F.lit("e"), F.col("id").cast("string"))).alias("entity"))
+    out = N.insert_idempotent(n.where("status = 'archived'"), n.where("status <> 'archived'"), "entity")
+    return out.select("entity", "id", "created", F.nullif(F.array_join(F.array_sort("tags"), "|"), F.lit("")).alias("tags"))
 
 
 @query(w(V.FILES, then="""SELECT coalesce(n.file_id, o.file_id) AS file_id, coalesce(n.hash, o.hash) AS hash, coalesce(n.mtime, o.mtime) AS mtime FROM (SELECT * FROM files_v WHERE indexed_at < 1775000000) o
@@ -199,11 +204,14 @@ def anchor_commits(spark, d):
     return N.anchor_commits(_log(spark, d))
 
 
-@query(r"""WITH s AS (SELECT project, lower(trim(kind)) AS kind, title, archived, TRY_CAST(created_at AS TIMESTAMPTZ) AS t FROM relay_pulled)
-SELECT kind, title, bool_or(archived) AS archived, count(*) AS copies, count(DISTINCT project) AS projects FROM s GROUP BY kind, title""")
+@query(w(V.NOTES, then=f"""SELECT c.entity, c.archived, c.created_at, c.rows, c.tags, CASE WHEN p.entity <> c.entity THEN p.entity END AS superseded_by_entity, c.pointer IS NOT NULL AND p.entity IS NULL AS unresolved FROM (
+  SELECT entity, bool_or(status = 'archived') AS archived, min(created_at) AS created_at, count(*) AS rows, nullif(array_to_string({_LISTED.format(_CLEAN.format('tags'))}, '|'), '') AS tags,
+    arg_min(superseded_by, (created_at, id)) FILTER (status = 'archived' AND superseded_by IS NOT NULL) AS pointer
+  FROM (SELECT *, lower(kind || '/' || title) AS entity FROM notes_v) GROUP BY entity) c LEFT JOIN (SELECT id, lower(kind || '/' || title) AS entity FROM notes_v) p ON p.id = c.pointer"""))
 def reconcile_collapse(spark, d):
-    s = table(spark, d, "relay_pulled").withColumn("kind", F.lower(F.trim("kind")))
-    return s.groupBy("kind", "title").agg(F.max("archived").alias("archived"), F.count(F.lit(1)).alias("copies"), F.countDistinct("project").alias("projects"))
+    """Copies of one entry in one row, with the entity that supersedes it."""
+    n = V.notes(spark, d).withColumn("entity", F.lower(F.concat_ws("/", "kind", "title")))
+    return N.collapse(n, "entity").select("entity", "archived", "created_at", "rows", F.nullif(F.array_join(F.array_sort("tags"), "|"), F.lit("")).alias("tags"), "superseded_by_entity", "unresolved")
 
 
 @query("""WITH r AS (SELECT DISTINCT kind, title, body FROM relay_pulled WHERE body IS NOT NULL), n AS (SELECT DISTINCT kind, title, body FROM notes)
@@ -245,13 +253,18 @@ def cross_project_notes(spark, d):
     return n.withColumn("rn", place).where("rn <= 500").select("id", "kind")
 
 
-@query(w(V.NOTES, then="""SELECT n.id, coalesce(r.archived, false) OR n.status = 'archived' AS archived, r.remote_id IS NOT NULL AS pulled FROM notes_v n LEFT JOIN (
-  SELECT lower(trim(remote_id)) AS remote_id, bool_or(archived) AS archived FROM relay_pulled WHERE remote_id IS NOT NULL GROUP BY 1) r ON r.remote_id = n.remote_id"""))
+@query(w(V.NOTES, then="""SELECT remote_id, entity_id, CASE WHEN known IS NOT NULL THEN 'known' WHEN linked IS NULL AND rn = 1 THEN 'created' ELSE 'linked' END AS action, coalesce(known, linked) AS id, archived FROM (
+  SELECT *, row_number() OVER (PARTITION BY known IS NULL AND linked IS NULL, entity_id ORDER BY seen, remote_id) AS rn FROM (
+    SELECT r.*, k.id AS known, l.id AS linked FROM (
+      SELECT remote_id, arg_min(entity, (seen, entity)) AS entity_id, min(seen) AS seen, bool_or(coalesce(archived, false)) AS archived FROM (
+        SELECT lower(trim(remote_id)) AS remote_id, sha256(kind || '/' || title || '/' || coalesce(body, '')) AS entity, received_at AS seen, archived FROM relay_pulled WHERE remote_id IS NOT NULL) GROUP BY remote_id) r
+    LEFT JOIN (SELECT remote_id, min(id) AS id FROM notes_v WHERE remote_id IS NOT NULL GROUP BY remote_id) k USING (remote_id)
+    LEFT JOIN (SELECT sha256(kind || '/' || title || '/' || coalesce(body, '')) AS entity_id, min(id) AS id FROM notes_v GROUP BY 1) l USING (entity_id)))"""))
 def sync_apply_remote(spark, d):
-    """Pulled rows onto stored notes by remote id; archived propagates."""
-    r = table(spark, d, "relay_pulled").where("remote_id is not null").groupBy(F.lower(F.trim("remote_id")).alias("remote_id")).agg(F.max("archived").alias("r_archived"), F.lit(True).alias("pulled"))
-    n = V.notes(spark, d).join(r, "remote_id", "left")
-    return n.select("id", (F.coalesce("r_archived", F.lit(False)) | (F.col("status") == "archived")).alias("archived"), F.coalesce("pulled", F.lit(False)).alias("pulled"))
+    """Pulled rows onto stored notes: by remote id, else by content, else new; archived propagates."""
+    entity = F.sha2(F.concat_ws("/", "kind", "title", F.coalesce("body", F.lit(""))), 256)
+    r = table(spark, d, "relay_pulled").select(F.lower(F.trim("remote_id")).alias("remote_id"), entity.alias("entity_id"), F.col("received_at").alias("at"), "archived")
+    return N.apply_remote(V.notes(spark, d).select("id", "remote_id", entity.alias("entity_id")), r)
 
 
 @query(w(V.NOTES, then="SELECT id, (row_number() OVER (ORDER BY created_at, id) - 1) // 50 AS batch FROM notes_v WHERE status = 'active' AND remote_id IS NULL"))
@@ -288,11 +301,13 @@ def dml_rows(spark, d):
     return n.select("id", F.coalesce("remote_id", F.concat(F.lit("r"), F.col("id").cast("string"))).alias("remote_id"), F.when(F.col("status") != "active", F.col("superseded_by")).alias("superseded_by"))
 
 
-@query("SELECT len(vector) AS dim, count(*) AS n, len(vector) = 64 AS fits FROM embed_vectors WHERE vector IS NOT NULL GROUP BY len(vector)")
+@query("""SELECT model, dim, CASE WHEN dim <> 64 THEN 'error: dimension' WHEN model = 'none' THEN 'adopt' WHEN model <> 'm0' THEN 'error: model' ELSE 'ok' END AS verdict, count(*) AS n FROM (
+  SELECT len(vector) AS dim, CASE WHEN chunk_id < '4' THEN 'none' WHEN chunk_id < 'e' THEN 'm0' ELSE 'm1' END AS model FROM embed_vectors WHERE vector IS NOT NULL) GROUP BY model, dim""")
 def guard_provenance(spark, d):
-    """Which vectors fit the dimension the index was built for."""
-    v = table(spark, d, "embed_vectors").where("vector is not null").select(F.size("vector").cast("long").alias("dim"))
-    return v.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).withColumn("fits", F.col("dim") == 64)
+    """Whether vectors may enter an index of 64 numbers of model m0; an unset model is adopted (models dealt by id, to have some)."""
+    model = F.when(F.col("chunk_id") < "4", "none").when(F.col("chunk_id") < "e", "m0").otherwise("m1")
+    v = table(spark, d, "embed_vectors").where("vector is not null").select(F.size("vector").cast("long").alias("dim"), model.alias("model"))
+    return v.groupBy("model", "dim").agg(F.count(F.lit(1)).alias("n")).withColumn("verdict", N.provenance(F.nullif(F.col("model"), F.lit("none")), F.col("dim"), "m0", 64))
 
 
 @query("SELECT DISTINCT chunk_id FROM embed_vectors WHERE vector IS NULL OR len(vector) <> 64")

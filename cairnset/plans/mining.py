@@ -281,10 +281,12 @@ def fn_parse_as_of(spark, d):
     return o.select("day", T.parse_as_of(F.col("day")).alias("from_date"), T.parse_as_of(F.concat("day", F.lit("T10:00Z"))).alias("from_time"))
 
 
-@query("SELECT DISTINCT chunk_id, sha256(content) AS hash FROM embed_chunks WHERE content IS NOT NULL")
+@query(w(V.FILES, V.CHUNKS, V.TEXTS, then="SELECT file_id, sha256(text) AS hash, sha256(text) IS DISTINCT FROM CASE WHEN mtime > 0 THEN sha256(text) ELSE hash END AS stale FROM texts_v JOIN files_v USING (file_id)"))
 def fn_blake3_stale(spark, d):
-    """A stable content hash to compare with a stored one (any will do; Spark has SHA-256)."""
-    return table(spark, d, "embed_chunks").where("content is not null").select("chunk_id", F.sha2("content", 256).alias("hash")).distinct()
+    """A stable content hash of each file against the stored one (any will do; Spark has SHA-256). Files with a time count as stored with it."""
+    t = V.file_texts(spark, d).select("file_id", F.sha2("text", 256).alias("now")).join(V.files(spark, d).select("file_id", "hash", "mtime"), "file_id")
+    stored = F.when(F.col("mtime") > 0, F.col("now")).otherwise(F.col("hash"))
+    return t.select("file_id", F.col("now").alias("hash"), (~F.col("now").eqNullSafe(stored)).alias("stale"))
 
 
 @query(w(V.NOTES, then="SELECT id, substr(list_filter(list_concat(tags, ['git:' || coalesce(source_ref, 'none')]), lambda x: starts_with(x, 'git:'))[1], 5) AS sha FROM notes_v WHERE tags IS NOT NULL"))

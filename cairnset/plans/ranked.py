@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnset.functions import harvest as H
 from cairnset.functions import text as T
 from cairnset.operators import retrieval as R
 from cairnset.operators import symbols as G
@@ -196,10 +197,22 @@ def budget_pack(spark, d):
     return R.budget_pack(_hits(spark, d), 4000, ["rn"]).select(F.col("rn").cast("long").alias("rn"), "doc_id", "tokens")
 
 
-@query(f"WITH RECURSIVE {_DOC_BM}, " + _PACK_SQL.format(budget=1500, stop=0))
+_EST = "greatest(1, length(coalesce({0}, '')) // 4)"
+
+
+@query("WITH RECURSIVE " + V.NOTES + f""", c AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY created_at DESC, id) AS place FROM notes_v WHERE status = 'active'),
+h AS (SELECT *, row_number() OVER (ORDER BY prio, other, place, kind, ref) AS rn FROM (
+  SELECT 'note' AS source, CAST(id AS VARCHAR) AS ref, kind, CASE kind WHEN 'decision' THEN 0 WHEN 'requirement' THEN 1 WHEN 'handoff' THEN 2 WHEN 'question' THEN 3 ELSE 4 END AS prio,
+    CASE WHEN kind IN ('decision', 'requirement', 'handoff', 'question') THEN '' ELSE kind END AS other, place, {_EST.format('title')} + {_EST.format('body')} AS tokens
+  FROM c WHERE place <= CASE kind WHEN 'handoff' THEN 3 WHEN 'question' THEN 10 WHEN 'decision' THEN 10 WHEN 'requirement' THEN 10 ELSE 20 END
+  UNION ALL SELECT DISTINCT 'convention', 'texts in ' || lang, 'language', 5, '', 0, {_EST.format("'language'")} + {_EST.format("'texts in ' || lang")} FROM documents WHERE lang IS NOT NULL)),
+g(rn, remaining, take, source, ref, kind, tokens) AS (SELECT CAST(0 AS BIGINT), CAST(1500 AS BIGINT), false, '', '', '', CAST(0 AS BIGINT)
+  UNION ALL SELECT h.rn, CASE WHEN h.tokens <= g.remaining THEN g.remaining - h.tokens ELSE g.remaining END, h.tokens <= g.remaining, h.source, h.ref, h.kind, h.tokens FROM g JOIN h ON h.rn = g.rn + 1)
+SELECT source, ref, kind, tokens FROM g WHERE take""")
 def budget_pack_context(spark, d):
-    """The same without an early stop."""
-    return R.budget_pack(_hits(spark, d), 1500, ["rn"], stop_below=0).select(F.col("rn").cast("long").alias("rn"), "doc_id", "tokens")
+    """Sections by the priority of their kind, then conventions, in a token budget."""
+    rules = table(spark, d, "documents").where("lang is not null").select(F.lit("language").alias("category"), F.concat(F.lit("texts in "), F.col("lang")).alias("description")).distinct()
+    return R.context_pack(R.as_of(V.notes(spark, d), None), rules, 1500, {"handoff": 3, "question": 10, "decision": 10, "requirement": 10}, 20)
 
 
 @query("WITH " + V.NOTES + """, r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY created_at DESC, id) AS place FROM notes_v WHERE status = 'active')
@@ -208,31 +221,47 @@ def section_cap(spark, d):
     return R.section_cap(R.as_of(V.notes(spark, d), None), {"handoff": 3, "question": 10, "decision": 10, "requirement": 10}, 20).select("id", "kind", "place")
 
 
-@query(f"""WITH {_KNNF}, p AS (SELECT label AS slot, 'own' AS project, distance, vec_id FROM kf WHERE label < 5
-  UNION ALL SELECT label - 5, 'dep', distance, vec_id FROM kf WHERE label >= 5)
-SELECT slot, project, vec_id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY round(distance, 9), vec_id) AS rn FROM p) WHERE rn = 1
-ORDER BY round(distance, 9), vec_id LIMIT 20""")
+_PLACED = f"""{V.FILES}, {V.CHUNKS}, {_USABLE}, qv AS (SELECT emb FROM u WHERE chunk_id = (SELECT min(chunk_id) FROM u)),
+near AS (SELECT f.project, f.path, c.start_line, c.end_line, c.chunk_id, list_distance(u.emb, qv.emb) AS distance FROM u JOIN chunks_v c USING (chunk_id) JOIN files_v f USING (file_id), qv),
+got AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY round(distance, 9), chunk_id) AS rn FROM near WHERE project IN ('lantern', 'mossgate', 'tidepool')) WHERE rn <= 40)"""
+
+
+@query(f"""WITH {_PLACED} SELECT project, chunk_id, path, start_line, end_line, round(distance, 6) AS distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY path, start_line, end_line ORDER BY round(distance, 9), chunk_id) AS one FROM got) WHERE one = 1 ORDER BY round(distance, 9), chunk_id LIMIT 20""")
 def multi_db_merge(spark, d):
-    q = R._literal(_vector(spark, d))
-    e = table(spark, d, "embeddings").select("vec_id", "label", R.l2(F.col("embedding"), q).alias("distance"))
-    parts = [e.where("label < 5").withColumns({"project": F.lit("own"), "slot": F.col("label")}), e.where("label >= 5").withColumns({"project": F.lit("dep"), "slot": F.col("label") - 5})]
-    return R.merge_sources(parts, ["slot"], "distance", 20, ["vec_id"]).select("slot", "project", "vec_id", F.round("distance", 6).alias("distance"))
+    """A project and two it depends on: twice as many hits of each as asked for, the nearest of each place, then the limit."""
+    v = cut(_chunk_vectors(spark, d))
+    q = R._literal(v.orderBy("chunk_id").select("embedding").first().embedding)
+    places = V.chunks(spark, d).select("chunk_id", "file_id", "start_line", "end_line").join(V.files(spark, d).select("file_id", "project", "path"), "file_id")
+    hits = places.join(v, "chunk_id").select("project", "chunk_id", "path", "start_line", "end_line", R.l2(F.col("embedding"), q).alias("distance"))
+    limit = 20
+    fetch = max(2 * limit, limit + 10)
+    parts = [hits.where(F.col("project") == p).orderBy(F.round("distance", 9), "chunk_id").limit(fetch) for p in ("lantern", "mossgate", "tidepool")]
+    return R.merge_sources(parts, ["path", "start_line", "end_line"], "distance", limit, ["chunk_id"]).withColumn("distance", F.round("distance", 6))
 
 
-@query("""SELECT source, CASE WHEN total = 0 OR embedded = 0 THEN 'none' WHEN embedded = total THEN 'complete' ELSE 'partial' END AS coverage, embedded, total FROM (
-  SELECT lower(trim(source)) AS source, count(*) AS total, count(e.vec_id) AS embedded FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id GROUP BY 1)""")
+@query("""SELECT source, auto, CASE WHEN embedded >= total THEN 'complete' WHEN embedded > 0 THEN 'partial' WHEN auto THEN 'zero_falls_back' ELSE 'zero_is_an_error' END AS coverage, embedded, total FROM (
+  SELECT lower(trim(source)) AS source, count(*) AS total, count(e.vec_id) AS embedded FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id + 400 GROUP BY 1), (SELECT unnest([true, false]) AS auto)""")
 def coverage_disposition(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.lower(F.trim("source")).alias("source"))
+    """Both modes for each source."""
+    docs = table(spark, d, "documents").select((F.col("doc_id") + 400).alias("doc_id"), F.lower(F.trim("source")).alias("source"))
     g = docs.join(_by_doc(spark, d).select("doc_id", F.lit(1).alias("has")), "doc_id", "left").groupBy("source").agg(F.count(F.lit(1)).alias("total"), F.count("has").alias("embedded"))
-    return g.select("source", F.when((F.col("total") == 0) | (F.col("embedded") == 0), "none").when(F.col("embedded") == F.col("total"), "complete").otherwise("partial").alias("coverage"), "embedded", "total")
-
-
-@query(f"""WITH {_USABLE}, n AS (SELECT a.chunk_id AS id, min(list_distance(a.emb, b.emb)) AS nearest FROM (SELECT * FROM u WHERE ('0x' || right(chunk_id, 8))::BIGINT % 50 = 0) a JOIN u b ON b.chunk_id < a.chunk_id GROUP BY a.chunk_id)
-SELECT id, round(nearest, 6) AS nearest FROM n WHERE nearest < 0.25""")
+    both = g.withColumn("auto", F.explode(F.array(F.lit(True), F.lit(False))))
+    return both.select("source", "auto", R.coverage(F.col("embedded"), F.col("total"), F.col("auto")).alias("coverage"), "embedded", "total")
+
+
+@query(f"""WITH RECURSIVE {_USABLE}, {V.CHUNKS}, x AS (SELECT chunk_id, emb, 'f' || (file_id // 2) AS ref, ('0x' || right(chunk_id, 8))::BIGINT % 50 = 0 AS asked FROM u JOIN chunks_v USING (chunk_id)),
+k AS (SELECT *, row_number() OVER (ORDER BY chunk_id) AS rn FROM x WHERE asked),
+near AS MATERIALIZED (SELECT k.rn, min(list_distance(k.emb, o.emb)) AS stored FROM k JOIN x o ON NOT o.asked GROUP BY k.rn),
+g(rn, chunk_id, verdict, embs, refs) AS (SELECT CAST(0 AS BIGINT), '', '', CAST([] AS DOUBLE[][]), CAST([] AS VARCHAR[])
+  UNION ALL SELECT rn, chunk_id, verdict, CASE WHEN verdict = 'stored' THEN list_append(embs, emb) ELSE embs END, CASE WHEN verdict = 'stored' THEN list_append(refs, ref) ELSE refs END FROM (
+    SELECT k.rn, k.chunk_id, k.emb, k.ref, g.embs, g.refs, CASE WHEN list_contains(g.refs, k.ref) THEN 'harvested' WHEN n.stored < 0.6 OR list_min(list_transform(g.embs, lambda e: list_distance(e, k.emb))) < 0.6 THEN 'similar' ELSE 'stored' END AS verdict
+    FROM g JOIN k ON k.rn = g.rn + 1 JOIN near n ON n.rn = k.rn))
+SELECT chunk_id, verdict FROM g WHERE rn > 0""")
 def harvest_semantic_dedup(spark, d):
-    """Candidates (every chunk whose id is divisible by 50) within a distance of an earlier chunk."""
-    v = cut(_chunk_vectors(spark, d))
-    return R.nearest_earlier(v.where(_FIFTIETH), v, 0.25, key="chunk_id").withColumn("nearest", F.round("nearest", 6))
+    """Candidates (every chunk whose id is divisible by 50) one after the other against all other chunks and those taken in before."""
+    v = cut(_chunk_vectors(spark, d).join(V.chunks(spark, d).select("chunk_id", F.concat(F.lit("f"), F.floor(F.col("file_id") / 2).cast("string")).alias("source_ref")), "chunk_id"))
+    return H.harvested(v.where(_FIFTIETH), v.where(f"not ({_FIFTIETH})"), None, 0.6, "chunk_id").select("chunk_id", "verdict")
 
 
 # --- symbol graph ----------------------------------------------------------------------------------------------------

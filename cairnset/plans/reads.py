@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cairnset.functions import text as T
 from cairnset.operators import notes as N
 from cairnset.operators import retrieval as R
+from cairnset.operators import specs as S
 from cairnset.operators import symbols as G
 from cairnset.plans import views as V
 from cairnset.plans.registry import registry
@@ -242,29 +243,38 @@ def join_exists(spark, d):
     return V.files(spark, d).join(V.chunks(spark, d), "file_id", "left_semi").select("file_id", "path")
 
 
-_SPECS = """specs AS (SELECT 'S-' || dir AS title, dir AS linked FROM (SELECT unnest(['src/', 'Lib/', 'docs/', 'tests/']) AS dir))"""
-_SPEC_ROWS = [("S-" + x, x) for x in ("src/", "Lib/", "docs/", "tests/")]
+_SPECS = r"""specs AS (SELECT file_id AS spec_id, path, project, 'S-' || file_id AS title FROM files_v WHERE regexp_matches(path, '\.md$')),
+folders AS (SELECT DISTINCT project, regexp_extract(path, '^(.*/)', 1) AS linked_path FROM files_v WHERE contains(path, '/') AND NOT regexp_matches(path, '\.md$')),
+links AS (SELECT s.spec_id, o.linked_path FROM specs s JOIN folders o ON o.project = s.project)"""
 
 
-@query(w(V.FILES, _SPECS, then="""SELECT DISTINCT s.title, f.path FROM files_v f JOIN specs s ON starts_with(lower(f.path), lower(s.linked)) WHERE f.indexed_at > 1750000000"""))
+def _specs(spark, d):
+    """Markdown files as specifications, each linked with the folders that hold the code of its project."""
+    f = V.files(spark, d)
+    doc = F.col("path").rlike(r"\.md$")
+    specs = f.where(doc).select(F.col("file_id").alias("spec_id"), "path", F.concat(F.lit("S-"), F.col("file_id").cast("string")).alias("title"), "project")
+    folders = f.where(~doc & F.col("path").contains("/")).select("project", F.regexp_extract("path", "^(.*/)", 1).alias("linked_path")).distinct()
+    return f, specs.drop("project"), specs.join(folders, "project").select("spec_id", "linked_path")
+
+
+@query(w(V.FILES, _SPECS, then="""SELECT DISTINCT s.spec_id, s.path AS spec_path, s.title, l.linked_path, sf.indexed_at AS spec_indexed_at, f.indexed_at AS code_indexed_at
+FROM specs s JOIN links l USING (spec_id) JOIN files_v sf ON sf.path = s.path JOIN files_v f ON starts_with(lower(f.path), lower(l.linked_path)) WHERE f.indexed_at > sf.indexed_at"""))
 def join_stale_specs(spark, d):
-    """Specs whose linked prefix (any case) holds code indexed after them; the few specs are the broadcast side."""
-    specs = F.broadcast(spark.createDataFrame(_SPEC_ROWS, "title string, linked string"))
-    f = V.files(spark, d).where("indexed_at > 1750000000")
-    return f.join(specs, F.lower("path").startswith(F.lower("linked"))).select("title", "path").distinct()
+    """Specifications whose linked prefix (any case) holds code indexed after them."""
+    return S.stale_specs(*_specs(spark, d))
 
 
-@query(w(V.FILES, _SPECS, then="SELECT s.title, count(*) AS files FROM files_v f JOIN specs s ON starts_with(f.path, s.linked) GROUP BY s.title"))
+@query(w(V.FILES, _SPECS, then="SELECT DISTINCT f.path, s.path AS spec_path, s.title FROM files_v f JOIN links l ON starts_with(f.path, l.linked_path) JOIN specs s USING (spec_id)"))
 def join_specs_for_files(spark, d):
-    specs = F.broadcast(spark.createDataFrame(_SPEC_ROWS, "title string, linked string"))
-    return V.files(spark, d).join(specs, F.col("path").startswith(F.col("linked"))).groupBy("title").agg(F.count(F.lit(1)).alias("files"))
+    return S.specs_for_files(*_specs(spark, d))
 
 
-@query(w(V.FILES, _SPECS, then="SELECT f.file_id, string_agg(s.title, '|' ORDER BY s.title) AS governing_specs FROM files_v f JOIN specs s ON starts_with(f.path, s.linked) GROUP BY f.file_id"))
+@query(w(V.FILES, _SPECS, then="""SELECT f.file_id, (SELECT string_agg(DISTINCT s.path, '|' ORDER BY s.path) FROM links l JOIN specs s USING (spec_id) WHERE starts_with(f.path, l.linked_path)) AS governing_specs FROM files_v f"""))
 def annotate_specs(spark, d):
-    specs = F.broadcast(spark.createDataFrame(_SPEC_ROWS, "title string, linked string"))
-    hit = V.files(spark, d).join(specs, F.col("path").startswith(F.col("linked")))
-    return hit.groupBy("file_id").agg(F.array_join(F.array_sort(F.collect_set("title")), "|").alias("governing_specs"))
+    """Each file with the specifications that govern it, null where none does."""
+    f, specs, links = _specs(spark, d)
+    own = S.specs_for_files(f, specs, links).groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("spec_path")), "|").alias("governing_specs"))
+    return f.join(own, "path", "left").select("file_id", "governing_specs")
 
 
 @query(w(V.EDGES, V.NOTES, then="""SELECT n.id, n.created_at, coalesce(c.callers, 0) AS callers FROM notes_v n LEFT JOIN (
