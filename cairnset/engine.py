@@ -19,6 +19,7 @@ from cairnset import schemas
 from cairnset.functions import text as T
 from cairnset.operators import chunking as C
 from cairnset.operators import conventions as V
+from cairnset.operators import live as L
 from cairnset.operators import notes as N
 from cairnset.operators import retrieval as R
 from cairnset.operators.index import search_index, write_index
@@ -95,6 +96,21 @@ class Engine:
         kept = full if budget is None else R.budget_pack(full, budget, ["place"])
         return kept.select("place", "score", "chunk_id", "path", "name", "start_line", "end_line", "tokens", "content").orderBy("place")
 
+    def find(self, query: str, vector: list[float] | None = None, root: str = ".", limit: int = 10, stale: bool = False) -> tuple[str, DataFrame]:
+        """An automatic search and where its hits come from: the index where it can answer, the words of it, or the lines of the tree.
+
+        `vector` is the embedded query, None if there is no embedder; `stale` says that files have changed since they were indexed.
+        """
+        chunks, embedded = self.table("chunks").count(), self.table("vectors").where("embedding is not null").count()
+        if L.rung(chunks, embedded, vector is not None) == "index":
+            hits = cut(self.search(query, vector, limit))
+            step = L.next_rung(hits.count(), chunks, embedded, stale)
+            if step == "done":
+                return "index", hits
+            if step == "text":
+                return "text", self.search(query, None, limit)
+        return "live", L.matching_lines(S.read_tree(self.spark, root), L.literal(query), limit=limit)
+
     def words(self, query: str, limit: int) -> DataFrame:
         """doc_id, score of the best chunks by their words, from the stored postings; a store without any is read in full."""
         if self._there(os.path.join(self.store, "postings", "stats")):

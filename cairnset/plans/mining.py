@@ -171,7 +171,10 @@ def chunk_markdown_windows(spark, d):
     return C.markdown_chunks(table(spark, d, "documents")).select("doc_id", "start_line", "end_line", "name", "kind")
 
 
-@query()
+@query(r"""WITH c AS (SELECT doc_id, 1 AS n, string_split(text, chr(10))[1] AS content FROM documents UNION ALL SELECT doc_id, 2, text FROM documents),
+k AS (SELECT *, greatest(1, len(string_split(regexp_replace(content, '\n$', ''), chr(10)))) AS lines FROM c WHERE regexp_matches(content, '\S')),
+s AS (SELECT *, coalesce(sum(lines) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)
+SELECT doc_id, 'cell ' || n AS name, CAST(before + 1 AS INTEGER) AS start_line, CAST(before + lines AS INTEGER) AS end_line, CASE n WHEN 1 THEN 'section' ELSE 'verbatim' END AS kind, CASE n WHEN 1 THEN 'markdown' ELSE 'python' END AS language FROM s""")
 def chunk_notebook(spark, d):
     """Documents wrapped as notebooks of two cells each."""
     cell = lambda k, c: F.struct(F.lit(k).alias("cell_type"), c.alias("source"))

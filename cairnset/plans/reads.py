@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnset.functions import text as T
+from cairnset.operators import live as L
 from cairnset.operators import notes as N
 from cairnset.operators import retrieval as R
 from cairnset.operators import specs as S
@@ -173,26 +174,21 @@ def flt_lists(spark, d):
 WHERE contains(lower(line), 'stale cursor') ORDER BY doc_id, line_no LIMIT 100""")
 def live_substring(spark, d):
     """A literal, without regard to case, by line."""
-    lines = table(spark, d, "documents").where(F.lower("text").contains("stale cursor")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    hits = lines.where(F.lower("line").contains("stale cursor")).select("doc_id", (F.col("pos") + 1).cast("long").alias("line_no"), "line")
-    return hits.orderBy("doc_id", "line_no").limit(100)
+    return L.matching_lines(table(spark, d, "documents"), L.literal("stale cursor"), "doc_id", limit=100)
 
 
 @query(r"""SELECT doc_id, line_no FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
 WHERE regexp_matches(line, '\bfold_\w+\s*\(')""")
 def live_structural(spark, d):
     """The pattern name($$$): a call of a name, by line."""
-    lines = table(spark, d, "documents").where(F.col("text").rlike(r"\bfold_\w+\s*\(")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.where(F.col("line").rlike(r"\bfold_\w+\s*\(")).select("doc_id", (F.col("pos") + 1).cast("long").alias("line_no"))
+    return L.matching_lines(table(spark, d, "documents"), L.call_of("fold_$NAME($$$)"), "doc_id").select("doc_id", "line_no")
 
 
 @query(r"""SELECT doc_id, line_no, 'calls' AS kind FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)
 WHERE regexp_matches(line, '\bmerge_cache\s*\(') ORDER BY doc_id, line_no LIMIT 1000""")
 def flt_graph_live(spark, d):
     """Live calls of one symbol as edges, at most 1,000, lines from 0."""
-    lines = table(spark, d, "documents").where(F.col("text").rlike(r"\bmerge_cache\s*\(")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    hit = lines.where(F.col("line").rlike(r"\bmerge_cache\s*\(")).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.lit("calls").alias("kind"))
-    return hit.orderBy("doc_id", "line_no").limit(1000)
+    return L.graph_live(table(spark, d, "documents"), "merge_cache", "doc_id")
 
 
 _REC = """rec AS (SELECT coalesce(entity_id, CAST(id AS VARCHAR)) AS entity, kind, title, status, created_at, id, source_ref, remote_id, superseded_by, valid_at, invalid_at, tags, linked_files,
@@ -441,7 +437,7 @@ def sort_top_k(spark, d):
     return V.notes(spark, d).select("id", "created_at").orderBy(F.desc("created_at"), "id").limit(100)
 
 
-@query()
+@query(w(V.FILES, then="SELECT file_id FROM files_v ORDER BY md5('7:' || file_id), file_id LIMIT 50"))
 def random_sample(spark, d):
     """A seeded sample of the files, the same for every run."""
-    return V.files(spark, d).select("file_id").orderBy(F.xxhash64("file_id", F.lit(7)), "file_id").limit(50)
+    return V.files(spark, d).select("file_id").orderBy(F.md5(F.concat(F.lit("7:"), F.col("file_id").cast("string"))), "file_id").limit(50)

@@ -61,3 +61,24 @@ def test_vectors_of_another_index_fail_the_job(spark):
     for bad in (("m", [1.0]), ("n", [1.0, 2.0])):
         with pytest.raises(Exception, match="vectors of another index"):
             N.require_provenance(ok.union(spark.createDataFrame([bad], ok.schema)), "m", 2).collect()
+
+
+def test_where_an_automatic_search_goes(spark, tmp_path):
+    from cairnset.engine import Engine
+    from cairnset.operators import live as L
+
+    assert [L.rung(0, 0, True), L.rung(5, 0, True), L.rung(5, 5, False), L.rung(5, 2, True)] == ["live", "live", "live", "index"]
+    assert [L.next_rung(1, 5, 2, True), L.next_rung(0, 5, 2, True), L.next_rung(0, 5, 5, True), L.next_rung(0, 5, 5, False)] == ["done", "text", "live", "done"]
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "a.py").write_text("def load_lease(x):\n    return Stale_Cache(x)\n")
+    e = Engine(spark, str(tmp_path / "store"))
+    where, hits = e.find("stale_cache", root=str(src))
+    assert where == "live" and [(r.path, r.line_no) for r in hits.collect()] == [("a.py", 2)]
+    e.index(str(src))
+    assert [r.name for r in e.search("lease").collect()] == ["load_lease"]
+    assert {tuple(r) for r in e.table("edges").where("kind = 'calls'").select("source_name", "target_name").collect()} == {("load_lease", "Stale_Cache")}
+    e.save("vectors", spark.createDataFrame([(e.table("chunks").first().chunk_id, [1.0, 0.0])], "chunk_id string, embedding array<float>"))
+    where, hits = e.find("stale", [1.0, 0.0], root=str(src))
+    assert where == "index" and hits.count() == 1
+    assert [(r.line_no, r.kind) for r in L.graph_live(spark.createDataFrame([("p", "x\nrun(1)\nrunner(2) run (3)")], "path string, text string"), "run").collect()] == [(1, "calls"), (2, "calls")]
