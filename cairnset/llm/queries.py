@@ -134,13 +134,29 @@ def p2_file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = _pieces(spark, sf_dir)
     gained = pieces.withColumn("end", F.col("start") + F.col("size")).groupBy("chunk_id", "file_id").agg(F.max("end").alias("n_chars"), F.max("size").alias("longest"))
     return gained.groupBy("file_id").agg(
-        F.count(F.lit(1)).alias("n_oversized"), F.sum("n_chars").cast("long").alias("n_chars"), (F.max("longest") <= 2048).alias("within"))
+        F.count(F.lit(1)).alias("n_oversized"), F.sum("n_chars").cast("long").alias("n_chars"), (F.max("longest") <= _limits(spark, sf_dir, "embed_chunk")[0].max_size).alias("within"))
 
 
+@query
+def p2_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each oversized chunk put together again from its pieces: a hash of its text, whether all pieces fit, whether neighbours share the overlap."""
+    limit = _limits(spark, sf_dir, "embed_chunk")[0]
+    pieces = _pieces(spark, sf_dir).where("chunk_id is not null")
+    # the pieces of one item are as large as the item
+    items = pieces.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", "start", "size", "piece"))).alias("p"))
+    rest = F.concat(F.col("p")[0].piece, F.array_join(F.transform(F.slice("p", 2, F.size("p")), lambda x: F.substring(x.piece, limit.overlap_size + 1, limit.max_size)), ""))
+    pairs = F.arrays_zip(F.slice("p", F.lit(1), F.size("p") - 1).alias("a"), F.slice("p", F.lit(2), F.size("p") - 1).alias("b"))
+    shared = F.forall(pairs, lambda z: (z.b.start == z.a.start + z.a.size - limit.overlap_size) & (F.right(z.a.piece, F.lit(limit.overlap_size)) == F.left(z.b.piece, F.lit(limit.overlap_size))))
+    return items.select("chunk_id", F.md5(rest).alias("hash"), (F.array_max(F.transform("p", lambda x: F.char_length(x.piece))) <= limit.max_size).alias("within"), shared.alias("shared"))
+
+
+ORACLE["p2_whole"] = """SELECT DISTINCT chunk_id, md5(content) AS hash, true AS within, true AS shared FROM embed_chunks
+WHERE chunk_id IS NOT NULL AND length(content) > (SELECT max_size FROM size_limits WHERE limit_name = 'embed_chunk')"""
 ORACLE["p2_found"] = """SELECT DISTINCT chunk_id FROM embed_chunks
 WHERE chunk_id IS NOT NULL AND length(content) > (SELECT max_size FROM size_limits WHERE limit_name = 'embed_chunk')"""
 ORACLE["p2_file_counts"] = """SELECT file_id, count(*) AS n_oversized, CAST(sum(n) AS BIGINT) AS n_chars, true AS within FROM (
-  SELECT DISTINCT chunk_id, file_id, length(content) AS n FROM embed_chunks WHERE length(content) > 2048) GROUP BY file_id"""
+  SELECT DISTINCT chunk_id, file_id, length(content) AS n FROM embed_chunks
+  WHERE length(content) > (SELECT max_size FROM size_limits WHERE limit_name = 'embed_chunk')) GROUP BY file_id"""
 
 
 # --- p7: survivors ---------------------------------------------------------------------------------------------------
