@@ -85,15 +85,14 @@ def harvested(candidates: DataFrame, stored: DataFrame, known_refs: DataFrame |
     come from the block search; the candidates themselves, at most `per_round` of them in a task, are walked in order, and
     further rounds count those taken in before as stored. A null source_ref is none.
     """
+    from cairnset.operators.notes import batches
     from cairnset.operators.retrieval import near_in_blocks
     from cairnset.session import cut
 
     kind = candidates.schema[key].dataType.simpleString()
     refs = known_refs.select("source_ref").distinct() if known_refs is not None else None
-    ordered = cut(candidates.select(key, "embedding", "source_ref"))
-    n, done = ordered.count(), None
-    # a round ends at a key: all keys up to it are taken in together
-    edges = ordered.select(key).orderBy(key).toArrow().column(0).to_pylist()[per_round - 1::per_round] if n > per_round else []
+    ordered = cut(batches(candidates.select(key, "embedding", "source_ref"), [key], per_round))
+    rounds, done = (ordered.agg(F.max("batch")).first()[0] or 0) + 1, None
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key, kind="stable")
@@ -111,15 +110,14 @@ def harvested(candidates: DataFrame, stored: DataFrame, known_refs: DataFrame |
         return pd.DataFrame({key: pdf[key], "verdict": out})
 
     base = stored.select(key, "embedding")
-    for low, high in zip([None, *edges], [*edges, None]):
-        part = ordered if low is None else ordered.where(F.col(key) > F.lit(low))
-        part = part if high is None else part.where(F.col(key) <= F.lit(high))
+    for i in range(rounds):
+        part = ordered.where(F.col("batch") == i).drop("batch")
         close = near_in_blocks(part, base, within, 1, key).where(F.col("distance") < within).select(F.col("id_a").alias(key), F.lit(True).alias("near"))
         rows = part.join(close, key, "left")
         rows = rows.join(refs.withColumn("known", F.lit(True)), "source_ref", "left") if refs is not None else rows.withColumn("known", F.lit(None).cast("boolean"))
         rows = rows.select(key, "embedding", "source_ref", F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("known", F.lit(False)).alias("known"))
         verdict = rows.groupBy(F.lit(0).alias("all")).applyInPandas(walk, f"{key} {kind}, verdict string")
-        if n <= per_round:
+        if rounds == 1:
             return verdict
         verdict = cut(verdict)
         fresh = part.join(verdict.where("verdict = 'stored'"), key)
@@ -137,24 +135,42 @@ def blend_rate(old: tuple[int, float], sample: float) -> tuple[int, float]:
 
 
 def moving_rate(samples: DataFrame, by: str, order: str, value: str) -> DataFrame:
-    """by, rate after all samples of a key in order: rows are streamed sorted, so a key of any size needs one number."""
-    schema = f"{by} {samples.schema[by].dataType.simpleString()}, rate double"
+    """by, rate after all samples of a key in order.
+
+    Rows are dealt by ranges of (key, order), so a key of any size lies in as many tasks as it needs. A task gives for each of its
+    keys the first two samples and what the later ones make of a rate before them, one linear step after the other: rate * a + b.
+    Those few rows of a key are put together in order. Null values are left out.
+    """
+    kind = samples.schema[by].dataType.simpleString()
+    schema = f"{by} {kind}, part int, n long, v1 double, v2 double, a double, b double"
+
+    def steps(frames):
+        from pyspark import TaskContext
 
-    def fold(frames):
-        who, state, any_yet = None, (0, 0.0), False
+        part, held = TaskContext.get().partitionId(), {}
         for pdf in frames:
-            out = []
             for k, v in zip(pdf[by].tolist(), pdf[value].tolist()):
-                if any_yet and k != who:
-                    out.append((who, state[1]))
-                    state = (0, 0.0)
-                who, any_yet, state = k, True, blend_rate(state, v)
-            yield pd.DataFrame(out, columns=[by, "rate"])
-        if any_yet:
-            yield pd.DataFrame([(who, state[1])], columns=[by, "rate"])
-
-    known = samples.where(F.col(value).isNotNull() & F.col(by).isNotNull()).select(by, order, F.col(value).cast("double").alias(value))
-    return known.repartition(by).sortWithinPartitions(by, order).mapInPandas(fold, schema)
+                h = held.setdefault(k, [0, None, None, 1.0, 0.0])
+                h[0] += 1
+                if h[0] <= 2:
+                    h[h[0]] = v
+                else:
+                    h[3], h[4] = h[3] / 2, (h[4] + v) / 2
+            done = list(held)[:-1]  # rows are sorted: only the last key may go on
+            yield pd.DataFrame([(k, part, *held.pop(k)) for k in done], columns=[by, "part", "n", "v1", "v2", "a", "b"])
+        yield pd.DataFrame([(k, part, *h) for k, h in held.items()], columns=[by, "part", "n", "v1", "v2", "a", "b"])
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        state = (0, 0.0)
+        for n, v1, v2, a, b in pdf.sort_values("part", kind="stable")[["n", "v1", "v2", "a", "b"]].itertuples(index=False):
+            for v in [v1, v2][: int(n)]:
+                state = blend_rate(state, v)
+            state = (state[0] + max(0, int(n) - 2), state[1] * a + b)
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "rate": [state[1]]})
+
+    rows = samples.where(F.col(value).isNotNull() & F.col(by).isNotNull()).select(by, order, F.col(value).cast("double").alias(value))
+    dealt = rows.repartitionByRange(by, order).sortWithinPartitions(by, order)
+    return dealt.mapInPandas(steps, schema).groupBy(by).applyInPandas(join, f"{by} {kind}, rate double")
 
 
 def split_to_fit(sizes: list[int], context: int) -> list[int]:

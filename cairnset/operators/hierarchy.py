@@ -63,14 +63,14 @@ def _contract(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def forest_roots(links: DataFrame, max_task_rows: int = 1_000_000) -> DataFrame:
-    """(node, root, depth, never_ends) for every node of `links(node, parent)` that has a parent.
+    """(node, root, depth, never_ends) for every node of `links(node, parent)` that has a parent. `links` is read twice.
 
     If the chain runs into a cycle, root is the smallest node on it, depth is null and never_ends is true.
     """
-    state = cut(links.select(
+    state = links.select(
         "node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("off"), F.col("node").alias("low"),
-        F.lit(OPEN).alias("status")))
-    total, buckets, waiting = state.count(), FAN, []
+        F.lit(OPEN).alias("status"))
+    total, buckets, waiting = links.count(), FAN, []
     while buckets * max_task_rows < FAN * total:
         buckets *= FAN
     while True:

@@ -82,3 +82,24 @@ def test_where_an_automatic_search_goes(spark, tmp_path):
     where, hits = e.find("stale", [1.0, 0.0], root=str(src))
     assert where == "index" and hits.count() == 1
     assert [(r.line_no, r.kind) for r in L.graph_live(spark.createDataFrame([("p", "x\nrun(1)\nrunner(2) run (3)")], "path string, text string"), "run").collect()] == [(1, "calls"), (2, "calls")]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_a_rate_over_many_tasks_is_the_rate_in_order(spark, parts):
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot", "hot", "hot", "cold"]), i, rng.choice([None, rng.random() * 100])) for i in range(400)] + [("one", 1, 7.0), ("two", 2, 1.0), ("two", 5, 2.0), (None, 1, 1.0), ("none", 3, None)]
+    want = {}
+    for k, _, v in sorted(rows, key=lambda r: r[1]):
+        if k and v is not None:
+            want[k] = H.blend_rate(want.get(k, (0, 0.0)), v)
+    df = spark.createDataFrame(rows, "k string, at long, v double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {r.k: r.rate for r in H.moving_rate(df, "k", "at", "v").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k][1]) < 1e-9 for k in want)
