@@ -44,14 +44,49 @@ class Engine:
 
     def table(self, name: str) -> DataFrame:
         """A table of the store under its schema; an absent one is empty."""
-        path = os.path.join(self.store, f"{name}.parquet")
+        path = self._current(name) or os.path.join(self.store, f"{name}.parquet")  # a table brought along may stand in the open
         if not self._there(path):
             return self.spark.createDataFrame([], TABLES[name])
         return schemas.conform(self.spark.read.parquet(path), TABLES[name])
 
     def save(self, name: str, df: DataFrame) -> None:
-        """Replace a table; the new rows are complete before the old ones go."""
-        cut(df).write.mode("overwrite").parquet(os.path.join(self.store, f"{name}.parquet"))
+        """Replace a table: the new version is written beside the one that is read, then a pointer is renamed over the old one.
+
+        A write that fails leaves the table as it was; the version before stays for readers that have begun.
+        """
+        df.write.mode("overwrite").parquet(self._version_path(name, self._version(name) + 1))
+        self._publish(name)
+
+    def _version_path(self, name: str, version: int) -> str:
+        return os.path.join(self.store, name, f"v{version}")
+
+    def _version(self, name: str) -> int:
+        pointer = os.path.join(self.store, name, "CURRENT")
+        if not self._there(pointer):
+            return 0
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(pointer)
+        stream = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).open(path)
+        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return int(text)
+
+    def _current(self, name: str) -> str | None:
+        version = self._version(name)
+        return self._version_path(name, version) if version else None
+
+    def _publish(self, name: str) -> None:
+        """Make the version that was just written the current one and drop the one before the last."""
+        jvm, conf, version = self.spark._jvm, self.spark._jsc.hadoopConfiguration(), self._version(name) + 1
+        old, new = (jvm.org.apache.hadoop.fs.Path(os.path.join(self.store, name, x)) for x in ("CURRENT", "CURRENT.new"))
+        fs = new.getFileSystem(conf)
+        stream = fs.create(new, True)
+        stream.write(bytearray(str(version), "ascii"))
+        stream.close()
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(new), fs.makeQualified(old), options)
+        if version > 2:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(self._version_path(name, version - 2)), True)
 
     def index(self, root: str, now: int = 0, excludes: list[str] | None = None) -> DataFrame:
         """Walk a tree and bring files, chunks, edges and ranks up to date: only new and changed files are cut again."""
@@ -78,7 +113,8 @@ class Engine:
         rank = G.pagerank(kept_edges.where("kind = 'calls'").select(F.col("source_name").alias("src"), F.col("target_name").alias("dst"))).withColumnRenamed("node", "name")
         ranked = kept_chunks.join(rank, "name", "left").withColumn("graph_rank", F.coalesce("rank", "graph_rank")).select(*chunks.columns)
         ranked = cut(ranked)
-        write_index(_search_texts(ranked), os.path.join(self.store, "postings"))
+        write_index(_search_texts(ranked), self._version_path("postings", self._version("postings") + 1))
+        self._publish("postings")
         self.save("chunks", ranked)
         self.save("edges", kept_edges)
         self.save("files", kept_files)
@@ -113,8 +149,8 @@ class Engine:
 
     def words(self, query: str, limit: int) -> DataFrame:
         """doc_id, score of the best chunks by their words, from the stored postings; a store without any is read in full."""
-        if self._there(os.path.join(self.store, "postings", "stats")):
-            return search_index(self.spark, os.path.join(self.store, "postings"), query, limit=limit)
+        if stored := self._current("postings"):
+            return search_index(self.spark, stored, query, limit=limit)
         return R.fts_code(_search_texts(self.table("chunks")), query, limit=limit)
 
     def _there(self, path: str) -> bool:

@@ -107,3 +107,16 @@ def test_newer_log_is_an_error(spark):
     lines = spark.createDataFrame([('{"schema_version": 2, "id": 1}',)], "value string")
     with pytest.raises(Exception, match="newer"):
         export.read_log(lines).select(F.max("schema_version")).collect()
+
+
+def test_a_write_that_fails_leaves_the_table(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"))
+    files_ = lambda n: spark.createDataFrame([(i, f"f{i}", None, "h", 0, 0) for i in range(n)], "file_id long, path string, language string, hash string, indexed_at long, mtime long")
+    for n in (1, 2, 3, 4):
+        e.save("files", e.table("files").where("false").unionByName(files_(n)))
+        assert e.table("files").count() == n
+    with pytest.raises(Exception):
+        e.save("files", files_(9).withColumn("path", F.raise_error(F.lit("broken"))))
+    assert e.table("files").count() == 4
+    e.save("files", files_(5))
+    assert e.table("files").count() == 5 and sorted(p.name for p in (tmp_path / "store" / "files").iterdir() if p.is_dir()) == ["v4", "v5"]
