@@ -7,8 +7,11 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairnset.session import cut
+
 
 def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """ranked(query, item, place), relevant(query, item): recall@k (null without relevant items), precision@k, reciprocal rank."""
@@ -59,6 +62,34 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return edge(mid - span), edge(mid + span)
 
 
+def exact_median(df: DataFrame, by: list[str], value: str, held: int = 1_000_000) -> DataFrame:
+    """by, median: the exact median of each group (null and NaN left out), whatever its size.
+
+    Equal values are counted first. Up to `held` different ones in all, one aggregate holds them; of more, the counts are
+    range-partitioned by (group, value) and running counts start from the sums of the partitions before, so the values of
+    a hot group lie in as many tasks as they need and none is held in memory. Both give the same medians.
+    """
+    counts = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    counts = cut(counts)
+    if counts.count() <= held:
+        return counts.groupBy(*by).agg(F.percentile("__v", F.lit(0.5), F.col("__n")).alias("median"))
+    dealt = cut(counts.repartitionByRange(*by, "__v").sortWithinPartitions(*by, "__v").withColumn("__p", F.spark_partition_id()))
+    key = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in by])
+    dealt = dealt.withColumn("__k", key)
+    # a row for each group in each of its partitions
+    parts = dealt.groupBy("__p", "__k", *by).agg(F.sum("__n").alias("__m"))
+    upto = W.partitionBy("__k", *by).orderBy("__p").rowsBetween(W.unboundedPreceding, W.currentRow)
+    starts = parts.select(F.col("__p").alias("__p2"), F.col("__k").alias("__k2"), *[F.col(c).alias(f"__g{i}") for i, c in enumerate(by)], (F.sum("__m").over(upto) - F.col("__m")).alias("__start"),
+                          F.sum("__m").over(W.partitionBy("__k", *by)).alias("__total"))
+    same = [F.col("__p") == F.col("__p2"), F.col("__k") == F.col("__k2"), *[F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(by)]]
+    rows = dealt.join(starts, same).select(*by, "__p", "__v", "__n", "__start", "__total")
+    running = W.partitionBy("__p", *by).orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = rows.withColumn("__end", F.col("__start") + F.sum("__n").over(running))
+    holds = lambda at: (F.col("__end") - F.col("__n") <= at) & (at < F.col("__end"))
+    low, high = F.floor((F.col("__total") - 1) / 2), F.floor(F.col("__total") / 2)
+    return placed.where(holds(low) | holds(high)).groupBy(*by).agg(((F.min("__v") + F.max("__v")) / 2).alias("median"))
+
+
 def bootstrap(df: DataFrame, by: list[str], value: str, rounds: int = 200, seed: int = 3) -> DataFrame:
     """Percentile interval of the mean from Poisson resampling, every weight a hash of (row, round): no row is gathered anywhere."""
     row = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns])

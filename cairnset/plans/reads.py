@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairnset.functions import metrics as M
 from cairnset.functions import text as T
 from cairnset.operators import live as L
 from cairnset.operators import notes as N
@@ -13,7 +14,7 @@ from cairnset.operators import specs as S
 from cairnset.operators import symbols as G
 from cairnset.plans import views as V
 from cairnset.plans.registry import registry
-from cairnset.session import table
+from cairnset.session import cut, table
 
 QUERIES, ORACLE, query = registry()
 w = V.with_views
@@ -426,10 +427,15 @@ def agg_reindex_summary(spark, d):
 round(median(output_tokens), 6) AS median_output, round(median(wall_seconds) FILTER (wall_seconds >= 0 AND NOT isnan(wall_seconds)), 6) AS median_wall FROM h GROUP BY 1, 2, 3""")
 def agg_telemetry(spark, d):
     """Count, mean and exact median by model, harness and condition."""
-    h = table(spark, d, "harness_runs").distinct()
+    by = ["model", "condition", "harness"]
     wall = F.when((F.col("wall_seconds") >= 0) & ~F.isnan("wall_seconds"), F.col("wall_seconds"))
-    return h.groupBy(F.lower(F.trim("model")).alias("model"), F.lower(F.trim("condition")).alias("condition"), "harness").agg(
-        F.count(F.lit(1)).alias("runs"), F.round(F.avg("turns"), 6).alias("mean_turns"), F.round(F.median("output_tokens"), 6).alias("median_output"), F.round(F.median(wall), 6).alias("median_wall"))
+    runs = table(spark, d, "harness_runs").distinct().select(F.lower(F.trim("model")).alias("model"), F.lower(F.trim("condition")).alias("condition"), "harness", "turns", "output_tokens", wall.alias("wall"))
+    h = cut(runs)
+    out = h.groupBy(*by).agg(F.count(F.lit(1)).alias("runs"), F.round(F.avg("turns"), 6).alias("mean_turns"))
+    for value, name in (("output_tokens", "median_output"), ("wall", "median_wall")):
+        m = M.exact_median(h, by, value).select(*[F.col(c).alias(f"m_{c}") for c in by], F.round("median", 6).alias(name))
+        out = out.join(m, [out[c].eqNullSafe(m[f"m_{c}"]) for c in by], "left").drop(*[f"m_{c}" for c in by])
+    return out
 
 
 @query(w(V.NOTES, then="SELECT id, created_at FROM notes_v ORDER BY created_at DESC, id LIMIT 100"))

@@ -103,3 +103,21 @@ def test_a_rate_over_many_tasks_is_the_rate_in_order(spark, parts):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert got.keys() == want.keys() and all(abs(got[k] - want[k][1]) < 1e-9 for k in want)
+
+
+def test_exact_medians_of_any_group(spark):
+    import random
+    import statistics
+
+    from cairnset.functions import metrics as M
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "a", "a", None, "b"]), rng.choice([None, float("nan"), 1.0, 2.0, rng.random() * 9])) for _ in range(900)] + [("one", 4.0), ("two", 1.0), ("two", 2.0), ("none", None)]
+    groups = {}
+    for k, v in rows:
+        if v is not None and v == v:
+            groups.setdefault(k, []).append(v)
+    df = spark.createDataFrame(rows, "k string, v double")
+    assert {r.k: r.median for r in M.exact_median(df, ["k"], "v").collect()} == {k: statistics.median(v) for k, v in groups.items()}
+    got = {r.k: r.median for r in M.exact_median(df, ["k"], "v", held=10).collect()}
+    assert got == {k: statistics.median(v) for k, v in groups.items()}
