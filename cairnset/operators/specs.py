@@ -23,6 +23,13 @@ def under_links(files: DataFrame, links: DataFrame, any_case: bool = False) -> D
     return salted_join(cuts, known, "__prefix").drop("__prefix", "__n", "__folded")
 
 
+def nearest_root(paths: DataFrame, roots: DataFrame) -> DataFrame:
+    """paths(path) beside the longest of the registered roots(root) that starts theirs, null where none does."""
+    hit = under_links(paths.select("path").distinct(), roots.where("root <> ''").select(F.lit(0).alias("spec_id"), F.col("root").alias("linked_path")))
+    best = hit.groupBy("path").agg(F.max_by("linked_path", F.char_length("linked_path")).alias("root"))
+    return paths.select("path").distinct().join(best, "path", "left")
+
+
 def specs_for_files(files: DataFrame, specs: DataFrame, links: DataFrame) -> DataFrame:
     """path, spec_path, title of each specification that governs a file, each once."""
     hit = under_links(files.select("path"), links)

@@ -53,10 +53,10 @@ def src_generated_marker(spark, d):
     return c.select("chunk_id", T.generated_marker(F.col("content")).alias("mark"))
 
 
-@query("SELECT doc_id, contains(left(text, 512), chr(0)) AS is_binary, length(text) > 20000 AS window_only FROM documents")
+@query("SELECT doc_id, contains(left(text, 512), chr(0)) AS is_binary, CASE WHEN n > 67108864 THEN 'skip' WHEN n > 524288 THEN 'windows' ELSE 'parse' END AS gate FROM (SELECT *, strlen(text) * 2048 AS n FROM documents)")
 def src_size_gate(spark, d):
-    """Texts that are binary, or so large that they are cut by windows only."""
-    return table(spark, d, "documents").select("doc_id", T.is_binary(F.col("text")).alias("is_binary"), (F.char_length("text") > 20000).alias("window_only"))
+    """Texts that are binary, too large to read, or so large that they are cut by windows only (each counted as 2,048 copies of itself)."""
+    return table(spark, d, "documents").select("doc_id", T.is_binary(F.col("text")).alias("is_binary"), S.size_gate(F.octet_length("text").cast("long") * 2048).alias("gate"))
 
 
 @query("SELECT count(*) FILTER (contains(left(text, 512), chr(0))) AS n_binary, count(*) AS n FROM documents")
@@ -88,11 +88,17 @@ def src_git_log(spark, d):
     return X.parse_git_log(log).select(F.col("sha").cast("long").alias("doc_id"), "subject", F.char_length("body").alias("body_chars"))
 
 
-@query("""SELECT user_id, count(*) AS turns, min(event_id) AS first_event, sum(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS k_sum FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY user_id""")
+@query("""SELECT 's' || user_id AS session, count(*) AS turns, min((epoch_us(ts) // 1000)) AS first_at, md5(string_agg(props, '|' ORDER BY (epoch_us(ts) // 1000), props)) AS texts, (SELECT count(*) FILTER (event_type = 'error') FROM events) AS errors
+FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND event_type IN ('click', 'view') GROUP BY user_id""")
 def src_history_jsonl(spark, d):
-    """Session history since an instant, by session."""
-    e = table(spark, d, "events").where(F.col("ts") >= F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"))
-    return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("turns"), F.min("event_id").alias("first_event"), F.sum(F.get_json_object("props", "$.k").try_cast("bigint")).alias("k_sum"))
+    """Session history as JSON lines, with broken lines between, since an instant and under a project prefix, by session."""
+    e = table(spark, d, "events")
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    project = F.concat(F.when(F.col("event_type").isin("click", "view"), "/work/a/").otherwise("/work/b/"), "event_type")
+    line = F.to_json(F.struct(F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("sessionId"), project.alias("project"), at.alias("timestamp"), F.col("props").alias("display")))
+    lines = e.select(F.explode(F.array(line, F.when(F.col("event_type") == "error", "{broken").otherwise(" "))).alias("value"))
+    sessions, errors = X.read_history(lines, 1_704_844_800_000, "/work/a/")
+    return sessions.crossJoin(F.broadcast(errors)).select("session", "turns", "first_at", F.md5(F.array_join("texts", "|")).alias("texts"), "errors")  # one row
 
 
 @query("SELECT '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' AS line FROM nation")

@@ -127,10 +127,9 @@ def flt_server_notes(spark, d):
 ON starts_with(f.path, r.root) GROUP BY f.file_id"""))
 def flt_find_project(spark, d):
     """The nearest registered ancestor: the longest root that starts the path."""
-    roots = [r for r in ["src/", "src/vendors/", "tools/", "lib/", "lib/dist_lock/", ""]]
-    fits = F.filter(F.array(*[F.lit(r) for r in roots]), lambda r: F.col("path").startswith(r))
-    best = F.array_max(F.transform(fits, lambda r: F.struct(F.length(r).alias("n"), r.alias("root")))).root
-    return V.files(spark, d).where("path is not null").select("file_id", best.alias("root"))
+    roots = spark.createDataFrame([(r,) for r in ("src/", "src/vendors/", "tools/", "lib/", "lib/dist_lock/", "")], "root string")
+    f = V.files(spark, d).select("file_id", "path").where("path is not null")
+    return f.join(S.nearest_root(f, roots), "path").select("file_id", F.coalesce("root", F.lit("")).alias("root"))
 
 
 @query(w(V.NOTES, then="SELECT n.id, n.uuid, n.remote_id, n.status = 'archived' AS archived FROM notes_v n WHERE n.uuid IN (SELECT lower(external_id) FROM relay_pushes)"))

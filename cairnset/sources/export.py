@@ -58,6 +58,25 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(counts, pa.int64()), pa.array(digests, pa.string())], names=["kind", "n", "digest"])
 
 
+HISTORY = "sessionId string, project string, timestamp bigint, display string"
+
+
+def read_history(lines: DataFrame, since: int, project: str) -> tuple[DataFrame, DataFrame]:
+    """JSON lines of session history to (session, turns, first_at, texts of turns since an instant in projects under a prefix) and one row of broken lines.
+
+    Blank lines are none; a line that is no JSON object, or has no session, is an error and skipped. A session's texts come in the order
+    of their time.
+    """
+    said = lines.where(F.trim("value") != "").select(F.from_json("value", HISTORY).alias("h"))
+    good = F.col("h.sessionId").isNotNull()
+    errors = said.agg(F.count(F.when(~F.coalesce(good, F.lit(False)), 1)).alias("errors"))
+    kept = said.where(good).select("h.*").where((F.col("timestamp") >= since) & F.col("project").startswith(project))
+    turn = F.struct("timestamp", "display")
+    sessions = kept.groupBy(F.col("sessionId").alias("session")).agg(
+        F.count(F.lit(1)).alias("turns"), F.min("timestamp").alias("first_at"), F.transform(F.array_sort(F.collect_list(turn)), lambda x: x.display).alias("texts"))
+    return sessions, errors
+
+
 def footer(records: DataFrame) -> DataFrame:
     """Count and digest of each kind: SHA-256 over the records' own digests in order of their reference, at every size.
 

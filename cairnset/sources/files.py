@@ -80,6 +80,11 @@ def tree_rules(spark: SparkSession, root: str, names: tuple[str, ...] = (".gitig
     return out
 
 
+def size_gate(n_bytes: Column, most: int = 64 << 20, parsed: int = 512 << 10) -> Column:
+    """skip beyond the largest file read, windows beyond the largest that is taken apart by its syntax, else parse."""
+    return F.when(n_bytes > most, "skip").when(n_bytes > parsed, "windows").otherwise("parse")
+
+
 def walkable(path: Column) -> Column:
     return ~F.lower(path).rlike(SENSITIVE) & T.lang_detect(path).isNotNull()
 

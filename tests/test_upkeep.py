@@ -121,3 +121,16 @@ def test_exact_medians_of_any_group(spark):
     assert {r.k: r.median for r in M.exact_median(df, ["k"], "v").collect()} == {k: statistics.median(v) for k, v in groups.items()}
     got = {r.k: r.median for r in M.exact_median(df, ["k"], "v", held=10).collect()}
     assert got == {k: statistics.median(v) for k, v in groups.items()}
+
+
+def test_history_lines_roots_and_sizes(spark):
+    from cairnset.sources import export, files
+
+    lines = ['{"sessionId": "a", "project": "/w/x", "timestamp": 5, "display": "two"}', '{"sessionId": "a", "project": "/w/x", "timestamp": 4, "display": "one"}', "{broken", "", None, "[1]", '{"project": "/w"}',
+             '{"sessionId": "a", "project": "/v", "timestamp": 9, "display": "no"}', '{"sessionId": "b", "project": "/w", "timestamp": 3, "display": "old"}']
+    sessions, errors = export.read_history(spark.createDataFrame([(x,) for x in lines], "value string"), 4, "/w")
+    assert [tuple(r) for r in sessions.collect()] == [("a", 2, 4, ["one", "two"])] and errors.first()[0] == 3
+    paths = spark.createDataFrame([("a/b/c",), ("a/x",), ("z",), ("a/x",)], "path string")
+    roots = spark.createDataFrame([("a/",), ("a/b/",), ("",)], "root string")
+    assert {tuple(r) for r in S.nearest_root(paths, roots).collect()} == {("a/b/c", "a/b/"), ("a/x", "a/"), ("z", None)}
+    assert [r[0] for r in spark.createDataFrame([(10,), (600 << 10,), (65 << 20,)], "n long").select(files.size_gate(F.col("n"))).collect()] == ["parse", "windows", "skip"]
