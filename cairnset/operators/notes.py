@@ -78,6 +78,41 @@ def collapse(notes: DataFrame, entity: str = "entity_id") -> DataFrame:
                        F.when(F.col("to_entity") != F.col(entity), F.col("to_entity")).alias("superseded_by_entity"), (F.col("pointer").isNotNull() & F.col("to_entity").isNull()).alias("unresolved"))
 
 
+def sync_round(local: DataFrame, server: DataFrame, cursor: Column | None) -> DataFrame:
+    """stage, uuid, fresh of one round between local(uuid) and server(uuid, at); fresh: not in the store before that stage.
+
+    Without a cursor (the first sync) a round pushes, then pulls everything. Later ones pull what came after the cursor, push, and
+    pull again from the same cursor as before the round, so nothing that arrived meanwhile is skipped; what was pushed comes
+    back then and is known.
+    """
+    mine = local.where("uuid is not null").select("uuid").distinct()
+    theirs = server.where("uuid is not null").groupBy("uuid").agg(F.max("at").alias("at"))
+    pushed = mine.join(theirs, "uuid", "left_anti").select("uuid")
+    due = (theirs if cursor is None else theirs.where(F.col("at") > cursor)).select("uuid")
+    known = mine.withColumn("known", F.lit(True))
+    first_pull = due.join(known, "uuid", "left").select("uuid", F.col("known").isNull().alias("fresh"))
+    stage = lambda name, rows: rows.select(F.lit(name).alias("stage"), "uuid", "fresh")
+    push, back = pushed.withColumn("fresh", F.lit(False)), pushed.withColumn("fresh", F.lit(False))
+    if cursor is None:
+        return stage("push", push).union(stage("pull", first_pull.union(back)))
+    again = due.withColumn("fresh", F.lit(False)).union(back)
+    return stage("pull", first_pull).union(stage("push", push)).union(stage("pull again", again))
+
+
+def reconcile(server: DataFrame, local: DataFrame, entity: str = "entity_id") -> DataFrame:
+    """One row of what reading a server's notes into a store does: rows already present, entities to import, copies collapsed, pointers linked and unresolved.
+
+    `local` holds the entities of the store. Only archived imports bring a pointer; one at the entity itself is skipped.
+    """
+    known = local.select(entity).where(F.col(entity).isNotNull()).distinct().withColumn("present", F.lit(True))
+    c = collapse(server, entity).join(known, entity, "left").withColumn("present", F.coalesce("present", F.lit(False)))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+    new = ~F.col("present")
+    return c.agg(
+        total(F.when(F.col("present"), F.col("rows"))).alias("already_present"), F.count(F.when(new, 1)).alias("to_import"), total(F.col("rows") - 1).alias("collapsed"),
+        F.count(F.when(new & F.col("superseded_by_entity").isNotNull(), 1)).alias("linked"), F.count(F.when(new & F.col("unresolved"), 1)).alias("unresolved"))
+
+
 def replace_where(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Delete then insert: old rows whose key comes again are dropped, all new rows enter."""
     return old.join(new.select(*key).distinct(), key, "left_anti").select(*old.columns).unionByName(new)

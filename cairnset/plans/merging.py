@@ -223,19 +223,15 @@ def reconcile_import(spark, d):
     return r.join(table(spark, d, "notes").select(*key), key, "left_anti").select("kind", "title")
 
 
-_PROJECT = """r AS (SELECT kind, title, body, count(*) AS copies FROM relay_pulled WHERE project = 'lantern' GROUP BY kind, title, body), n AS (SELECT DISTINCT kind, title, body FROM notes),
-x AS (SELECT r.*, EXISTS (SELECT 1 FROM n WHERE n.kind = r.kind AND n.title = r.title AND n.body IS NOT DISTINCT FROM r.body) AS present FROM r)"""
-
-
-@query(f"WITH {_PROJECT} SELECT coalesce(sum(copies) FILTER (present), 0)::BIGINT AS already_present, count(*) FILTER (NOT present) AS to_import, coalesce(sum(copies - 1), 0)::BIGINT AS collapsed FROM x")
+@query(w(V.NOTES, then="""SELECT coalesce(sum(rows) FILTER (present), 0)::BIGINT AS already_present, count(*) FILTER (NOT present) AS to_import, coalesce(sum(rows - 1), 0)::BIGINT AS collapsed,
+  count(*) FILTER (NOT present AND other <> entity) AS linked, count(*) FILTER (NOT present AND pointer IS NOT NULL AND other IS NULL) AS unresolved FROM (
+  SELECT c.*, p.entity AS other, c.entity IN (SELECT lower(kind || '/' || title) FROM relay_pulled WHERE project = 'lantern') AS present FROM (
+    SELECT entity, count(*) AS rows, arg_min(superseded_by, (created_at, id)) FILTER (status = 'archived' AND superseded_by IS NOT NULL) AS pointer
+    FROM (SELECT *, lower(kind || '/' || title) AS entity FROM notes_v) GROUP BY entity) c LEFT JOIN (SELECT id, lower(kind || '/' || title) AS entity FROM notes_v) p ON p.id = c.pointer)"""))
 def reconcile_project(spark, d):
-    """What reading one project would do: copies already stored, entities to import, copies collapsed."""
-    key = ["kind", "title", "body"]
-    r = table(spark, d, "relay_pulled").where("project = 'lantern'").groupBy(*key).agg(F.count(F.lit(1)).alias("copies"))
-    n = table(spark, d, "notes").select(*[F.col(k).alias(f"n_{k}") for k in key]).distinct().withColumn("present", F.lit(True))
-    x = r.join(n, [r[k].eqNullSafe(n[f"n_{k}"]) for k in key], "left").withColumn("present", F.coalesce("present", F.lit(False)))
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    return x.agg(total(F.when(F.col("present"), F.col("copies"))).alias("already_present"), F.count(F.when(~F.col("present"), 1)).alias("to_import"), total(F.col("copies") - 1).alias("collapsed"))
+    """What reading the notes into a store that holds a project's pulled entries does."""
+    name = F.lower(F.concat_ws("/", "kind", "title")).alias("entity")
+    return N.reconcile(V.notes(spark, d).withColumn("entity", name), table(spark, d, "relay_pulled").where("project = 'lantern' and kind is not null and title is not null").select(name), "entity")
 
 
 @query("WITH u AS (SELECT count(DISTINCT external_id) AS n FROM relay_pushes WHERE external_id IS NOT NULL AND lower(external_id) NOT IN (SELECT uuid FROM notes WHERE uuid IS NOT NULL)) SELECT nullif(n, 0) AS unseen FROM u")
@@ -372,14 +368,14 @@ def stm_pull_pages(spark, d):
     return N.batches(ids, ["remote_id"], 100).withColumnRenamed("batch", "page")
 
 
-@query("""WITH l AS (SELECT DISTINCT uuid FROM notes WHERE uuid IS NOT NULL), s AS (SELECT DISTINCT lower(external_id) AS uuid FROM relay_pushes WHERE external_id IS NOT NULL)
-SELECT CASE WHEN l.uuid IS NULL THEN 'pull' WHEN s.uuid IS NULL THEN 'push' ELSE 'both' END AS side, count(*) AS n FROM l FULL JOIN s ON l.uuid = s.uuid GROUP BY 1""")
+@query("""WITH l AS (SELECT DISTINCT uuid FROM notes WHERE uuid IS NOT NULL), s AS (SELECT lower(external_id) AS uuid, max(sent_at) AS seen FROM relay_pushes WHERE external_id IS NOT NULL GROUP BY 1),
+due AS (SELECT uuid FROM s WHERE epoch_us(seen) > (SELECT median(epoch_us(sent_at)) FROM relay_pushes)), p AS (SELECT uuid FROM l WHERE uuid NOT IN (SELECT uuid FROM s))
+SELECT 'pull' AS stage, uuid, uuid NOT IN (SELECT uuid FROM l) AS fresh FROM due UNION ALL SELECT 'push', uuid, false FROM p UNION ALL SELECT 'pull again', uuid, false FROM (SELECT * FROM due UNION ALL SELECT * FROM p)""")
 def stm_sync_round(spark, d):
-    """What a round would push and pull."""
-    l = table(spark, d, "notes").where("uuid is not null").select("uuid", F.lit(1).alias("l")).distinct()  # noqa: E741
-    s = table(spark, d, "relay_pushes").where("external_id is not null").select(F.lower("external_id").alias("uuid"), F.lit(1).alias("s")).distinct()
-    side = F.when(F.col("l").isNull(), "pull").when(F.col("s").isNull(), "push").otherwise("both")
-    return l.join(s, "uuid", "full_outer").groupBy(side.alias("side")).agg(F.count(F.lit(1)).alias("n"))
+    """A later round: pull, push, and pull again from the cursor of before."""
+    sent = table(spark, d, "relay_pushes").select(F.lower("external_id").alias("uuid"), F.unix_micros(F.col("sent_at").cast("timestamp")).alias("at"))
+    middle = sent.agg(F.median("at").alias("m")).first().m  # one value
+    return N.sync_round(table(spark, d, "notes").select("uuid"), sent, F.lit(middle))
 
 
 @query(w(V.FILES, then="""SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'removed' WHEN o.hash IS NOT DISTINCT FROM n.hash THEN 'unchanged' ELSE 'changed' END AS change

@@ -134,3 +134,11 @@ def test_history_lines_roots_and_sizes(spark):
     roots = spark.createDataFrame([("a/",), ("a/b/",), ("",)], "root string")
     assert {tuple(r) for r in S.nearest_root(paths, roots).collect()} == {("a/b/c", "a/b/"), ("a/x", "a/"), ("z", None)}
     assert [r[0] for r in spark.createDataFrame([(10,), (600 << 10,), (65 << 20,)], "n long").select(files.size_gate(F.col("n"))).collect()] == ["parse", "windows", "skip"]
+
+
+def test_rounds_of_a_sync(spark):
+    local = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "uuid string")
+    server = spark.createDataFrame([("b", 1), ("c", 2), ("d", 9), ("d", 3), (None, 9)], "uuid string, at long")
+    run = lambda cursor: sorted(map(tuple, N.sync_round(local, server, cursor).collect()))
+    assert run(None) == [("pull", "a", False), ("pull", "b", False), ("pull", "c", True), ("pull", "d", True), ("push", "a", False)]
+    assert run(F.lit(2)) == [("pull", "d", True), ("pull again", "a", False), ("pull again", "d", False), ("push", "a", False)]
