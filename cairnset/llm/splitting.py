@@ -3,7 +3,7 @@
 An item longer than `max_size` characters (code points) is cut into pieces of at most that size; each piece starts
 exactly `overlap` characters before the end of the one before, so the item is the first piece followed by the others
 without their first `overlap` characters. Candidate cuts are line and sentence ends. At each, the words of the block
-before and of the block after are compared (cosine of hashed counts); a topic boundary is a valley of that similarity,
+before and of the block after are compared (cosine of counts; of hashed counts beyond 1,024 different words); a topic boundary is a valley of that similarity,
 and in every size window the deepest valley is chosen: line ends first, then sentence ends, then the last blank, then
 the last place that does not part a base character from its marks.
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from cairnset.llm import tokens as K
 
-_DIM, _BLOCK, _SLAB = 64, 600, 1 << 18
+_DIM, _BLOCK, _SLAB = 1024, 600, 1 << 18
 _STOPS = np.array([ord(c) for c in ".!?;"], np.uint32)
 _WIDE_STOPS = np.array([0x3002, 0xFF01, 0xFF1F], np.uint32)
 PIECES = "array<struct<start:int,size:int,piece:string>>"
@@ -42,9 +42,13 @@ class _Slab:
         start, _, h = K.words(cp, marks=False)
         bounds = np.r_[0, at]
         unit = np.searchsorted(bounds, start, "right") - 1
-        hist = np.bincount(unit * _DIM + (h & np.uint64(_DIM - 1)).astype(np.int64), minlength=len(bounds) * _DIM)
-        cum = np.zeros((len(bounds) + 1, _DIM), np.float32)
-        np.cumsum(hist.reshape(-1, _DIM), axis=0, out=cum[1:])
+        distinct, word = np.unique(h, return_inverse=True)
+        dim = max(1, len(distinct))
+        if dim > _DIM:  # so many different words are counted by hash
+            word, dim = (h & np.uint64(_DIM - 1)).astype(np.int64), _DIM
+        hist = np.bincount(unit * dim + word, minlength=len(bounds) * dim)
+        cum = np.zeros((len(bounds) + 1, dim), np.float32)
+        np.cumsum(hist.reshape(-1, dim), axis=0, out=cum[1:])
         here = np.arange(1, len(bounds))
         before = np.minimum(np.searchsorted(bounds, at - _BLOCK), here - 1)
         after = np.maximum(np.searchsorted(bounds, at + _BLOCK, "right") - 1, here + 1)
