@@ -45,18 +45,19 @@ def mention_tokens(content: Column, most: int = 40, language: Column | None = No
 
 def mention_edges(chunks: DataFrame) -> DataFrame:
     """chunks(path, name, content): a mentions edge from each named chunk to each of its tokens."""
-    named = chunks.where("name is not null")
-    language = T.lang_detect(F.col("path"))
+    named = chunks.where("name is not null").select("path", "name", "content", T.lang_detect(F.col("path")).alias("__lang"))
+    language = F.col("__lang")
     return named.select(F.col("path").alias("source_file"), F.col("name").alias("source_name"), F.explode(mention_tokens(F.col("content"), language=language)).alias("target_name"),
                         F.lit("mentions").alias("kind"), F.lit(0).alias("line"))
 
 
 def call_edges(chunks: DataFrame) -> DataFrame:
     """Calls of a chunk by name, built-ins left out, once per (source, target)."""
-    bare = strip_comments(F.col("content"), T.lang_detect(F.col("path")))
-    called = chunks.where("name is not null").select(
-        F.col("path").alias("source_file"), F.col("name").alias("source_name"), F.explode(F.array_distinct(F.regexp_extract_all(bare, F.lit(r"([A-Za-z_]\w*)\("), 1))).alias("target_name"))
-    return called.where(~is_builtin(F.col("target_name"), T.lang_detect(F.col("source_file"))) & (F.col("target_name") != F.col("source_name"))).withColumn("kind", F.lit("calls")).distinct()
+    named = chunks.where("name is not null").select("path", "name", "content", T.lang_detect(F.col("path")).alias("__lang"))
+    bare = strip_comments(F.col("content"), F.col("__lang"))
+    called = named.select(
+        F.col("path").alias("source_file"), F.col("name").alias("source_name"), "__lang", F.explode(F.array_distinct(F.regexp_extract_all(bare, F.lit(r"([A-Za-z_]\w*)\("), 1))).alias("target_name"))
+    return called.where(~F.coalesce(is_builtin(F.col("target_name"), F.col("__lang")), F.lit(False)) & (F.col("target_name") != F.col("source_name"))).drop("__lang").withColumn("kind", F.lit("calls")).distinct()
 
 
 def is_builtin(name: Column, language: Column) -> Column:

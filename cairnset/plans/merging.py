@@ -265,7 +265,7 @@ def sync_apply_remote(spark, d):
 
 @query(w(V.NOTES, then="SELECT id, (row_number() OVER (ORDER BY created_at, id) - 1) // 50 AS batch FROM notes_v WHERE status = 'active' AND remote_id IS NULL"))
 def rows_for_sync(spark, d):
-    n = V.notes(spark, d).where("status = 'active' and remote_id is null").select("id", "created_at")
+    n = V.notes(spark, d, "remote_id").where("status = 'active' and remote_id is null").select("id", "created_at")
     return N.batches(n, ["created_at", "id"], 50).select("id", "batch")
 
 
@@ -287,7 +287,7 @@ def batch_push(spark, d):
 @query(w(V.NOTES, then="SELECT id, coalesce(uuid, '00000000-0000-7000-8000-' || lpad(CAST(id AS VARCHAR), 12, '0')) AS uuid FROM notes_v"))
 def uuid_backfill(spark, d):
     """Missing uuids from a supplied rule, so that runs agree."""
-    return V.notes(spark, d).select("id", F.coalesce("uuid", F.concat(F.lit("00000000-0000-7000-8000-"), F.lpad(F.col("id").cast("string"), 12, "0"))).alias("uuid"))
+    return V.notes(spark, d, "uuid").select("id", F.coalesce("uuid", F.concat(F.lit("00000000-0000-7000-8000-"), F.lpad(F.col("id").cast("string"), 12, "0"))).alias("uuid"))
 
 
 @query(w(V.NOTES, then="SELECT id, coalesce(remote_id, 'r' || id) AS remote_id, CASE WHEN status = 'active' THEN NULL ELSE superseded_by END AS superseded_by FROM notes_v WHERE kind <> 'handoff'"))
@@ -345,7 +345,7 @@ def registry_autoclean(spark, d):
 
 @query(w(V.NOTES, then="SELECT id, created_at FROM notes_v WHERE created_at > 1750000000 AND status <> 'archived' ORDER BY created_at, id LIMIT 100"))
 def stm_since_time(spark, d):
-    n = V.notes(spark, d).where("created_at > 1750000000 and status <> 'archived'")
+    n = V.notes(spark, d, "id").where("created_at > 1750000000 and status <> 'archived'")
     return n.select("id", "created_at").orderBy("created_at", "id").limit(100)
 
 

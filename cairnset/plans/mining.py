@@ -281,7 +281,7 @@ def fn_web_title(spark, d):
 @query(w(V.NOTES, then="""SELECT id, CASE WHEN s < 90 THEN s || ' sec ago' WHEN s < 3600 THEN s // 60 || ' min ago' WHEN s < 86400 THEN s // 3600 || ' hr ago' ELSE s // 86400 || ' days ago' END AS age
 FROM (SELECT id, greatest(0, 1765000000 - created_at) AS s FROM notes_v)"""))
 def fn_format_age(spark, d):
-    return V.notes(spark, d).select("id", T.format_age(F.lit(1765000000) - F.col("created_at")).alias("age"))
+    return V.notes(spark, d, "id").select("id", T.format_age(F.lit(1765000000) - F.col("created_at")).alias("age"))
 
 
 @query("SELECT DISTINCT CAST(o_orderdate AS DATE)::VARCHAR AS day, CAST(epoch(CAST(o_orderdate AS DATE)) AS BIGINT) AS from_date, CAST(epoch(CAST(o_orderdate AS DATE)) AS BIGINT) + 36000 AS from_time FROM orders")

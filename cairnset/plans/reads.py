@@ -65,7 +65,7 @@ def flt_chunks_no_summary(spark, d):
 @query(w(V.NOTES, then=f"""SELECT id, kind, created_at FROM notes_v WHERE kind = 'decision' AND coalesce(valid_at, created_at) <= {NOW} AND (invalid_at IS NULL OR invalid_at > {NOW})
 ORDER BY created_at DESC, id LIMIT 500"""))
 def flt_list_notes(spark, d):
-    return R.as_of(V.notes(spark, d).where("kind = 'decision'"), NOW).select("id", "kind", "created_at").orderBy(F.desc("created_at"), "id").limit(500)
+    return R.as_of(V.notes(spark, d, "kind", "valid_at", "invalid_at").where("kind = 'decision'"), NOW).select("id", "kind", "created_at").orderBy(F.desc("created_at"), "id").limit(500)
 
 
 @query(w(V.NOTES, then="SELECT id, entity_id, status FROM notes_v WHERE status = 'active' AND entity_id IN (SELECT entity_id FROM notes_v WHERE kind = 'decision')"))
@@ -76,7 +76,7 @@ def flt_list_by_entity(spark, d):
 
 @query(w(V.NOTES, then="SELECT count(*) AS active, count(*) FILTER (source_ref IS NOT NULL) AS with_ref, min(id) AS first_id FROM notes_v WHERE status = 'active'"))
 def flt_get_count(spark, d):
-    return R.as_of(V.notes(spark, d), None).agg(F.count(F.lit(1)).alias("active"), F.count("source_ref").alias("with_ref"), F.min("id").alias("first_id"))
+    return R.as_of(V.notes(spark, d, "source_ref"), None).agg(F.count(F.lit(1)).alias("active"), F.count("source_ref").alias("with_ref"), F.min("id").alias("first_id"))
 
 
 _SYM = r"""e AS (SELECT from_id AS source_name, to_id AS target_name, kind, created_at FROM edges_v)"""
@@ -165,7 +165,7 @@ def flt_is_file_query(spark, d):
 UNION ALL SELECT * FROM (SELECT 'file', row_number() OVER (ORDER BY path, file_id), path FROM files_v)"""))
 def flt_lists(spark, d):
     """Full ordered lists (places by range partitions, not one sorted task)."""
-    n = N.batches(V.notes(spark, d).select("id", "created_at"), ["created_at", "id"], 1).select(F.lit("note").alias("list"), (F.col("batch") + 1).alias("place"), F.col("id").cast("string").alias("item"))
+    n = N.batches(V.notes(spark, d, "id").select("id", "created_at"), ["created_at", "id"], 1).select(F.lit("note").alias("list"), (F.col("batch") + 1).alias("place"), F.col("id").cast("string").alias("item"))
     f = N.batches(V.files(spark, d).select("path", "file_id"), ["path", "file_id"], 1).select(F.lit("file"), F.col("batch") + 1, "path")
     return n.union(f)
 
@@ -278,7 +278,7 @@ def annotate_specs(spark, d):
 def join_drift_callers(spark, d):
     """The correlated count as a join: distinct callers other than itself, 0 where there are none."""
     c = V.edges(spark, d).where("from_id <> to_id").groupBy(F.col("to_id").alias("id")).agg(F.countDistinct("from_id").alias("callers"))
-    return V.notes(spark, d).join(c, "id", "left").select("id", "created_at", F.coalesce("callers", F.lit(0)).alias("callers"))
+    return V.notes(spark, d, "id").join(c, "id", "left").select("id", "created_at", F.coalesce("callers", F.lit(0)).alias("callers"))
 
 
 @query(w(V.EDGES, V.NOTES, then="""SELECT a.remote_id AS from_remote, b.remote_id AS to_remote FROM edges_v e JOIN notes_v a ON a.id = e.from_id JOIN notes_v b ON b.id = e.to_id
@@ -316,7 +316,7 @@ def join_expand_relates(spark, d):
 @query(w(V.NOTES, then="SELECT id, remote_id FROM notes_v WHERE status = 'active' AND remote_id IN (SELECT lower(trim(remote_id)) FROM relay_pulled)"))
 def join_find_remote_ids(spark, d):
     asked = table(spark, d, "relay_pulled").select(F.lower(F.trim("remote_id")).alias("remote_id")).distinct()
-    return R.as_of(V.notes(spark, d), None).join(asked, "remote_id", "left_semi").select("id", "remote_id")
+    return R.as_of(V.notes(spark, d, "remote_id"), None).join(asked, "remote_id", "left_semi").select("id", "remote_id")
 
 
 @query(w(V.NOTES, then="""SELECT t, count(*) AS valid FROM notes_v, (SELECT unnest([1740000000, 1750000000, 1760000000, 1770000000]) AS t)
@@ -324,7 +324,7 @@ WHERE coalesce(valid_at, created_at) <= t AND (invalid_at IS NULL OR invalid_at
 def join_asof_window(spark, d):
     """How many notes are valid at each of a few instants (the instants are the broadcast side)."""
     at = F.broadcast(spark.createDataFrame([(t,) for t in (1740000000, 1750000000, 1760000000, 1770000000)], "t long"))
-    n = V.notes(spark, d).select(F.coalesce("valid_at", "created_at").alias("a"), "invalid_at")
+    n = V.notes(spark, d, "valid_at", "invalid_at").select(F.coalesce("valid_at", "created_at").alias("a"), "invalid_at")
     return n.join(at, (F.col("a") <= F.col("t")) & (F.col("invalid_at").isNull() | (F.col("invalid_at") > F.col("t")))).groupBy("t").agg(F.count(F.lit(1)).alias("valid"))
 
 
@@ -439,7 +439,7 @@ def agg_telemetry(spark, d):
 
 @query(w(V.NOTES, then="SELECT id, created_at FROM notes_v ORDER BY created_at DESC, id LIMIT 100"))
 def sort_top_k(spark, d):
-    return V.notes(spark, d).select("id", "created_at").orderBy(F.desc("created_at"), "id").limit(100)
+    return V.notes(spark, d, "id").select("id", "created_at").orderBy(F.desc("created_at"), "id").limit(100)
 
 
 @query(w(V.FILES, then="SELECT file_id FROM files_v ORDER BY md5('7:' || file_id), file_id LIMIT 50"))

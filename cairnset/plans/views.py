@@ -27,10 +27,13 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumn("name", F.nullif(F.regexp_extract("content", NAME_PATTERN, 1), F.lit("")))
 
 
-def notes(spark: SparkSession, d: str) -> DataFrame:
-    """Each note once; created_at in seconds, status trimmed and in lower case."""
+def notes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Each note once (of all or the named columns, id among them); created_at in seconds, status trimmed and in lower case."""
+    if columns:
+        columns = tuple(dict.fromkeys((*columns, "id", "created_at", "status")))
     at = F.col("created_at")
-    return table(spark, d, "notes").dropDuplicates(["id"]).withColumns({
+    every = table(spark, d, "notes")
+    return (every.select(*columns) if columns else every).distinct().withColumns({
         "created_at": F.when(at >= 100_000_000_000, F.floor(at / 1000)).otherwise(at).cast("long"),
         "status": F.lower(F.trim("status"))})
 
