@@ -6,6 +6,7 @@ from cairnset.functions import harvest as H
 from cairnset.operators import notes as N
 from cairnset.operators import retrieval as R
 from cairnset.operators import specs as S
+from cairnset.plans import reads
 
 
 def test_specs_by_prefix(spark):
@@ -18,6 +19,41 @@ def test_specs_by_prefix(spark):
     assert S.specs_for_files(files, specs, links.limit(0)).count() == 0
 
 
+def _moved(spark):
+    """Rows written to shuffles so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def _project_files(spark, folder):
+    """Two projects of 100 specifications each and 200 files in folders that both have; a project with files only; returns the folder."""
+    rows = [(i, f"p{i % 2}", f"docs/{i}.md") for i in range(200)] + [(200 + i, f"p{i % 2}", f"src/{'ab'[i // 2 % 2]}/{i}.py") for i in range(200)]
+    rows += [(400, "p0", "src/0.py"), (401, "p1", "src/1.py"), (402, "p2", "lib/2.py"), (403, "p2", None)]
+    df = spark.createDataFrame(rows, "file_id long, project string, path string")
+    extra = {"language": "string", "hash": "string", "indexed_at": "long", "mtime": "long", "stale": "boolean"}
+    df.withColumns({c: F.lit(None).cast(t) for c, t in extra.items()}).write.parquet(f"{folder}/files.parquet")
+    return str(folder)
+
+
+def test_specs_for_files_makes_pairs_in_its_last_join(spark, tmp_path, monkeypatch):
+    """The pairs are neither moved nor compared, however many tasks make them."""
+    d = _project_files(spark, tmp_path)
+    monkeypatch.setattr(S, "TASK_ROWS", 3_000, raising=False)
+    before = _moved(spark)
+    got = reads.join_specs_for_files(spark, d).collect()
+    assert len(got) == len(set(got)) == 202 * 200
+    assert _moved(spark) - before < 20_000
+
+
+def test_specs_for_files_names_each_pair_once(spark):
+    files = spark.createDataFrame([("a/b/x",), ("a/b/x",), ("a/y",), ("é/𝒜z",), ("z",), (None,)], "path string")
+    specs = spark.createDataFrame([(1, "p", "T"), (2, "p", "T"), (3, "p", None), (4, "q", "T"), (None, "r", "T"), (5, "w", "W")], "spec_id int, path string, title string")
+    links = spark.createDataFrame([(1, "a/"), (1, "a/b/"), (2, "a/b/x"), (2, "z"), (3, "a/b/"), (3, "a/b/x"), (4, "é/𝒜"), (5, ""), (5, "a/"), (None, "a/"), (9, "a/")], "spec_id int, linked_path string")
+    assert sorted(map(tuple, S.specs_for_files(files, specs, links).collect()), key=str) == sorted([
+        ("a/b/x", "p", "T"), ("a/y", "p", "T"), ("z", "p", "T"), ("a/b/x", "p", None), ("é/𝒜z", "q", "T"), *((x, "w", "W") for x in ("a/b/x", "a/y", "é/𝒜z", "z"))], key=str)
+
+
 @pytest.mark.parametrize("per_round", [2, 3, 100])
 def test_harvest_in_order(spark, per_round):
     stored = spark.createDataFrame([("s", [0.0, 1.0])], "id string, embedding array<double>")
