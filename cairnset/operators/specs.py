@@ -76,6 +76,33 @@ def specs_for_files(files: DataFrame, specs: DataFrame, links: DataFrame, by: st
     return left.repartition(tasks, *key).join(right.repartition(tasks, *key), key).select("path", "spec_path", "title")
 
 
+def governing_specs(files: DataFrame, specs: DataFrame, links: DataFrame, by: str = "spec_id") -> DataFrame:
+    """files(path, ...) with governing_specs: the paths of the specifications that govern each, once, in order, joined by "|"; null
+    where none does. specs and links share the column `by`.
+
+    The linked paths that start a path are those that start the longest of them, and many longest ones have the same owners, so a
+    list is made once for each set of owners and handed out by the last join.
+    """
+    own = cut(specs.where("path is not null").select(by, F.col("path").alias("spec_path")).distinct())
+    roots = cut(links.where("linked_path is not null").join(own.select(by).distinct(), by, "left_semi").select(by, "linked_path").distinct())
+    known = roots.select("linked_path").distinct()
+    sets = under_links(known.withColumnRenamed("linked_path", "path"), roots).groupBy("path").agg(F.sort_array(F.collect_set(by)).alias("__owners"))
+    sets = cut(sets.withColumnRenamed("path", "linked_path"))
+    kinds = sets.groupBy("__owners").agg(F.min("linked_path").alias("__kind"))
+    lists = kinds.select("__kind", F.explode("__owners").alias(by)).join(own, by).groupBy("__kind").agg(F.array_join(F.sort_array(F.collect_set("spec_path")), "|").alias("governing_specs"))
+    lists = cut(lists)  # sized first, then handed out
+    longest = under_links(files.select("path").distinct(), known).groupBy("path").agg(F.max_by("linked_path", F.char_length("linked_path")).alias("linked_path"))
+    found = cut(salted_join(longest, sets.join(kinds, "__owners").select("linked_path", "__kind"), "linked_path").select("path", "__kind"))
+    counts = files.join(found, "path").groupBy("__kind").count()
+    sizes = cut(counts.join(lists, "__kind").select("__kind", (F.col("count") * F.char_length("governing_specs")).alias("made")))
+    shares, tasks = _shares(sizes, "__kind", TASK_CHARS)
+    left = files.join(salted_join(found, shares, "__kind"), "path", "left")
+    left = left.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in files.columns]), F.coalesce("__salts", F.lit(tasks))).cast("int")).drop("__salts")
+    right = lists.join(shares, "__kind").select("__kind", "governing_specs", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)).alias("__salt"))
+    key = ["__kind", "__salt"]
+    return left.repartition(tasks, *key).join(right.repartition(tasks, *key), key, "left").drop(*key)
+
+
 def stale_specs(files: DataFrame, specs: DataFrame, links: DataFrame) -> DataFrame:
     """Specifications whose linked code (prefix in any case) was indexed after they were: spec_id, spec_path, title, linked_path, both instants."""
     at = files.select(F.col("path").alias("spec_path"), F.col("indexed_at").alias("spec_indexed_at"))

@@ -54,6 +54,26 @@ def test_specs_for_files_names_each_pair_once(spark):
         ("a/b/x", "p", "T"), ("a/y", "p", "T"), ("z", "p", "T"), ("a/b/x", "p", None), ("é/𝒜z", "q", "T"), *((x, "w", "W") for x in ("a/b/x", "a/y", "é/𝒜z", "z"))], key=str)
 
 
+def test_annotate_specs_makes_each_list_once(spark, tmp_path, monkeypatch):
+    """No pair of a file and a specification is moved; every list is whole, in order, and null where nothing governs."""
+    d = _project_files(spark, tmp_path)
+    monkeypatch.setattr(S, "TASK_CHARS", 20_000, raising=False)
+    before = _moved(spark)
+    got = {r.file_id: r.governing_specs for r in reads.annotate_specs(spark, d).collect()}
+    every = "|".join(sorted(f"docs/{i}.md" for i in range(200)))
+    assert got == {i: every if 200 <= i < 402 else None for i in range(404)}
+    assert _moved(spark) - before < 20_000
+
+
+def test_governing_specs_by_nested_links(spark):
+    files = spark.createDataFrame([(1, "a/b/x"), (2, "a/b/x"), (3, "a/y"), (4, "z"), (5, None), (6, "b")], "file_id int, path string")
+    specs = spark.createDataFrame([(1, "p"), (2, "p"), (3, "o"), (4, None), (5, "q")], "spec_id int, path string")
+    links = spark.createDataFrame([(1, "a/"), (2, "a/b/"), (3, "a/b/"), (4, "z"), (5, "a/y"), (9, "a/"), (1, None)], "spec_id int, linked_path string")
+    got = {r.file_id: r.governing_specs for r in S.governing_specs(files, specs, links).collect()}
+    assert got == {1: "o|p", 2: "o|p", 3: "p|q", 4: None, 5: None, 6: None}
+    assert {r.governing_specs for r in S.governing_specs(files, specs, links.limit(0)).collect()} == {None}
+
+
 @pytest.mark.parametrize("per_round", [2, 3, 100])
 def test_harvest_in_order(spark, per_round):
     stored = spark.createDataFrame([("s", [0.0, 1.0])], "id string, embedding array<double>")
